@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from galley.llm import splitting, tokens
+from galley.llm import mixture, packing, repeats, splitting, tokens
 
-_MODULES = [splitting, tokens]
+_MODULES = [splitting, repeats, packing, tokens, mixture]
 
 
 def queries() -> dict:
