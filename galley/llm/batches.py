@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+ROWS = 1000
+
 
 def map_columns(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, arrow: pa.Schema) -> DataFrame:
     """Apply a function on columns (name -> list) to every Arrow batch of ``df``.
@@ -18,8 +20,9 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in it:
-            if batch.num_rows:
-                out = f({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns)})
+            for at in range(0, batch.num_rows, ROWS):  # Python objects of a slice at a time
+                part = batch.slice(at, ROWS)
+                out = f({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
