@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from galley.llm import looks, mixture, packing, repeats, splitting, tokens
+from galley.llm import looks, mixture, packing, repeats, sentences, splitting, tokens
 
-_MODULES = [splitting, looks, repeats, packing, tokens, mixture]
+_MODULES = [splitting, looks, sentences, repeats, packing, tokens, mixture]
 
 
 def queries() -> dict:
