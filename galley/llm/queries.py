@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from galley.llm import looks, mixture, packing, repeats, residue, sentences, splitting, tokens
+from galley.llm import looks, mixture, packing, pairs, repeats, residue, sentences, splitting, tokens
 
-_MODULES = [splitting, looks, sentences, repeats, packing, tokens, mixture, residue]
+_MODULES = [splitting, looks, sentences, repeats, packing, pairs, tokens, mixture, residue]
 
 
 def queries() -> dict:
