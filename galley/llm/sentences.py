@@ -134,6 +134,8 @@ class Splitter:
 
     def _ends(self, text: str, begin: int, at_mark: int, mark: str, at: int, nxt: int, closed: bool, own: Callable) -> bool:
         """Whether the mark at ``at_mark``, with its closing signs up to ``at``, ends a sentence before ``nxt``."""
+        if text[nxt] in ",;:，、；：،؛":
+            return False  # the sentence goes on
         spaced = nxt > at
         head = _OPEN.match(text, nxt).end()
         opened = head > nxt
