@@ -41,9 +41,14 @@ def vocabulary(path: str | None = None, name: str = "byte_bpe_50k"):
 
 
 def boundaries(pattern: regex.Pattern, text: str) -> list[int]:
-    """Ends of pre-tokens that the end of ``text`` cannot have changed."""
+    """Ends of pre-tokens at which ``text`` can be divided.
+
+    Such an end lies so far from the end of ``text`` that this cannot have changed it,
+    and not after white space: the pattern looks ahead from white space only, so a
+    piece that ends with anything else has the same pre-tokens alone.
+    """
     last = len(text) - MARGIN
-    return [e for m in pattern.finditer(text) if (e := m.end()) <= last]
+    return [e for m in pattern.finditer(text) if (e := m.end()) <= last and not text[e - 1].isspace()]
 
 
 def _encode(df: DataFrame, path: str | None, keys: str, arrow_keys: list, count_only: bool) -> DataFrame:
