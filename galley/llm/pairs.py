@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ _REFUSAL = regex.compile(
     r"|as an? (?:ai|language (?:model|assistant)|assistant)|can(?:'|’)?t (?:help|assist|rework|rewrite|edit|process|do)|cannot (?:be processed|help|assist|rewrite|edit|process|comply|continue|fulfil)|request (?:declined|denied|rejected|blocked|refused)|did not (?:edit|rewrite|process)|no (?:rewrite|edit|edits|translation|answer|output|revision|version) (?:was |is |can be |will be )?(?:provided|given|possible|available|produced|made)"
     r"|(?:falls?|lies|is) outside (?:what|of what|my|our|the)|is(?:n(?:'|’)t| not) (?:possible|something i)|do(?:es)? not (?:let|allow|permit) me|not (?:able|willing) to (?:edit|rewrite|help|assist|continue|process))\b"
 )
+#: Every refusal has one of these; most answers have none and are spared the expression.
+_CUES = ("sorr", "apolog", "unfortunat", "regrettab", "cannot", "can not", "can't", "can’t", "could", "won't", "won’t", "unable", "not ", "declin", "refus", "guideline", "polic", "filter", "as a", "outside", "isn't", "isn’t", "no ", "denied", "rejected", "blocked")
 _WORK = regex.compile(
     r"(?i)\b(?:requests?|rewrit\w*|rework\w*|edit\w*|assist\w*|help\w*|process\w*|comply|content|passage|span|text|paragraph|guidelines|polic\w+|filter|scene|material|translat\w*|provide|continue|this one|do this|do that|with that|with this|polish\w*|refuse|decline)\b"
 )
@@ -77,7 +80,7 @@ def shape(text: str) -> str:
 
 @dataclass
 class Languages:
-    """Naive Bayes on character 1- to 3-grams of words."""
+    """Naive Bayes on character 3-grams of words and the blanks between them."""
 
     names: list[str] = field(default_factory=list)
     row_of: dict[str, int] = field(default_factory=dict)  # an n-gram's row of ``logs``; the last row is for unseen ones
@@ -88,7 +91,7 @@ class Languages:
         line = f" {' '.join(w for w in _SIGN.findall(text.lower()) if not w.isdigit())} "
         if len(line) < 3:
             return []
-        return [*line[1:-1], *map("".join, zip(line, line[1:])), *map("".join, zip(line, line[1:], line[2:]))]
+        return list(map("".join, zip(line, line[1:], line[2:])))
 
     @classmethod
     def train(cls, rows: list[tuple[str, str]]) -> Languages:
@@ -114,7 +117,8 @@ class Languages:
         if not grams or self.logs is None or not self.names:
             return {}
         unseen = len(self.row_of)
-        score = self.logs[[self.row_of.get(g, unseen) for g in grams]].sum(axis=0)
+        rows = np.fromiter(map(self.row_of.get, grams, repeat(unseen)), np.int64, len(grams))
+        score = self.logs[rows].sum(axis=0)
         odds = np.exp(np.maximum(score - score.max(), -700.0))
         return dict(zip(self.names, (odds / odds.sum()).tolist()))
 
@@ -144,11 +148,15 @@ class Judge:
             return "refusal"
         if said == asked or asked and said.endswith(asked) and self._announced(after or "", answer, prompt, len(said) - len(asked)):
             return "copy"
+        foreign = self._foreign(answer)
+        if not foreign and not self._truncated(prompt, answer):
+            return None
+        # an answer caught in a loop is judged by its language alone, each word of it once
         looping = repeated_share(answer) >= SHARE
-        if self._foreign(" ".join(dict.fromkeys(answer.split())) if looping else answer):
-            return "language"
-        if not looping and self._truncated(prompt, answer):
-            return "truncated"
+        if foreign and looping:
+            foreign = self._foreign(" ".join(dict.fromkeys(answer.split())))
+        if foreign or not looping:
+            return "language" if foreign else "truncated"
         return None
 
     @staticmethod
@@ -159,6 +167,9 @@ class Judge:
 
     @staticmethod
     def _refuses(answer: str, asked: str) -> bool:
+        low = answer.lower()
+        if not any(c in low for c in _CUES):
+            return False
         plain = _QUOTED_SPEECH.sub(" ", answer)
         m = _REFUSAL.search(plain)
         if not m or m.start() > 160:
@@ -171,12 +182,10 @@ class Judge:
         return kept < 0.5 * len(first) and len(answer) < 500
 
     def _foreign(self, answer: str) -> bool:
-        letters = _LETTERS.findall(answer)
-        if not letters:
-            return False
-        latin = len(_LATIN.findall(answer))
-        if 2 * latin < len(letters):
-            return True
+        if not answer.isascii():
+            letters = len(_LETTERS.findall(answer))
+            if 2 * len(_LATIN.findall(answer)) < letters:
+                return True
         p = self.languages.posterior(answer)
         return bool(p) and p.get("en", 0.0) < 0.5
 
@@ -191,14 +200,15 @@ class Judge:
 
     def _complete(self, text: str) -> bool:
         """Whether the end of ``text`` is likely to be one."""
-        if _PAUSED.search(text):
+        tail = text[-64:]  # the marks at the end and the word before them
+        if _PAUSED.search(tail):
             return False
-        if not _END.search(text):
+        if not _END.search(tail):
             thai = len(regex.findall(r"[ก-๛]", text))
             if 2 * thai > len(_LETTERS.findall(text)):
                 return True
             return self.most > 0 and self.ends.get(shape(text), 0) >= END_RATIO * self.most
-        word = regex.search(r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)\.$", text)
+        word = regex.search(r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)\.$", tail)
         return not (word and _key(word[1]) in self.medial and len(word[1]) < 6 and _key(word[1]) not in ("no", "art", "est", "sec", "ex", "fig", "col", "gen", "d", "m", "s", "p"))
 
     @staticmethod
