@@ -19,10 +19,10 @@ def program_summary(programs: DataFrame, *keys: str) -> DataFrame:
 
 
 def plan(segments: DataFrame, max_chars: int = 1800, mode: str = "polish", skip_mode: str = "auto") -> DataFrame:
-    """(item_id, paragraphs, dirty, skipped, n_jobs, packs), a row a chapter and a total with a null item_id."""
+    """(item_id, paragraphs, dirty, skipped, n_jobs, packs), a row a chapter and one with ``is_total`` 1."""
     routed = segments.groupBy("item_id").agg(F.count("*").alias("paragraphs"), F.sum(needs_rewrite("text", "tag", mode, skip_mode).cast("bigint")).alias("dirty"))
     jobs = job_table(with_programs(segments, mode, skip_mode))
     packed = pack_span_jobs(jobs, max_chars, ["seg_index", "span_index", "seg_id"])
     sent = packed.groupBy("item_id").agg(F.count("*").alias("n_jobs"), (F.max("pack_no") + 1).alias("packs"))
     rows = routed.join(sent, "item_id", "left").na.fill(0, ["n_jobs", "packs"])
-    return rows.rollup("item_id").agg(*[F.sum(c).alias(c) for c in ("paragraphs", "dirty", "n_jobs", "packs")]).withColumn("skipped", F.col("paragraphs") - F.col("dirty"))
+    return rows.rollup("item_id").agg(F.grouping("item_id").cast("int").alias("is_total"), *[F.sum(c).alias(c) for c in ("paragraphs", "dirty", "n_jobs", "packs")]).withColumn("skipped", F.col("paragraphs") - F.col("dirty"))
