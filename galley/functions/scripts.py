@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from galley.functions.text import col, count_of
+from galley.functions.text import col, count_in, let
 
 # Code point ranges of the scripts told apart.
 RANGES = {
@@ -25,11 +25,12 @@ TRANSLATE_SHARE = 0.28
 
 
 def script_count(text: Column | str, script: str) -> Column:
-    return count_of(text, f"[{RANGES[script]}]")
+    return count_in(text, RANGES[script])
 
 
 def _share(part: Column, latin: Column) -> Column:
-    return F.when(part + latin > 0, part / (part + latin)).otherwise(F.lit(0.0))
+    """Part of both, each counted once."""
+    return let(F.struct(part.alias("part"), latin.alias("latin")), lambda n: F.when(n["part"] + n["latin"] > 0, n["part"] / (n["part"] + n["latin"])).otherwise(F.lit(0.0)))
 
 
 def han_share(text: Column | str) -> Column:
@@ -37,7 +38,7 @@ def han_share(text: Column | str) -> Column:
 
 
 def foreign_count(text: Column | str) -> Column:
-    return count_of(text, f"[{FOREIGN}]")
+    return count_in(text, FOREIGN)
 
 
 def foreign_share(text: Column | str) -> Column:
@@ -53,4 +54,4 @@ def source_language(text: Column | str) -> Column:
     """The script with most characters; the first of equals; Chinese where there is none."""
     counts = F.array(*[F.coalesce(script_count(col(text), s), F.lit(0)) for s, _ in SOURCE_LANGUAGE])
     names = F.array(*[F.lit(n) for _, n in SOURCE_LANGUAGE])
-    return F.when(F.array_max(counts) > 0, F.element_at(names, F.array_position(counts, F.array_max(counts)).cast("int"))).otherwise("zho_Hans")
+    return let(counts, lambda n: F.when(F.array_max(n) > 0, F.element_at(names, F.array_position(n, F.array_max(n)).cast("int"))).otherwise("zho_Hans"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode knows it, spelled out because Java's, DuckDB's and Python's classes differ.
 WS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same as a string of its signs, for trimming.
+WS_SIGNS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: A word's edge: no letter, digit or underscore on the other side.
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -23,15 +25,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(col(c), F.lit(WS_SIGNS))
 
 
 def lstrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"^[{WS}]+", "")
+    return F.ltrim(col(c), F.lit(WS_SIGNS))
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"[{WS}]+\z", "")
+    return F.rtrim(col(c), F.lit(WS_SIGNS))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -39,8 +41,9 @@ def squeeze(c: Column | str) -> Column:
     return F.regexp_replace(strip(c), rf"[{WS}]+", " ")
 
 
-def count_of(c: Column | str, pattern: str) -> Column:
-    return F.regexp_count(col(c), F.lit(pattern))
+def count_in(c: Column | str, signs: str) -> Column:
+    """How many characters of ``c`` are among ``signs`` (the inside of a character class)."""
+    return F.length(F.regexp_replace(col(c), f"[^{signs}]+", ""))
 
 
 def matches(c: Column | str, pattern: str) -> Column:

@@ -47,16 +47,18 @@ def paragraph_fits(source: Column, output: Column, mode: str = "polish") -> Colu
 
 
 def echoes(source: Column, output: Column) -> Column:
-    s, o = squeeze(source), squeeze(output)
-    return (s != "") & F.contains(o, s) & (F.length(o) >= F.length(s) + 24)
+    return let(squeeze(source), lambda s: let(squeeze(output), lambda o: (s != "") & F.contains(o, s) & (F.length(o) >= F.length(s) + 24)))
 
 
 def breaks_off(output: Column, source: Column) -> Column:
-    t = rstrip(output)
-    n = lambda sign: F.length(t) - F.length(F.replace(t, F.lit(sign), F.lit("")))
-    last = F.lower(F.regexp_extract(t, r"[A-Za-z']+\z", 0))
     finished = F.coalesce(F.right(rstrip(source), F.lit(1)), F.lit("")).isin("", *'.!?。"”’')
-    return (t == "") | (n('"') % 2 == 1) | (n("“") != n("”")) | t.rlike(r"[,:;]\z") | last.isin(*STOPWORDS, *DANGLING) | finished & t.rlike(r"[A-Za-z\x{3400}-\x{9fff}]\z")
+
+    def test(t: Column) -> Column:
+        n = lambda sign: F.length(t) - F.length(F.replace(t, F.lit(sign), F.lit("")))
+        last = F.lower(F.regexp_extract(F.right(t, F.lit(40)), r"[A-Za-z']+\z", 0))  # no listed word is longer
+        return (t == "") | (n('"') % 2 == 1) | (n("“") != n("”")) | t.rlike(r"[,:;]\z") | last.isin(*STOPWORDS, *DANGLING) | finished & t.rlike(r"[A-Za-z\x{3400}-\x{9fff}]\z")
+
+    return let(rstrip(output), test)
 
 
 def _again(parts: Column, head: int) -> Column:
@@ -94,15 +96,18 @@ def overlaps(source: Column, output: Column) -> Column:
 
 def rejection(source: Column, output: Column) -> Column:
     """The first test that ``output`` fails as a rewrite of ``source``, or null: it is accepted. A null is an empty text."""
-    source = F.coalesce(source, F.lit(""))
-    text = strip(F.coalesce(output, F.lit("")))
-    return (
-        F.when(~length_fits(source, text), "length")
-        .when(text.rlike(_LEAK), "leak")
-        .when(echoes(source, text), "echo")
-        .when(sentence_count(text) > sentence_count(source) + 1, "sentences")
-        .when(breaks_off(text, source), "truncated")
-        .when(repeats_itself(text), "duplicate")
-        .when(~keeps_anchors(source, text), "anchors")
-        .when(~overlaps(source, text), "overlap")
-    )
+
+    def tests(x: Column) -> Column:
+        source, text = x["source"], x["text"]
+        return (
+            F.when(~length_fits(source, text), "length")
+            .when(text.rlike(_LEAK), "leak")
+            .when(echoes(source, text), "echo")
+            .when(sentence_count(text) > sentence_count(source) + 1, "sentences")
+            .when(breaks_off(text, source), "truncated")
+            .when(repeats_itself(text), "duplicate")
+            .when(~keeps_anchors(source, text), "anchors")
+            .when(~overlaps(source, text), "overlap")
+        )
+
+    return let(F.struct(F.coalesce(source, F.lit("")).alias("source"), strip(F.coalesce(output, F.lit(""))).alias("text")), tests)
