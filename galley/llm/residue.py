@@ -201,7 +201,7 @@ template: total v items v
 
 # What servers give as the reason of a status, and how they word it ("9" is any number).
 REASONS = "not found|page not found|forbidden|bad gateway|bad request|unauthorized|internal server error|internal error|gone|gateway timeout|service unavailable|service temporarily unavailable|unavailable|too many requests|request timeout|method not allowed|not implemented".split("|")
-_STATUS = ("9 {}", "{} 9", "error 9 {}", "http 9 9 9 {}", "status 9 reason {} resource")
+_STATUS = ("9 {}", "{} 9", "error 9 {}", "failed to fetch 9 {}", "http 9 9 9 {}", "status 9 reason {} resource")
 
 #: Words that say nothing about a passage: articles and what the residue is about.
 _SLOTS = frozenset("the a an this our of chapter page book volume site library reader list reading contents table file server resource document x".split())
