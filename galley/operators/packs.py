@@ -7,7 +7,7 @@ chapter of any length is streamed and never gathered; only keys and costs pass i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,11 +62,11 @@ def token_budget(max_prompt: int, prefix: int = 0) -> int:
     return max(32, max_prompt - max(0, prefix))
 
 
-def job_costs(jobs: DataFrame, by_tokens: bool = False) -> DataFrame:
-    """``jobs`` with ``cost``: characters, or estimated tokens of the job as it is sent."""
+def job_costs(jobs: DataFrame, by_tokens: bool = False, count: Callable[[Column], Column] = estimated_tokens) -> DataFrame:
+    """``jobs`` with ``cost``: characters, or tokens of the job as it is sent by ``count`` (an estimate, or a vectorised UDF)."""
     text, before, after = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "before", "after"))
     if by_tokens:
-        return jobs.withColumn("cost", estimated_tokens(span_prompt(text, before, after, F.lit(1))) + 2)
+        return jobs.withColumn("cost", count(span_prompt(text, before, after, F.lit(1))) + 2)
     return jobs.withColumn("cost", job_chars(text, before, after))
 
 
