@@ -10,7 +10,6 @@ automaton rewrites every other member, longest match first.
 from __future__ import annotations
 
 import hashlib
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
@@ -18,6 +17,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +35,10 @@ Hyphens and signs: ‐- ‑- ΩΩ µμ ÅÅ KK
 _NOT = {"Ϲϲ"}  # another case
 
 #: Characters that leave no mark on the page.
-_INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e01ef]")
+_INVISIBLE = regex.compile(r"[\u00ad\u034f\u061c\u115f\u1160\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e01ef]")
 
 
-_ASCII = re.compile(r"[\x00-\x7f]+")
+_MARK = regex.compile(r"\p{M}")
 
 
 def plain(text: str) -> str:
@@ -122,44 +122,27 @@ def representatives(frequency: dict[str, int]) -> dict[str, str]:
     return out
 
 
-def _any_of(signs: set[str]) -> re.Pattern[str]:
-    return re.compile("[" + "".join(map(re.escape, sorted(signs))) + "]+") if signs else re.compile(r"(?!)")
-
-
 def rewriter(to: dict[str, str]) -> Callable[[str], str]:
-    """A function from a text to its form under the representatives ``to``.
-
-    The automaton sees the runs of signs that occur in its patterns: no match can lie
-    outside one.
-    """
+    """A function from a text to its form under the representatives ``to``."""
     auto = ahocorasick.Automaton()
     for k, v in to.items():
         auto.add_word(k, (len(k), v))
     auto.make_automaton()
     ascii_stays = not any(k.isascii() for k in to)
-    runs = _any_of({c for k in to for c in k})
-    follows = _any_of({c for k in to for c in k[1:]})  # marks that make a letter another member
-
-    def rewrite_run(m: re.Match[str]) -> str:
-        run = m.group()
-        if len(run) == 1:
-            return to.get(run, run)
-        out, at = [], 0
-        for end, (n, new) in auto.iter_long(run):
-            out += (run[at : end - n + 1], new)
-            at = end + 1
-        return "".join(out) + run[at:] if out else run
 
     def form(text: str) -> str:
         if ascii_stays and text.isascii():
             return text
         text = plain(text)
         while True:
-            new = runs.sub(rewrite_run, text)
-            if new == text:
+            out, at = [], 0
+            for end, (n, new) in auto.iter_long(text):
+                out += (text[at : end - n + 1], new)
+                at = end + 1
+            if not out:
                 return text
-            text = unicodedata.normalize("NFC", new)
-            if not follows.search(text):  # a rewritten letter and its mark may be a member again
+            text = unicodedata.normalize("NFC", "".join(out) + text[at:])
+            if not _MARK.search(text):  # a rewritten letter and its mark may be a member again
                 return text
 
     return form
@@ -182,14 +165,11 @@ def corpus_frequency(texts: DataFrame) -> dict[str, int]:
     points, whatever the corpus.
     """
     members = {k for c in classes() for x in c for k in x}
-    ascii_members = sorted(x for x in members if x.isascii())
     arrow = pa.schema([("member", pa.string()), ("n", pa.int64())])
 
     def make():
         def run(c):
-            text = unicodedata.normalize("NFC", "\n".join(t for t in c["text"] if t))
-            n = Counter(_ASCII.sub("", text))
-            n.update({x: text.count(x) for x in ascii_members})
+            n = Counter(unicodedata.normalize("NFC", "\n".join(t for t in c["text"] if t)))
             rows = [(x, k) for x, k in n.items() if x in members]
             return {"member": [x for x, _ in rows], "n": [k for _, k in rows]}
 
