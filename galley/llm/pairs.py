@@ -2,8 +2,8 @@
 
 The languages of prompt and response are the posteriors of a naive Bayes model on
 character n-grams, trained here on a bounded sample of labelled documents. Whether
-an answer breaks off is judged by the likelihood of the shape of its end, trained
-on the ends of all prompts; the other defects by what the answer says.
+an answer breaks off is judged by the likelihood of the shape of its end in its
+script, trained on the ends of all prompts; the other defects by what the answer says.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.llm.batches import map_columns
@@ -26,7 +26,7 @@ from galley.session import table
 
 #: Bounds of the language model: labelled documents it is trained on at most, and n-grams kept of a language.
 SAMPLE, GRAMS = 3000, 20_000
-#: An end is likely if its shape is at least this often the end of a prompt, against the most frequent shape.
+#: An end is likely if its shape is at least this often the end of a prompt, against the most frequent shape of the script.
 END_RATIO = 0.02
 
 # What stands in front of an answer, words for nothing, and how work is declined.
@@ -56,6 +56,9 @@ _SIGN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _LETTERS = regex.compile(r"\p{L}")
 _LATIN = regex.compile(r"\p{Latin}")
 _END = regex.compile(r"[.!?…。！？।؟]+[\"”»“’')\]」』*\s]*$")
+# Scripts whose ends are counted apart; a text is of the first that has half of its letters.
+_SCRIPTS = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "east": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", "hangul": r"\p{IsHangul}", "arabic": r"\p{IsArabic}", "devanagari": r"\p{IsDevanagari}", "thai": r"\p{IsThai}", "greek": r"\p{IsGreek}", "hebrew": r"\p{IsHebrew}"}
+_OF_SCRIPT = {name: regex.compile(signs) for name, signs in _SCRIPTS.items()}
 _PAUSED = regex.compile(r"[,;:،，、—–-][\"”»’')\]」』\s]*$")
 
 
@@ -78,6 +81,14 @@ def shape(text: str) -> str:
     return "".join("a" if c.isalpha() or regex.match(r"\p{M}", c) else "0" if c.isdigit() else " " if c.isspace() else c for c in end)
 
 
+def script(text: str) -> str:
+    """The script of a text; those told apart by nothing here are one, and a text without letters counts as Latin."""
+    if text.isascii():
+        return "latin"
+    letters = len(_LETTERS.findall(text))
+    return next((name for name, signs in _OF_SCRIPT.items() if 2 * len(signs.findall(text)) >= letters), "other")
+
+
 @dataclass
 class Languages:
     """Naive Bayes on character 3-grams of words and the blanks between them."""
@@ -124,12 +135,17 @@ class Languages:
 
 
 class Judge:
-    """Tells the defect of a pair; built once in each task."""
+    """Tells the defect of a pair; built once in each task.
+
+    ``ends`` has how often each (script, shape) ends a prompt; a shape alone is of Latin texts.
+    """
 
-    def __init__(self, languages: Languages, ends: dict[str, int]) -> None:
+    def __init__(self, languages: Languages, ends: dict[tuple[str, str] | str, int]) -> None:
         self.languages = languages
-        self.ends = ends
-        self.most = max(ends.values(), default=0)
+        self.ends = {k if isinstance(k, tuple) else ("latin", k): n for k, n in ends.items()}
+        self.most: dict[str, int] = defaultdict(int)
+        for (of, _), n in self.ends.items():
+            self.most[of] = max(self.most[of], n)
         self.split = Splitter().starts
         self.medial = {_key(x) for x in MEDIAL}
 
@@ -207,7 +223,9 @@ class Judge:
             thai = len(regex.findall(r"[ก-๛]", text))
             if 2 * thai > len(_LETTERS.findall(text)):
                 return True
-            return self.most > 0 and self.ends.get(shape(text), 0) >= END_RATIO * self.most
+            of = script(text)
+            most = self.most.get(of, 0)
+            return most > 0 and self.ends.get((of, shape(text)), 0) >= END_RATIO * most
         word = regex.search(r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)\.$", tail)
         return not (word and _key(word[1]) in self.medial and len(word[1]) < 6 and _key(word[1]) not in ("no", "art", "est", "sec", "ex", "fig", "col", "gen", "d", "m", "s", "p"))
 
@@ -226,13 +244,18 @@ def train_languages(docs: DataFrame, sample: int = SAMPLE) -> Languages:
     return Languages.train([(r["lang"], r["text"]) for r in some.select(lang.alias("lang"), "text").collect()])
 
 
-def end_shapes(pairs: DataFrame) -> dict[str, int]:
-    """How often each shape ends a prompt, over all pairs: a few shapes of three signs."""
+def end_shapes(pairs: DataFrame) -> dict[tuple[str, str], int]:
+    """How often each shape ends a prompt of each script, over all pairs: all shapes that are likely there."""
     end = F.substring(F.regexp_replace("before", r"\s+$", ""), -3, 3)
     for pattern, sign in ((r"[\p{L}\p{M}]", "a"), (r"\p{Nd}", "0"), (r"\s", " ")):
         end = F.regexp_replace(end, pattern, sign)
-    counts = pairs.filter("before IS NOT NULL").groupBy(end.alias("shape")).count()
-    return {r["shape"]: r["count"] for r in counts.orderBy(F.desc("count"), "shape").limit(1000).collect()}
+    letters = F.regexp_count("before", F.lit(r"\p{L}"))
+    of = F.when(F.octet_length("before") == F.char_length("before"), "latin")
+    for name, signs in _SCRIPTS.items():
+        of = of.when(2 * F.regexp_count("before", F.lit(signs)) >= letters, name)
+    counts = pairs.filter("before IS NOT NULL").groupBy(of.otherwise("other").alias("script"), end.alias("shape")).count()
+    most = F.max("count").over(Window.partitionBy("script"))
+    return {(r["script"], r["shape"]): r["count"] for r in counts.withColumn("most", most).filter(F.col("count") >= END_RATIO * F.col("most")).collect()}
 
 
 def with_defects(pairs: DataFrame, docs: DataFrame) -> DataFrame:

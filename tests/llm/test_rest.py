@@ -160,6 +160,16 @@ def test_defect_rows(spark):
     assert pairs.with_defects(edits.limit(0), docs.limit(0)).count() == 0
 
 
+def test_ends_are_counted_by_script(spark):
+    docs = spark.createDataFrame([(1, "en", "the lamps were lit and she walked home to the harbour"), (2, "th", "มณีถามเมฆาเรื่องหวี")], "doc_id bigint, lang string, text string")
+    rows = [(i, "She walked to the harbour.", "She went to the harbour.") for i in range(20)] + [(100 + i, "มณีถามเมฆาเรื่องหวี", "She walked to the harbour.") for i in range(10)]
+    rows += [(200, "She walked to the harbour.", "She walked to the har"), (201, "Она ушла домой", "She walked home.")]
+    edits = spark.createDataFrame(rows, "edit_id bigint, before string, after string")
+    ends = pairs.end_shapes(edits)
+    assert ends == {("latin", "aa."): 21, ("thai", "aaa"): 10, ("cyrillic", "aaa"): 1}
+    assert [(r.edit_id, r.defect) for r in pairs.with_defects(edits, docs).collect() if r.defect] == [(200, "truncated")]
+
+
 # --- residue --------------------------------------------------------------
 @pytest.mark.parametrize(
     "text, found",
