@@ -2,8 +2,9 @@
 
 A mark is judged by what stands around it. Whether a word before a period is an
 abbreviation is decided by the document first (it occurs there before a small
-letter), then by the corpus (it nearly always does), then by a list; marks of
-scripts without case or without periods have rules of their own.
+letter, or without a period as a word or a name), then by the corpus (it nearly
+always does), then by a list; marks of scripts without case or without periods have
+rules of their own.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ hr fr nr kap bd abs s z.b d.h u.a o.ä bzw vgl evtl ggf sog
 г гл ул д т.е см стр рис напр проф им
 डॉ श्री प्रो
 """.split()
+# Words of the list that are also ordinary words; in small letters they abbreviate before numbers alone.
+NUMBERED = set("no nos art cap caps chap ch chs col ex est sec fig figs gen hon rev ed ft vol vols".split())
 FINAL = "etc a.m p.m u.k u.s u.s.a usw u.s.w т.д т.п др inc ltd co jr bros".split()
 _ORDINAL_BEFORE = set("am der dem den des die das im vom zum beim seit bis ab jeder jedem jeden".split())
 
@@ -49,6 +52,9 @@ _LIST = regex.compile(r"(?:^|\n)[^\S\n]*[(\[]?\p{N}{1,4}$")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
 _THAI = regex.compile(r"[ก-๛]")
 _EVIDENCE = regex.compile(r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]{1,5}(?:\.[\p{L}]{1,2}){0,2})\.\s+[\p{Ll},;]")
+_NUMERAL = regex.compile(r"\p{N}|[IVXLCDM]+\b(?!['’])")
+_NAME = regex.compile(r"\p{Lu}[\p{L}\p{M}]+")
+_LED = regex.compile(r"(?:At|By|On|Around|About|Before|After|Until|Till|Since|From|Towards?|Shortly|Just|Exactly|Gegen|Um|Vers|À)\s(?:\S+\s+){0,5}$")
 _CLAUSE_END = regex.compile(r"[.!?…؟।。！？｡\n]|$")
 
 
@@ -56,11 +62,33 @@ def _key(token: str) -> str:
     return token.lower() if token.isascii() else default_form()(token).lower()
 
 
+def _seen_plain(text: str, word: str) -> bool:
+    """Whether ``text`` has ``word`` without a period: in small letters, or as a name amid a sentence."""
+    small, at = word.islower(), text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        ahead, after = text[at - 1] if at else " ", text[end : end + 2]
+        if after and not (ahead.isalnum() or ahead in ".'’-") and (after[0].isspace() or after[0] in ",;:"):
+            if small:
+                return True
+            # before another capital it may be a title written without its period
+            if _amid(text, at) and (after[0] in ",;" or after[1:].islower()):
+                return True
+        at = text.find(word, end)
+    return False
+
+
+def _amid(text: str, at: int) -> bool:
+    """Whether what starts at ``at`` follows a small letter or a comma and a blank."""
+    return at > 1 and text[at - 1] == " " and (text[at - 2].islower() or text[at - 2] in ",;")
+
+
 class Splitter:
-    """Finds where sentences start; ``medial`` holds the corpus's own abbreviations."""
+    """Finds where sentences start; ``medial`` holds the corpus's own abbreviations, ``ordinary`` the listed words it uses as words."""
 
-    def __init__(self, medial: frozenset[str] = frozenset()) -> None:
+    def __init__(self, medial: frozenset[str] = frozenset(), ordinary: frozenset[str] = frozenset()) -> None:
         self.medial = {_key(x) for x in MEDIAL} | medial
+        self.ordinary = ordinary - medial
         self.final = {_key(x) for x in FINAL}
 
     def starts(self, text: str | None) -> list[int]:
@@ -114,7 +142,7 @@ class Splitter:
                 break
             if self._ends(text, begin, m.start(), mark, at, nxt, closed, lambda: own):
                 if mark == "." and own is None:
-                    own = {_key(x[1]) for x in _EVIDENCE.finditer(text)}  # the document's own evidence
+                    own = {_key(w) for w in {x[1] for x in _EVIDENCE.finditer(text)} if not _seen_plain(text, w)}  # the document's own evidence
                     if own and not self._ends(text, begin, m.start(), mark, at, nxt, closed, lambda: own):
                         continue
                 cuts.append(nxt)
@@ -171,9 +199,11 @@ class Splitter:
                     word = token.group()
                     key = _key(word)
                     if key in self.final:
-                        return not follow.isdigit()
-                    if key in self.medial or key in (own() or ()):
+                        return not follow.isdigit() and not (_LED.match(text[begin : token.start()]) and self._name(text, head))
+                    if key in (own() or ()):
                         return False
+                    if key in self.medial:
+                        return self._ordinary(text, word, key, head)
                     if len(word) == 1 and _CASED.match(word) or "." in word and all(len(x) == 1 for x in word.split(".")):
                         return False
         if closed and (mark != "." or not cased):
@@ -185,6 +215,21 @@ class Splitter:
             return opened or follow.isupper() or bool(follow) and not cased and follow.isalpha()
         return bool(follow) or opened
 
+    def _ordinary(self, text: str, word: str, key: str, head: int) -> bool:
+        """Whether ``word``, an abbreviation elsewhere, is a word of its own before what starts at ``head``."""
+        if _NUMERAL.match(text, head):
+            return False
+        return _seen_plain(text, word) or word.islower() and (key in self.ordinary or word in NUMBERED)
+
+    @staticmethod
+    def _name(text: str, head: int) -> bool:
+        """Whether the word at ``head`` is a name: capitalised amid a sentence elsewhere, never in small letters."""
+        m = _NAME.match(text, head)
+        if not m:
+            return False
+        word = regex.escape(m.group())
+        return any(_amid(text, x.start()) for x in regex.finditer(rf"\b{word}\b", text) if x.start() != head) and not regex.search(rf"\b{word.lower()}\b", text)
+
     def _after_number(self, text: str, begin: int, at_mark: int, follow: str, cased: bool) -> bool:
         number = _NUMBER.search(text, max(begin, at_mark - 24), at_mark)
         start = number.start() if number else at_mark
@@ -230,6 +275,17 @@ def corpus_abbreviations(texts: DataFrame, least: int = 5, share: float = 1e-5)
     return frozenset(_key(r["word"]) for r in found.select("word").collect())
 
 
+def corpus_words(texts: DataFrame, least: int = 5) -> frozenset[str]:
+    """Words of the list that ``texts`` use as ordinary words: in small letters, nearly never with a period within a sentence."""
+    listed = "|".join(sorted(w for w in MEDIAL if len(w) > 1 and w.isalpha()))
+    pattern = rf"(?<![\p{{L}}\p{{M}}.'’-])(?:{listed})(?:\.\s+\p{{Ll}}|[\s,;:])"
+    hit = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("hit"))
+    short = F.col("hit").contains(".").cast("int")
+    counts = hit.groupBy(F.regexp_extract("hit", r"^[\p{L}\p{M}]+", 0).alias("word")).agg(F.count("*").alias("n"), F.sum(short).alias("short"))
+    found = counts.filter((F.col("n") - F.col("short") >= least) & (F.col("short") <= 0.02 * F.col("n")))
+    return frozenset(_key(r["word"]) for r in found.select("word").collect())
+
+
 _ARROW = pa.schema([("src", pa.string()), ("row_id", pa.int64()), ("sent_no", pa.int32()), ("sent_start", pa.int32()), ("sent_end", pa.int32())])
 
 
@@ -240,9 +296,10 @@ def sentence_spans(df: DataFrame, medial: frozenset[str] | None = None) -> DataF
     end. Null, empty and blank texts have no sentence; repeated rows repeat.
     """
     known = corpus_abbreviations(df) if medial is None else medial
+    words = corpus_words(df) if medial is None else frozenset()
 
     def make():
-        split = Splitter(known).starts
+        split = Splitter(known, words).starts
 
         def run(c):
             out = [[] for _ in _ARROW]

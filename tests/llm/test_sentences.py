@@ -1,6 +1,6 @@
 import pytest
 
-from galley.llm.sentences import Splitter, corpus_abbreviations, sentence_spans
+from galley.llm.sentences import Splitter, corpus_abbreviations, corpus_words, sentence_spans
 
 S = Splitter()
 CASES = [
@@ -61,6 +61,25 @@ def test_document_evidence_decides():
     assert len(S.starts("The xqz. was small. See xqz. Hill for more.")) == 2
 
 
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        ("He said no. Then he left.", 2), ("He took off his cap. The wind blew.", 2), ("She studied art. She left.", 2), ("See no. 5 and cap. IV there. Done.", 2), ("Gen. Hill met Col. Ames.", 1),
+        ("They told Art to wait. She sat with Art. The bell rang.", 3), ("It had a span of dept. The dept was small.", 2),
+        ("At 6 p.m. Selwyn met her. Nobody saw Selwyn leave.", 2), ("At 6 p.m. Nobody came.", 2), ("He saw Selwyn leave at 6 p.m. Selwyn slept.", 2),
+    ],
+)
+def test_words_and_names_of_the_text_decide(text, n):
+    assert len(S.starts(text)) == n
+
+
+def test_words_of_the_corpus_decide(spark):
+    df = spark.createDataFrame([("a sog and, one approx. two",)] * 9, "text string")
+    words = corpus_words(df)
+    assert words == {"sog"}
+    assert len(Splitter(ordinary=words).starts("It was sog. Then it fell.")) == 2
+
+
 def test_rows_and_corpus(spark):
     rows = [("s", i, f"The qvx. was {i}. Ask qvx. Hill now.") for i in range(40)] + [("s", 99, None), ("s", 98, "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "src string, row_id bigint, text string, sent_no int")
