@@ -220,7 +220,11 @@ _HEX = regex.compile(r"\b(?=[0-9a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}\b")
 _TOKEN = regex.compile(r"[\ue000-\ue002]|[\p{L}\p{M}](?:[\p{L}\p{M}'’]*[\p{L}\p{M}])?|\p{N}+")
 _EAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}]{2,}")
 _HOST = regex.compile(r"(?<![\w./])/?[\w-]+(?:[./][\w-]+)*\.\p{Ll}[\w-]*(?!\w)|(?<!\S)/\w[\w/.-]*")
-_WORD = re.compile(r"[^\W\d_]{2,}")
+_DIGITS = re.compile(r"\d+")
+_SPELT = re.compile(r"[^\W\d_]+(?:['’]+[^\W\d_]+)*")
+#: Signs of which ``_SPELT`` and ``_TOKEN`` may make different words: combining marks, scripts without blanks, odd numbers.
+_ODD = re.compile("[^\x00-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u02c1\u0370-\u0373\u0376-\u0482\u048a-\u052f\u2000-\u206f\u20a0-\u20bf\u2122]")
+_PATH_SIGN = re.compile(r"\.[^\W\d_]|/\w|\d[a-f]|[a-f]\d")
 _QUOTED = "\"'`“”‘’「」"
 _BLANK = regex.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
 _LINE = regex.compile(r"\r\n|\n|\r")
@@ -269,17 +273,27 @@ class Index:
         self.weight |= dict.fromkeys(_SLOTS, 0.0) | dict.fromkeys(_SIGNS, 1.0)
         self.total = [sum(self.weight[w] for w in words) for _, words in self.exemplars]
         self.signs = [words & _SIGNS for _, words in self.exemplars]
-        self.parts = frozenset(x for w in self.vocabulary | _SLOTS for x in _WORD.findall(w)) | {"undefined", "nan", "null", "object"}
-        self.east = frozenset(c for w in self.vocabulary if _EAST.fullmatch(w) for c in w)
+        self.words = self.vocabulary | _SLOTS | {"undefined", "nan", "null", "object"}
 
     def may_be(self, passage: str) -> bool:
-        """False where too few words are any exemplar's for ``passage`` to be residue: the usual case, told cheaply."""
-        words = _WORD.findall(passage.lower())
-        if not passage.isascii() and _EAST.search(passage):
-            signs = [c for w in words for c in w]
-            return sum(map(self.east.__contains__, signs)) + sum(c.isascii() for c in signs) >= 0.5 * len(signs)
-        known = sum(map(self.parts.__contains__, words))
-        return 2 * known >= len(words) or bool(_FIELD_SIGN.search(passage) and _FIELD.search(passage))
+        """False where too few words are any exemplar's for ``passage`` to be residue: the usual case, told cheaply.
+
+        A word of no exemplar weighs as much as any word can, so what ``residue`` accepts
+        has at most (1 - COVER) / COVER of them to each other word, unless it has fields.
+        """
+        if _ODD.search(passage):
+            words = tokens(passage)
+            if FIELD in words:
+                return True
+            known = sum(map(self.words.__contains__, words)) + sum(map(_SIGNS.__contains__, words))
+            return COVER * (len(words) - known) <= (1 - COVER) * known + 1e-6
+        plain = _HOST.sub(" x ", _HEX.sub(" 9 ", passage)) if _PATH_SIGN.search(passage) else passage
+        words = _SPELT.findall(plain.lower().replace("’", "'"))
+        known = sum(map(self.words.__contains__, words))
+        strange = COVER * (len(words) - known)
+        if strange <= (1 - COVER) * known + 1e-6 or strange <= (1 - COVER) * (known + len(_DIGITS.findall(plain))) + 1e-6:
+            return True
+        return bool(_FIELD_SIGN.search(passage) and _FIELD.search(passage))
 
     def residue(self, passage: str) -> str | None:
         """The kind of residue that ``passage`` consists of, or None."""

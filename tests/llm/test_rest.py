@@ -185,6 +185,23 @@ def test_residue(text, found):
     assert bool(residue.Index({}, 1000).document(text)) is found
 
 
+def test_the_cheap_test_rejects_no_residue():
+    path = "/srv/readinghall/volumes/emberfall/ch12.html"
+    index = residue.Index({}, 1000)
+    texts = [text.replace(" f", " {{ f }}").replace(" v", " undefined") for _, _, text in (x.partition(": ") for x in residue.EXEMPLARS.strip().splitlines())]
+    texts += [f"404 {x}" for x in residue.REASONS] + ["502 nginx 1.2 3 4 gone", "Access denied. Fi\u0301n", "ÉRREUR", "Erreur 500 : une erreur interne est survenue", "you’re 404 not found"]
+    accepted = 0
+    for text in texts:
+        for form in ("{}", "{}: " + path, path + " {}.", "{} (ab12cd34ef) reader-7.example.org", "{}\nReference no. 00c0ffee11", "{} ½ x²", "Tale 12: {}", "{} {} 5"):
+            passage = form.replace("{}", text)
+            if index.residue(passage):
+                accepted += 1
+                assert index.may_be(passage), passage
+    assert accepted > 500
+    assert index.document("404 Not Found: " + path) == "error"
+    assert not index.may_be("She walked home to the harbour, and nobody knew her name.")
+
+
 def test_residue_rows(spark):
     df = spark.createDataFrame([(1, "TODO: write the synopsis.", "a"), (2, "She walked home.", "a"), (3, None, "a")], "doc_id bigint, text string, residue string")
     assert {r.doc_id: r.residue for r in residue.with_residue(df).collect()} == {1: "filler", 2: None, 3: None}
