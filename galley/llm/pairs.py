@@ -28,6 +28,8 @@ from galley.session import table
 SAMPLE, GRAMS = 3000, 20_000
 #: An end is likely if its shape is at least this often the end of a prompt, against the most frequent shape of the script.
 END_RATIO = 0.02
+#: A refusal's sentences speak of declining or of the work in this share at least; or it keeps less than LEFT of an English prompt's words.
+DECLINING, LEFT = 0.25, 0.2
 
 # What stands in front of an answer, words for nothing, and how work is declined.
 _LABEL = regex.compile(
@@ -156,11 +158,12 @@ class Judge:
         is no fragment and nothing can be its copy. Very long texts are read whole.
         """
         answer, prompt = bare(after), (before or "").strip()
-        said = wording(answer)
+        form = answer if answer.isascii() else default_form()(answer)
+        said = "".join(_SIGN.findall(form.casefold()))
         if not said or said in _NOTHING and len(answer) < 24:
             return "empty"
         asked = wording(prompt)
-        if self._refuses(answer, asked):
+        if self._refuses(form, prompt, asked):
             return "refusal"
         if said == asked or asked and said.endswith(asked) and self._announced(after or "", answer, prompt, len(said) - len(asked)):
             return "copy"
@@ -181,21 +184,28 @@ class Judge:
         head = answer[: max(0, len(answer) - len(prompt) + 2)]
         return more <= 60 and bool(regex.search(r"[:\n\])]", head))
 
-    @staticmethod
-    def _refuses(answer: str, asked: str) -> bool:
-        low = answer.lower()
+    def _refuses(self, form: str, prompt: str, asked: str) -> bool:
+        """Whether the answer, look-alikes removed, declines: judged over all of its sentences."""
+        low = form.lower()
         if not any(c in low for c in _CUES):
             return False
-        plain = _QUOTED_SPEECH.sub(" ", answer)
-        m = _REFUSAL.search(plain)
-        if not m or m.start() > 160:
-            return False
-        if not _WORK.search(plain):
+        plain = _QUOTED_SPEECH.sub(" ", form)
+        if not _REFUSAL.search(plain) or not _WORK.search(plain):
             return False
-        first = {w for w in _SIGN.findall(answer.lower()) if len(w) > 3}
-        kept = sum(w in asked for w in first)
         # an answer that rewrites keeps most of an English prompt's words
-        return kept < 0.5 * len(first) and len(answer) < 500
+        first = {w for w in _SIGN.findall(low) if len(w) > 3}
+        if sum(w in asked for w in first) >= 0.5 * len(first):
+            return False
+        starts = self.split(plain)
+        sentences = [plain[a:b] for a, b in zip(starts, [*starts[1:], len(plain)])]
+        declines = [bool(_REFUSAL.search(x)) for x in sentences]
+        works = [bool(_WORK.search(x)) for x in sentences]
+        if sum(a or b for a, b in zip(declines, works)) >= DECLINING * len(sentences):
+            return True
+        # a long explanation: the work is declined in so many words and the prompt's are gone
+        wanted = {w for w in _SIGN.findall(default_form()(prompt).lower()) if len(w) > 3}
+        there = sum(w in low for w in wanted)
+        return any(a and b for a, b in zip(declines, works)) and bool(wanted) and there < LEFT * len(wanted) and not self._foreign(prompt)
 
     def _foreign(self, answer: str) -> bool:
         if not answer.isascii():

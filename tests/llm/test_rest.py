@@ -153,6 +153,24 @@ def test_defects(before, after, defect):
     assert judge().defect(before, after) == defect
 
 
+POLITE = "Thank you very much for sharing this wonderful chapter with me, it is clear that a great deal of care went into the people and their house, and I enjoyed it from the first line to the last one. "
+REASONS = "The people in it are hurt at length. Nothing softens what is done to them. Readers would be led to look on. Some of them are children. Others never learn why. " * 4
+
+
+@pytest.mark.parametrize(
+    "before, after, defect",
+    [
+        ("She walked to the harbour where the lamps were lit.", POLITE + "However, I cannot rewrite it.", "refusal"),
+        ("She walked to the harbour where the lamps were lit.", "I'm sorry, but I cannot rewrite this passage. " + REASONS, "refusal"),
+        ("She walked to the harbour where the lamps were lit.", REASONS + "I must decline to edit the passage.", "refusal"),
+        ("She walked to the harbour where the lamps were lit.", "I саnnot rеwrite this.", "refusal"), ("She walked to the harbour where the lamps were lit.", "Ｉ ｃａｎｎｏｔ rewrite this.", "refusal"),
+        ("Er ging zum Hafen und niemand wusste noch, wer das alte Heft gebracht hatte.", "He walked to the harbour and nobody knew. The lamps were lit there. I could not help him then. " + "She walked home and the fox jumped over the dog. " * 3 + "She knew her name. He walked on. The dog was lazy. The lamps were quick. Nobody walked.", None),
+    ],
+)
+def test_refusals_are_judged_whole(before, after, defect):
+    assert judge().defect(before, after) == defect
+
+
 def test_defect_rows(spark):
     docs = spark.createDataFrame([(1, "EN", "the lamps were lit and she walked home"), (2, "de", "niemand wusste noch wer das heft brachte"), (3, None, "x"), (4, "en", None)], "doc_id bigint, lang string, text string")
     edits = spark.createDataFrame([(1, "She walked home.", None, "x"), (2, "She walked home.", "She went home.", "x"), (2, None, "She went home.", "x")], "edit_id bigint, before string, after string, defect string")
