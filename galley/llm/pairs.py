@@ -1,7 +1,8 @@
 """Problem 6: defective pairs of prompt and response, each with its defect.
 
-The languages of prompt and response are the posteriors of a naive Bayes model on
-character n-grams, trained here on a bounded sample of labelled documents. Whether
+The language of the response is the posterior of a naive Bayes model on character
+n-grams, trained here on a bounded sample of labelled documents; answers are to be
+English whatever the prompt's language, which is not used for this defect. Whether
 an answer breaks off is judged by the likelihood of the shape of its end in its
 script, trained on the ends of all prompts; the other defects by what the answer says.
 """
@@ -30,6 +31,8 @@ SAMPLE, GRAMS = 3000, 20_000
 END_RATIO = 0.02
 #: A refusal's sentences speak of declining or of the work in this share at least; or it keeps less than LEFT of an English prompt's words.
 DECLINING, LEFT = 0.25, 0.2
+#: A prompt of this many letters and digits is not found whole at the end of an answer by chance.
+LONG = 40
 
 # What stands in front of an answer, words for nothing, and how work is declined.
 _LABEL = regex.compile(
@@ -165,7 +168,7 @@ class Judge:
         asked = wording(prompt)
         if self._refuses(form, prompt, asked):
             return "refusal"
-        if said == asked or asked and said.endswith(asked) and self._announced(after or "", answer, prompt, len(said) - len(asked)):
+        if said == asked or asked and said.endswith(asked) and self._announced(form, prompt, asked):
             return "copy"
         foreign = self._foreign(answer)
         if not foreign and not self._truncated(prompt, answer):
@@ -179,10 +182,19 @@ class Judge:
         return None
 
     @staticmethod
-    def _announced(after: str, answer: str, prompt: str, more: int) -> bool:
-        """Whether what precedes a copy is no more than an announcement of it."""
-        head = answer[: max(0, len(answer) - len(prompt) + 2)]
-        return more <= 60 and bool(regex.search(r"[:\n\])]", head))
+    def _announced(form: str, prompt: str, asked: str) -> bool:
+        """Whether what precedes a copy is no rewrite of it; before a short prompt it must also end like an announcement."""
+        left, at = len(asked), len(form)
+        while left > 0 and at:  # back over the copy's letters and digits
+            at -= 1
+            left -= len(wording(form[at]))
+        head = form[:at]
+        if len(asked) < LONG and not regex.search(r"[:\n\])][^\p{L}\p{N}]*$", head):
+            return False
+        words = {w for w in _SIGN.findall(head.lower()) if len(w) > 3}
+        wanted = {w for w in _SIGN.findall(default_form()(prompt).lower()) if len(w) > 3}
+        # a rewrite says little else than the prompt, and a good part of it
+        return 2 * sum(w in asked for w in words) < len(words) or 4 * len(wanted & words) < len(wanted) or not words
 
     def _refuses(self, form: str, prompt: str, asked: str) -> bool:
         """Whether the answer, look-alikes removed, declines: judged over all of its sentences."""

@@ -171,6 +171,21 @@ def test_refusals_are_judged_whole(before, after, defect):
     assert judge().defect(before, after) == defect
 
 
+LONG = "She walked to the harbour where the lamps were lit, and nobody knew her name."
+
+
+@pytest.mark.parametrize(
+    "before, after, defect",
+    [
+        (LONG, "I went over every line of this with care and in my view it already reads very well, so nothing was altered anywhere. " + LONG, "copy"),
+        ("She left.", "I went over every line of this with care and in my view it already reads very well, so here it stands:\nShe left.", "copy"),
+        (LONG, "To the harbour she walked, where lamps were lit; nobody there knew her name.\n\n" + LONG, None), ("She left.", "Nobody knew that she left.", None),
+    ],
+)
+def test_copies_behind_any_announcement(before, after, defect):
+    assert judge().defect(before, after) == defect
+
+
 def test_defect_rows(spark):
     docs = spark.createDataFrame([(1, "EN", "the lamps were lit and she walked home"), (2, "de", "niemand wusste noch wer das heft brachte"), (3, None, "x"), (4, "en", None)], "doc_id bigint, lang string, text string")
     edits = spark.createDataFrame([(1, "She walked home.", None, "x"), (2, "She walked home.", "She went home.", "x"), (2, None, "She went home.", "x")], "edit_id bigint, before string, after string, defect string")
