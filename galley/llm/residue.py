@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import regex
@@ -346,15 +346,36 @@ class Index:
         return None
 
 
+def distinct_tokens(text: str) -> set[str]:
+    """The set of ``tokens(text)``, numbers aside; told by plain words where those are the same."""
+    if _ODD.search(text) or _FIELD_SIGN.search(text):
+        return set(tokens(text))
+    plain = _HOST.sub(" x ", _HEX.sub(f" {ID} ", text)) if _PATH_SIGN.search(text) else text
+    return set(_SPELT.findall(_VALUE.sub(" ", plain).lower().replace("’", "'")))
+
+
 def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
     """In how many of all documents each word of the exemplars occurs, and their number.
 
-    Only the exemplars' own words are counted: a fixed vocabulary, whatever the corpus.
+    Words are those of the passages, in every script. Only the exemplars' own words
+    are counted: a fixed vocabulary, whatever the corpus.
     """
-    vocabulary = sorted(w for w in Index().vocabulary if w.isalpha() and w.isascii())
-    words = F.array_distinct(F.split(F.lower("text"), r"[^a-z']+"))
-    hits = docs.select(F.explode(F.array_intersect(words, F.lit(vocabulary))).alias("word"))
-    return {r["word"]: r["count"] for r in hits.groupBy("word").count().collect()}, docs.count()
+    arrow = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def make():
+        vocabulary = Index().vocabulary - _SIGNS
+
+        def run(c):
+            n = Counter()
+            for text in c["text"]:
+                if text:
+                    n.update(vocabulary & distinct_tokens(text))
+            return {"word": list(n), "n": list(n.values())}
+
+        return run
+
+    hits = map_columns(docs.select("text"), make, "word string, n bigint", arrow)
+    return {r["word"]: r["n"] for r in hits.groupBy("word").agg(F.sum("n").alias("n")).collect()}, docs.count()
 
 
 def with_residue(docs: DataFrame) -> DataFrame:

@@ -235,6 +235,14 @@ def test_the_cheap_test_rejects_no_residue():
     assert not index.may_be("She walked home to the harbour, and nobody knew her name.")
 
 
+def test_frequencies_of_every_script(spark):
+    texts = ["Чтобы уйти, он ждал в саду. В саду!", "you’re here", "You're it doesn't", "页面不存在 été", "페이지를 찾을 수 없습니다 404", "इस पृष्ठ को", "página {{ page }} ab12cd34ef /srv/read.html undefined", None, ""]
+    got, n = residue.document_frequencies(spark.createDataFrame([(x,) for x in texts], "text string"))
+    want = Counter(w for x in texts if x for w in set(residue.tokens(x)) & residue.Index().vocabulary - residue._SIGNS)
+    assert n == len(texts) and got == want
+    assert {"чтобы", "в", "doesn't", "页面", "페이지를", "पृष्ठ", "página"} <= set(got)
+
+
 def test_residue_rows(spark):
     df = spark.createDataFrame([(1, "TODO: write the synopsis.", "a"), (2, "She walked home.", "a"), (3, None, "a")], "doc_id bigint, text string, residue string")
     assert {r.doc_id: r.residue for r in residue.with_residue(df).collect()} == {1: "filler", 2: None, 3: None}
