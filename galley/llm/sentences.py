@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.llm.batches import map_columns
@@ -51,7 +51,7 @@ _NUMBER = regex.compile(r"\p{N}[\p{N}.,:]*$")
 _LIST = regex.compile(r"(?:^|\n)[^\S\n]*[(\[]?\p{N}{1,4}$")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
 _THAI = regex.compile(r"[ก-๛]")
-_EVIDENCE = regex.compile(r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]{1,5}(?:\.[\p{L}]{1,2}){0,2})\.\s+[\p{Ll},;]")
+_EVIDENCE = regex.compile(r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]++(?:\.[\p{L}]{1,2})*)\.\s+[\p{Ll},;]")
 _NUMERAL = regex.compile(r"\p{N}|[IVXLCDM]+\b(?!['’])")
 _NAME = regex.compile(r"\p{Lu}[\p{L}\p{M}]+")
 _LED = regex.compile(r"(?:At|By|On|Around|About|Before|After|Until|Till|Since|From|Towards?|Shortly|Just|Exactly|Gegen|Um|Vers|À)\s(?:\S+\s+){0,5}$")
@@ -89,14 +89,17 @@ class Splitter:
     def __init__(self, medial: frozenset[str] = frozenset(), ordinary: frozenset[str] = frozenset()) -> None:
         self.medial = {_key(x) for x in MEDIAL} | medial
         self.ordinary = ordinary - medial
+        self.here: frozenset[str] = frozenset()
         self.final = {_key(x) for x in FINAL}
 
-    def starts(self, text: str | None) -> list[int]:
+    def starts(self, text: str | None, here: frozenset[str] = frozenset()) -> list[int]:
         """Offsets of the first visible character of every sentence, the first included.
 
         A null, empty or blank text has none. What stands between two offsets, white
-        space included, is one sentence: nothing is lost.
+        space included, is one sentence: nothing is lost. ``here`` holds the corpus's
+        abbreviations among the words of this text.
         """
+        self.here = here
         if not text or text.isspace():
             return []
         if not text.isascii() and _INVISIBLE.search(text):
@@ -190,7 +193,7 @@ class Splitter:
                     return follow.isalpha() and before.isalpha() and not _CASED.match(before)
                 token = _TOKEN.search(text, max(begin, at_mark - 24), at_mark)
                 word = token.group() if token else ""
-                return (len(word) > 1 and "." not in word or before.isdigit()) and head + 1 < len(text) and text[head + 1].islower() and _key(word) not in self.medial
+                return (len(word) > 1 and "." not in word or before.isdigit()) and head + 1 < len(text) and text[head + 1].islower() and _key(word) not in self.medial and _key(word) not in self.here
             if not closed:
                 if before.isdigit():
                     return self._after_number(text, begin, at_mark, follow, cased)
@@ -202,7 +205,7 @@ class Splitter:
                         return not follow.isdigit() and not (_LED.match(text[begin : token.start()]) and self._name(text, head))
                     if key in (own() or ()):
                         return False
-                    if key in self.medial:
+                    if key in self.medial or key in self.here:
                         return self._ordinary(text, word, key, head)
                     if len(word) == 1 and _CASED.match(word) or "." in word and all(len(x) == 1 for x in word.split(".")):
                         return False
@@ -219,7 +222,7 @@ class Splitter:
         """Whether ``word``, an abbreviation elsewhere, is a word of its own before what starts at ``head``."""
         if _NUMERAL.match(text, head):
             return False
-        return _seen_plain(text, word) or word.islower() and (key in self.ordinary or word in NUMBERED)
+        return _seen_plain(text, word) or word.islower() and (key in self.ordinary and key not in self.here or word in NUMBERED)
 
     @staticmethod
     def _name(text: str, head: int) -> bool:
@@ -259,20 +262,43 @@ class Splitter:
         return out
 
 
-def corpus_abbreviations(texts: DataFrame, least: int = 5, share: float = 1e-5) -> frozenset[str]:
-    """Words that nearly always stand before a period within a sentence, over all of ``texts``.
+def _visible_text() -> Column:
+    return F.when(F.octet_length("text") == F.char_length("text"), F.col("text")).otherwise(F.regexp_replace("text", _INVISIBLE.pattern.replace(r"\U000e0000-\U000e01ef", r"\x{e0000}-\x{e01ef}"), ""))
 
-    A word must make up ``share`` of all short words before periods, so that at most
-    1 / ``share`` of them can reach the driver, whatever the corpus.
+
+def abbreviation_table(texts: DataFrame, least: int = 5) -> DataFrame:
+    """(word, key) of words that nearly always stand before a period within a sentence, over all of ``texts``.
+
+    Words of any length and any number of them: a table, decided by the evidence of each alone.
     """
-    pattern = r"(?<![\p{L}\p{M}.])[\p{L}\p{M}]{1,5}(?:\.\p{L}{1,2}){0,2}\.\s+[\p{L}\p{N}]"
-    hit = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("hit"))
+    pattern = r"(?<![\p{L}\p{M}.])[\p{L}\p{M}]++(?:\.\p{L}{1,2})*\.\s+[\p{L}\p{N}]"
+    hit = texts.select(F.explode(F.regexp_extract_all(_visible_text(), F.lit(pattern), F.lit(0))).alias("hit"))
     word = F.lower(F.regexp_extract("hit", r"^(.*?)\.\s+.$", 1))
     inside = F.regexp_like("hit", F.lit(r"[\p{Ll}\p{N}]$")).cast("int")
     counts = hit.groupBy(word.alias("word")).agg(F.count("*").alias("n"), F.sum(inside).alias("inside"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.filter((F.col("inside") >= least) & (F.col("inside") >= 0.98 * F.col("n")) & (F.col("n") >= share * total))
-    return frozenset(_key(r["word"]) for r in found.select("word").collect())
+    arrow = pa.schema([("word", pa.string()), ("key", pa.string()), ("sure", pa.bool_())])
+    sure = (F.col("inside") >= least) & (F.col("inside") >= 0.98 * F.col("n"))
+
+    def make():
+        return lambda c: {"word": c["word"], "key": [_key(w) for w in c["word"]], "sure": c["sure"]}
+
+    keyed = map_columns(counts.select("word", sure.alias("sure")), make, "word string, key string, sure boolean", arrow)
+    # look-alikes of a sure word are it too
+    return keyed.withColumn("sure", F.max("sure").over(Window.partitionBy("key"))).filter("sure").select("word", "key")
+
+
+def corpus_abbreviations(texts: DataFrame, least: int = 5) -> frozenset[str]:
+    """The keys of ``abbreviation_table``, gathered: for small corpora and single texts."""
+    return frozenset(r["key"] for r in abbreviation_table(texts, least).select("key").distinct().collect())
+
+
+def with_abbreviations(df: DataFrame) -> DataFrame:
+    """``df`` (src, row_id, text) with ``here``: the corpus's abbreviations among the words of each row, null for none."""
+    words = F.regexp_extract_all(F.lower(_visible_text()), F.lit(r"([\p{L}\p{M}]++(?:\.[\p{L}\p{M}]+)*)\."), F.lit(1))
+    met = df.select("src", "row_id", F.explode(F.array_distinct(words)).alias("word"))
+    # rows of one id share a set, each then finds in it what it has
+    known = met.join(abbreviation_table(df), "word").groupBy(F.col("src").alias("_src"), F.col("row_id").alias("_row")).agg(F.collect_set("key").alias("here"))
+    return df.join(known, F.col("src").eqNullSafe(F.col("_src")) & F.col("row_id").eqNullSafe(F.col("_row")), "left").select("src", "row_id", "text", "here")
 
 
 def corpus_words(texts: DataFrame, least: int = 5) -> frozenset[str]:
@@ -295,18 +321,19 @@ def sentence_spans(df: DataFrame, medial: frozenset[str] | None = None) -> DataF
     The spans of a text follow each other from its first visible character to its
     end. Null, empty and blank texts have no sentence; repeated rows repeat.
     """
-    known = corpus_abbreviations(df) if medial is None else medial
+    rows = df.select("src", "row_id", "text")
+    rows = with_abbreviations(rows) if medial is None else rows.withColumn("here", F.lit(None).cast("array<string>"))
     words = corpus_words(df) if medial is None else frozenset()
 
     def make():
-        split = Splitter(known, words).starts
+        split = Splitter(medial or frozenset(), words).starts
 
         def run(c):
             out = [[] for _ in _ARROW]
-            for src, row, text in zip(c["src"], c["row_id"], c["text"]):
+            for src, row, text, here in zip(c["src"], c["row_id"], c["text"], c["here"]):
                 if not text:
                     continue
-                s = split(text)
+                s = split(text, frozenset(here or ()))
                 k = len(s)
                 out[0] += [src] * k
                 out[1] += [row] * k
@@ -317,7 +344,7 @@ def sentence_spans(df: DataFrame, medial: frozenset[str] | None = None) -> DataF
 
         return run
 
-    return map_columns(df.select("src", "row_id", "text"), make, "src string, row_id bigint, sent_no int, sent_start int, sent_end int", _ARROW)
+    return map_columns(rows, make, "src string, row_id bigint, sent_no int, sent_start int, sent_end int", _ARROW)
 
 
 def sentence_at(starts: list[int], offset: int) -> int:

@@ -92,3 +92,12 @@ def test_rows_and_corpus(spark):
         spans = sorted((r.sent_start, r.sent_end) for r in out if r.row_id == k)
         assert "".join(text[k][a:b] for a, b in spans) == text[k]
     assert sentence_spans(df.limit(0)).count() == 0
+
+
+def test_evidence_decides_alike_at_every_size(spark):
+    rows = [("s", i, f"The qvx. was {i}, the quvexin. was {i}. Done.") for i in range(6)] + [("s", 8, "Ask qvx. “Hill” now."), ("s", 9, "Ask quvexin. “Hill” now."), ("s", None, "Ask qvx. “Hill” now. Go.")]
+    df = spark.createDataFrame(rows, "src string, row_id bigint, text string")
+    many = df.unionByName(spark.range(700_000).selectExpr("'t' AS src", "id AS row_id", "'It ended. It began.' AS text"))
+    for d in (df, many):
+        out = sentence_spans(d).filter("src = 's' AND (row_id > 7 OR row_id IS NULL)").collect()
+        assert sorted((r.row_id or 0, r.sent_no) for r in out) == [(0, 0), (0, 1), (8, 0), (9, 0)]
