@@ -352,15 +352,16 @@ def sentence_at(starts: list[int], offset: int) -> int:
     return bisect_right(starts, offset) - 1
 
 
-def _texts(spark, sf_dir: str) -> DataFrame:
-    seg = table(spark, sf_dir, "segments").filter(F.col("tag").isin("p", "li", "blockquote"))
-    seg = seg.select(F.lit("segments").alias("src"), F.col("seg_id").alias("row_id"), "text")
+def _texts(spark, sf_dir: str, *tags: str) -> DataFrame:
+    """Spans, and segments: those of ``tags``, or all."""
+    seg = table(spark, sf_dir, "segments")
+    seg = (seg.filter(F.col("tag").isin(*tags)) if tags else seg).select(F.lit("segments").alias("src"), F.col("seg_id").alias("row_id"), "text")
     span = table(spark, sf_dir, "spans").select(F.lit("spans").alias("src"), F.col("span_id").alias("row_id"), "text")
     return seg.unionByName(span)
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
-    return sentence_spans(_texts(spark, sf_dir)).filter("sent_no > 0").select("src", "row_id", "sent_start")
+    return sentence_spans(_texts(spark, sf_dir, "p", "li", "blockquote")).filter("sent_no > 0").select("src", "row_id", "sent_start")
 
 
 def p3_sentences(spark, sf_dir: str) -> DataFrame:

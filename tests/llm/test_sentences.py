@@ -1,6 +1,6 @@
 import pytest
 
-from galley.llm.sentences import Splitter, corpus_abbreviations, corpus_words, sentence_spans
+from galley.llm.sentences import Splitter, corpus_abbreviations, corpus_words, p3_found, p3_sentences, sentence_spans
 
 S = Splitter()
 CASES = [
@@ -101,3 +101,11 @@ def test_evidence_decides_alike_at_every_size(spark):
     for d in (df, many):
         out = sentence_spans(d).filter("src = 's' AND (row_id > 7 OR row_id IS NULL)").collect()
         assert sorted((r.row_id or 0, r.sent_no) for r in out) == [(0, 0), (0, 1), (8, 0), (9, 0)]
+
+
+def test_sentences_of_every_segment(spark, tmp_path):
+    rows = [(1, "p", "One went. Two went."), (2, "h1", "A title"), (3, None, "No tag. Still here."), (4, "td", "A cell"), (5, "pre", "code")]
+    spark.createDataFrame(rows, "seg_id bigint, tag string, text string").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([(7, "A span.")], "span_id bigint, text string").write.parquet(f"{tmp_path}/spans.parquet")
+    assert {(r.src, r.row_id) for r in p3_sentences(spark, str(tmp_path)).collect()} == {*(("segments", i) for i in range(1, 6)), ("spans", 7)}
+    assert [(r.src, r.row_id, r.sent_start) for r in p3_found(spark, str(tmp_path)).collect()] == [("segments", 1, 10)]
