@@ -1,10 +1,10 @@
 """Problem 3: sentences in every language and script, in order and with nothing lost.
 
 A mark is judged by what stands around it. Whether a word before a period is an
-abbreviation is decided by the document first (it occurs there before a small
-letter, or without a period as a word or a name), then by the corpus (it nearly
-always does), then by a list; marks of scripts without case or without periods have
-rules of their own.
+abbreviation, and whether one after it is a name, is decided by the document first (it
+occurs there before a small letter, or without a period as a word or a name), then by
+the corpus (it nearly always does), then by a list; marks of scripts without case or
+without periods have rules of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from galley.llm.batches import map_columns
 from galley.llm.looks import _INVISIBLE, default_form
-from galley.session import table
+from galley.session import checkpointed, table
 
 # Abbreviations of eight languages, without their last period.
 MEDIAL = """
@@ -89,17 +89,18 @@ class Splitter:
     def __init__(self, medial: frozenset[str] = frozenset(), ordinary: frozenset[str] = frozenset()) -> None:
         self.medial = {_key(x) for x in MEDIAL} | medial
         self.ordinary = ordinary - medial
-        self.here: frozenset[str] = frozenset()
+        self.here: frozenset[str] | set[str] = frozenset()
+        self.names: frozenset[str] | set[str] = frozenset()
         self.final = {_key(x) for x in FINAL}
 
-    def starts(self, text: str | None, here: frozenset[str] = frozenset()) -> list[int]:
+    def starts(self, text: str | None, here: frozenset[str] | set[str] = frozenset(), names: frozenset[str] | set[str] = frozenset()) -> list[int]:
         """Offsets of the first visible character of every sentence, the first included.
 
         A null, empty or blank text has none. What stands between two offsets, white
-        space included, is one sentence: nothing is lost. ``here`` holds the corpus's
-        abbreviations among the words of this text.
+        space included, is one sentence: nothing is lost. ``here`` holds abbreviations
+        and ``names`` names that the text's document or corpus tell of.
         """
-        self.here = here
+        self.here, self.names = here, names
         if not text or text.isspace():
             return []
         if not text.isascii() and _INVISIBLE.search(text):
@@ -224,12 +225,13 @@ class Splitter:
             return False
         return _seen_plain(text, word) or word.islower() and (key in self.ordinary and key not in self.here or word in NUMBERED)
 
-    @staticmethod
-    def _name(text: str, head: int) -> bool:
-        """Whether the word at ``head`` is a name: capitalised amid a sentence elsewhere, never in small letters."""
+    def _name(self, text: str, head: int) -> bool:
+        """Whether the word at ``head`` is a name: capitalised amid a sentence elsewhere in the document, never in small letters."""
         m = _NAME.match(text, head)
         if not m:
             return False
+        if _key(m.group()) in self.names:
+            return True
         word = regex.escape(m.group())
         return any(_amid(text, x.start()) for x in regex.finditer(rf"\b{word}\b", text) if x.start() != head) and not regex.search(rf"\b{word.lower()}\b", text)
 
@@ -266,16 +268,36 @@ def _visible_text() -> Column:
     return F.when(F.octet_length("text") == F.char_length("text"), F.col("text")).otherwise(F.regexp_replace("text", _INVISIBLE.pattern.replace(r"\U000e0000-\U000e01ef", r"\x{e0000}-\x{e01ef}"), ""))
 
 
-def abbreviation_table(texts: DataFrame, least: int = 5) -> DataFrame:
-    """(word, key) of words that nearly always stand before a period within a sentence, over all of ``texts``.
+_HIT = r"(?<![\p{L}\p{M}.])[\p{L}\p{M}]++(?:\.\p{L}{1,2})*\.\s+[\p{L}\p{N},;][\p{L}\p{M}]*"
 
-    Words of any length and any number of them: a table, decided by the evidence of each alone.
+
+def _sites(texts: DataFrame) -> DataFrame:
+    """(kind, doc, word, n, inside): what stands around the periods of ``texts`` (doc, text), counted.
+
+    Kind `w` is a word before a period in the corpus, ``inside`` how often a small
+    letter or a number follows; `d` a word, not of the list, that a document has before
+    a small letter or comma; `n` a capitalised word after an abbreviation that may end
+    a sentence. Sums are made before the shuffle; only `d` and `n`, which are few, grow
+    with the documents.
     """
-    pattern = r"(?<![\p{L}\p{M}.])[\p{L}\p{M}]++(?:\.\p{L}{1,2})*\.\s+[\p{L}\p{N}]"
-    hit = texts.select(F.explode(F.regexp_extract_all(_visible_text(), F.lit(pattern), F.lit(0))).alias("hit"))
-    word = F.lower(F.regexp_extract("hit", r"^(.*?)\.\s+.$", 1))
-    inside = F.regexp_like("hit", F.lit(r"[\p{Ll}\p{N}]$")).cast("int")
-    counts = hit.groupBy(word.alias("word")).agg(F.count("*").alias("n"), F.sum(inside).alias("inside"))
+    hit = texts.select("doc", F.explode(F.regexp_extract_all(_visible_text(), F.lit(_HIT), F.lit(0))).alias("hit"))
+    follow = F.regexp_extract("hit", r"[\p{L}\p{N},;][\p{L}\p{M}]*$", 0)
+    hit = hit.select("doc", F.lower(F.expr("left(hit, length(hit) - length(substring_index(hit, '.', -1)) - 1)")).alias("word"), follow.alias("follow"))
+    small = F.col("follow").rlike(r"^\p{Ll}")
+    inside = small | F.col("follow").rlike(r"^\p{N}")
+    amid = small | F.col("follow").isin(",", ";")
+    listed = F.col("word").isin(*sorted({x.lower() for x in [*MEDIAL, *FINAL]}))
+    none = F.lit(None).cast("string")
+    site = lambda kind, doc, word: F.struct(F.lit(kind).alias("kind"), doc.alias("doc"), word.alias("word"))
+    every = site("w", none, F.col("word"))
+    own = F.when(amid & ~listed & F.col("doc").isNotNull(), site("d", F.col("doc"), F.col("word")))
+    name = F.when(F.col("word").isin(*FINAL) & F.col("follow").rlike(r"^\p{Lu}[\p{L}\p{M}]") & F.col("doc").isNotNull(), site("n", F.col("doc"), F.lower("follow")))
+    each = hit.select(inside.cast("int").alias("inside"), F.explode(F.array_compact(F.array(every, own, name))).alias("s"))
+    return each.groupBy("s.kind", "s.doc", "s.word").agg(F.count("*").alias("n"), F.sum("inside").alias("inside"))
+
+
+def _sure_words(counts: DataFrame, least: int) -> DataFrame:
+    """(word, key) of the words of ``counts`` (word, n, inside) that nearly always stand within a sentence."""
     arrow = pa.schema([("word", pa.string()), ("key", pa.string()), ("sure", pa.bool_())])
     sure = (F.col("inside") >= least) & (F.col("inside") >= 0.98 * F.col("n"))
 
@@ -287,18 +309,57 @@ def abbreviation_table(texts: DataFrame, least: int = 5) -> DataFrame:
     return keyed.withColumn("sure", F.max("sure").over(Window.partitionBy("key"))).filter("sure").select("word", "key")
 
 
+def abbreviation_table(texts: DataFrame, least: int = 5) -> DataFrame:
+    """(word, key) of words that nearly always stand before a period within a sentence, over all of ``texts``.
+
+    Words of any length and any number of them: a table, decided by the evidence of each alone.
+    """
+    return _sure_words(_sites(texts.select(F.lit(None).cast("string").alias("doc"), "text")).filter("kind = 'w'"), least)
+
+
 def corpus_abbreviations(texts: DataFrame, least: int = 5) -> frozenset[str]:
     """The keys of ``abbreviation_table``, gathered: for small corpora and single texts."""
     return frozenset(r["key"] for r in abbreviation_table(texts, least).select("key").distinct().collect())
 
 
-def with_abbreviations(df: DataFrame) -> DataFrame:
-    """``df`` (src, row_id, text) with ``here``: the corpus's abbreviations among the words of each row, null for none."""
+def evidence(texts: DataFrame, least: int = 5) -> DataFrame:
+    """(doc, word, key, kind): what documents and corpus tell of their words, over all of ``texts`` (doc, text).
+
+    Kind `abbr` with a document: the document has the word before a small letter or
+    comma, and never without a period in small letters or amid a sentence. Kind `abbr`
+    with a null document: the corpus nearly always has it within a sentence. Kind
+    `name`: the document has it capitalised amid a sentence and never in small letters;
+    only names that follow an abbreviation are asked for. Texts of a null document
+    tell nothing about each other.
+    """
+    sites = checkpointed(_sites(texts))
+    sure = checkpointed(_sure_words(sites.filter("kind = 'w'"), least))
+    asked = sites.filter("kind <> 'w'").select("doc", "word", "kind").join(sure.select("word"), "word", "left_anti")
+    # where those documents have the words amid sentences: unambiguous occurrences elsewhere
+    small = F.regexp_extract_all(_visible_text(), F.lit(r"(?<![\p{L}\p{M}.'’-])\p{Ll}[\p{L}\p{M}]*+(?=[\s,;:])"), F.lit(0))
+    capital = F.regexp_extract_all(_visible_text(), F.lit(r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}\p{M}]*+(?=[\s,;:])"), F.lit(0))
+    rows = texts.join(asked.select("doc").distinct(), "doc", "left_semi")
+    seen = rows.select("doc", F.explode(F.array_distinct(F.concat(small, capital))).alias("as")).select("doc", F.lower("as").alias("word"), (F.lower("as") == F.col("as")).alias("small"))
+    how = seen.join(asked.select("doc", "word").distinct(), ["doc", "word"], "left_semi").groupBy("doc", "word").agg(F.max("small").alias("small"), F.min("small").alias("only"))
+    told = asked.join(how, ["doc", "word"], "left").filter("kind = 'd' AND small IS NULL OR kind = 'n' AND NOT small")
+    of_docs = told.select("doc", "word", F.col("word").alias("key"), F.when(F.col("kind") == "d", "abbr").otherwise("name").alias("kind"))
+    return of_docs.unionByName(sure.select(F.lit(None).cast("string").alias("doc"), "word", "key", F.lit("abbr").alias("kind")))
+
+
+#: Evidence up to this many rows is sent to every task, beyond it is joined to the texts by word; results are the same.
+SHARED = 100_000
+
+
+def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (src, row_id, doc, text) with ``here`` and ``names``: what ``known`` tells of the words of each, null for nothing."""
     words = F.regexp_extract_all(F.lower(_visible_text()), F.lit(r"([\p{L}\p{M}]++(?:\.[\p{L}\p{M}]+)*)\."), F.lit(1))
-    met = df.select("src", "row_id", F.explode(F.array_distinct(words)).alias("word"))
+    after = F.regexp_extract_all(F.lower(_visible_text()), F.lit(r"\.\s+[^\p{L}\p{N}]*([\p{L}\p{M}]+)"), F.lit(1))
+    met = rows.select("src", "row_id", "doc", F.explode(F.array_distinct(F.concat(words, after))).alias("word"))
+    told = met.join(known.filter("doc IS NULL").drop("doc"), "word").unionByName(met.join(known.filter("doc IS NOT NULL"), ["doc", "word"]))
     # rows of one id share a set, each then finds in it what it has
-    known = met.join(abbreviation_table(df), "word").groupBy(F.col("src").alias("_src"), F.col("row_id").alias("_row")).agg(F.collect_set("key").alias("here"))
-    return df.join(known, F.col("src").eqNullSafe(F.col("_src")) & F.col("row_id").eqNullSafe(F.col("_row")), "left").select("src", "row_id", "text", "here")
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("key")))
+    sets = told.groupBy(F.col("src").alias("_src"), F.col("row_id").alias("_row")).agg(of("abbr").alias("here"), of("name").alias("names"))
+    return rows.join(sets, F.col("src").eqNullSafe(F.col("_src")) & F.col("row_id").eqNullSafe(F.col("_row")), "left").select("src", "row_id", "doc", "text", "here", "names")
 
 
 def corpus_words(texts: DataFrame, least: int = 5) -> frozenset[str]:
@@ -315,25 +376,45 @@ def corpus_words(texts: DataFrame, least: int = 5) -> frozenset[str]:
 _ARROW = pa.schema([("src", pa.string()), ("row_id", pa.int64()), ("sent_no", pa.int32()), ("sent_start", pa.int32()), ("sent_end", pa.int32())])
 
 
-def sentence_spans(df: DataFrame, medial: frozenset[str] | None = None) -> DataFrame:
-    """(src, row_id, sent_no, sent_start, sent_end) of ``df`` (src, row_id, text).
+def sentence_spans(df: DataFrame, medial: frozenset[str] | None = None, shared: int = SHARED) -> DataFrame:
+    """(src, row_id, sent_no, sent_start, sent_end) of ``df`` (src, row_id, text, and doc where it is known).
 
     The spans of a text follow each other from its first visible character to its
-    end. Null, empty and blank texts have no sentence; repeated rows repeat.
+    end. Null, empty and blank texts have no sentence; repeated rows repeat. Rows of one
+    ``doc`` are one document: what one says about an abbreviation or a name holds for
+    all. Without ``doc``, or where it is null, a row is a document of its own.
     """
-    rows = df.select("src", "row_id", "text")
-    rows = with_abbreviations(rows) if medial is None else rows.withColumn("here", F.lit(None).cast("array<string>"))
-    words = corpus_words(df) if medial is None else frozenset()
+    doc = F.col("doc").cast("string") if "doc" in df.columns else F.lit(None).cast("string")
+    rows = df.select("src", "row_id", doc.alias("doc"), "text")
+    nothing = F.lit(None).cast("array<string>")
+    corpus, of_doc, words = medial or frozenset(), {}, frozenset()
+    if medial is None:
+        known = checkpointed(evidence(rows.select("doc", "text")))
+        words = corpus_words(rows)
+        if known.count() <= shared:
+            for r in known.collect():
+                if r["doc"] is None:
+                    corpus |= {r["key"]}
+                else:
+                    of_doc.setdefault(r["doc"], (set(), set()))[r["kind"] == "name"].add(_key(r["key"]))
+            rows = rows.withColumn("here", nothing).withColumn("names", nothing)
+        else:
+            rows = _joined(rows, known)
+    else:
+        rows = rows.withColumn("here", nothing).withColumn("names", nothing)
 
     def make():
-        split = Splitter(medial or frozenset(), words).starts
+        split = Splitter(corpus, words).starts
 
         def run(c):
             out = [[] for _ in _ARROW]
-            for src, row, text, here in zip(c["src"], c["row_id"], c["text"], c["here"]):
+            for src, row, doc, text, here, names in zip(c["src"], c["row_id"], c["doc"], c["text"], c["here"], c["names"]):
                 if not text:
                     continue
-                s = split(text, frozenset(here or ()))
+                told = of_doc.get(doc)
+                if here or names:
+                    told = ({_key(k) for k in here or ()}, {_key(k) for k in names or ()})
+                s = split(text, *(told or ()))
                 k = len(s)
                 out[0] += [src] * k
                 out[1] += [row] * k
@@ -353,10 +434,11 @@ def sentence_at(starts: list[int], offset: int) -> int:
 
 
 def _texts(spark, sf_dir: str, *tags: str) -> DataFrame:
-    """Spans, and segments: those of ``tags``, or all."""
-    seg = table(spark, sf_dir, "segments")
-    seg = (seg.filter(F.col("tag").isin(*tags)) if tags else seg).select(F.lit("segments").alias("src"), F.col("seg_id").alias("row_id"), "text")
-    span = table(spark, sf_dir, "spans").select(F.lit("spans").alias("src"), F.col("span_id").alias("row_id"), "text")
+    """Spans, and segments: those of ``tags``, or all; a chapter is a document."""
+    seg, span = table(spark, sf_dir, "segments"), table(spark, sf_dir, "spans")
+    doc = lambda df: (F.col("item_id") if "item_id" in df.columns else F.lit(None).cast("string")).alias("doc")
+    seg = (seg.filter(F.col("tag").isin(*tags)) if tags else seg).select(F.lit("segments").alias("src"), F.col("seg_id").alias("row_id"), doc(seg), "text")
+    span = span.select(F.lit("spans").alias("src"), F.col("span_id").alias("row_id"), doc(span), "text")
     return seg.unionByName(span)
 
 

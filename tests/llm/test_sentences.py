@@ -109,3 +109,33 @@ def test_sentences_of_every_segment(spark, tmp_path):
     spark.createDataFrame([(7, "A span.")], "span_id bigint, text string").write.parquet(f"{tmp_path}/spans.parquet")
     assert {(r.src, r.row_id) for r in p3_sentences(spark, str(tmp_path)).collect()} == {*(("segments", i) for i in range(1, 6)), ("spans", 7)}
     assert [(r.src, r.row_id, r.sent_start) for r in p3_found(spark, str(tmp_path)).collect()] == [("segments", 1, 10)]
+
+
+DOCS = [
+    ("a", "s", 1, "They waited in the hall with the zlq. and the lamp."),
+    ("a", "s", 2, "The zlq. Hill was there. It rained."),
+    ("b", "s", 3, "The zlq. Hill was there. It rained."),
+    ("c", "s", 4, "The vrk. was here, and a vrk of old."),
+    ("c", "s", 5, "Nobody saw the vrk. Hill was there."),
+    ("d", "s", 6, "In the end Morvane left, as Morvane does."),
+    ("d", "s", 7, "At 6 p.m. Morvane met her. Then it rained."),
+    ("e", "s", 8, "At 6 p.m. Morvane met her. Then it rained."),
+    ("f", "s", 9, "The old Table is a table of oak."),
+    ("f", "s", 10, "At 6 p.m. Table met her."),
+    (None, "s", 11, "The zlq. and the lamp."),
+    (None, "s", 12, "The zlq. Hill was there."),
+    ("a", "s", None, "The zlq. Hill was there."),
+    ("a", "t", 13, None),
+]
+
+
+@pytest.mark.parametrize("shared", [100_000, 0])
+def test_one_row_of_a_document_tells_of_another(spark, shared):
+    df = spark.createDataFrame([(d, s, i, t, 1) for d, s, i, t in DOCS], "doc string, src string, row_id bigint, text string, here int")
+    out = sentence_spans(df, shared=shared).filter("sent_no > 0").collect()
+    cuts = {i: sorted(r.sent_start for r in out if r.row_id == i) for _, _, i, _ in DOCS}
+    at = lambda i, word: dict((k, t) for _, _, k, t in DOCS)[i].index(word)
+    assert cuts[2] == [at(2, "It")] and cuts[3] == [at(3, "Hill"), at(3, "It")]
+    assert cuts[5] == [at(5, "Hill")]  # seen without a period in its document
+    assert cuts[7] == [at(7, "Then")] and cuts[8] == [at(8, "Morvane"), at(8, "Then")]
+    assert cuts[10] == [at(10, "Table")] and cuts[12] == [at(12, "Hill")] and cuts[None] == []
