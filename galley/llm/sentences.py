@@ -9,8 +9,10 @@ without periods have rules of their own.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Callable
+from itertools import repeat
 
 import pyarrow as pa
 import regex
@@ -41,7 +43,7 @@ _SAYS = r"(?:said|says|asked|demanded|shouted|called|cried|murmured|told|whisper
 _ATTRIBUTION = regex.compile(rf"(?:\p{{Lu}}[\p{{L}}\p{{M}}’'.-]*\s+){{1,3}}{_SAYS}\b(?!\s+(?:for|about|whether|if|it|that)\b)")
 _CASELESS_SAYS = regex.compile("[道说問问喊叫答吼嚷喝]|^と|물었|말했|외쳤|대답했|소리|속삭|중얼|पूछा|कहा|बोल|चिल्ला|سأل|قال|صاح|هتف|أجاب|همس|ถาม|กล่าว|ตะโกน")
 
-_MARKS = regex.compile(r"[.!?…؟।॥。！？｡．‼⁇⁈⁉]+|\n[^\S\n]*\n")
+_MARKS = re.compile(r"[.!?…؟।॥。！？｡．‼⁇⁈⁉]+|\n[^\S\n]*\n")
 _EAST_MARKS = frozenset("。！？｡।॥")
 _CLOSE = frozenset("”»›)]）】」』〉》")
 _NARROW = frozenset(" \u00a0\u2009\u202f")
@@ -364,7 +366,10 @@ def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def corpus_words(texts: DataFrame, least: int = 5) -> frozenset[str]:
     """Words of the list that ``texts`` use as ordinary words: in small letters, nearly never with a period within a sentence."""
-    listed = "|".join(sorted(w for w in MEDIAL if len(w) > 1 and w.isalpha()))
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(w for w in MEDIAL if len(w) > 1 and w.isalpha()):
+        by_first.setdefault(w[0], []).append(w[1:])
+    listed = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by_first.items())  # by first letter: one look a word
     pattern = rf"(?<![\p{{L}}\p{{M}}.'’-])(?:{listed})(?:\.\s+\p{{Ll}}|[\s,;:])"
     hit = texts.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("hit"))
     short = F.col("hit").contains(".").cast("int")
@@ -386,7 +391,6 @@ def sentence_spans(df: DataFrame, medial: frozenset[str] | None = None, shared:
     """
     doc = F.col("doc").cast("string") if "doc" in df.columns else F.lit(None).cast("string")
     rows = df.select("src", "row_id", doc.alias("doc"), "text")
-    nothing = F.lit(None).cast("array<string>")
     corpus, of_doc, words = medial or frozenset(), {}, frozenset()
     if medial is None:
         known = checkpointed(evidence(rows.select("doc", "text")))
@@ -397,18 +401,16 @@ def sentence_spans(df: DataFrame, medial: frozenset[str] | None = None, shared:
                     corpus |= {r["key"]}
                 else:
                     of_doc.setdefault(r["doc"], (set(), set()))[r["kind"] == "name"].add(_key(r["key"]))
-            rows = rows.withColumn("here", nothing).withColumn("names", nothing)
         else:
             rows = _joined(rows, known)
-    else:
-        rows = rows.withColumn("here", nothing).withColumn("names", nothing)
 
     def make():
         split = Splitter(corpus, words).starts
 
         def run(c):
             out = [[] for _ in _ARROW]
-            for src, row, doc, text, here, names in zip(c["src"], c["row_id"], c["doc"], c["text"], c["here"], c["names"]):
+            joined = c.get("here"), c.get("names")
+            for src, row, doc, text, here, names in zip(c["src"], c["row_id"], c["doc"], c["text"], joined[0] or repeat(None), joined[1] or repeat(None)):
                 if not text:
                     continue
                 told = of_doc.get(doc)
