@@ -13,6 +13,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable
 from itertools import repeat
+from unicodedata import category
 
 import pyarrow as pa
 import regex
@@ -48,18 +49,46 @@ _EAST_MARKS = frozenset("。！？｡।॥")
 _CLOSE = frozenset("”»›)]）】」』〉》")
 _NARROW = frozenset(" \u00a0\u2009\u202f")
 _OPEN = regex.compile(r"[\"'“”„«»‹›‘’(\[（【「『〈《¡¿—–\-\s*_#>\p{So}\p{Sk}\p{Cn}…]*")
-_TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*$")
-_NUMBER = regex.compile(r"\p{N}[\p{N}.,:]*$")
-_LIST = regex.compile(r"(?:^|\n)[^\S\n]*[(\[]?\p{N}{1,4}$")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
 _THAI = regex.compile(r"[ก-๛]")
-_EVIDENCE = regex.compile(r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]++(?:\.[\p{L}]{1,2})*)\.\s+[\p{Ll},;]")
+_GOES_ON = re.compile(r"\.\s+(?=[^\W\d_A-Z]|[,;])")
 _NUMERAL = regex.compile(r"\p{N}|[IVXLCDM]+\b(?!['’])")
 _NAME = regex.compile(r"\p{Lu}[\p{L}\p{M}]+")
 _LED = regex.compile(r"(?:At|By|On|Around|About|Before|After|Until|Till|Since|From|Towards?|Shortly|Just|Exactly|Gegen|Um|Vers|À)\s(?:\S+\s+){0,5}$")
 _CLAUSE_END = regex.compile(r"[.!?…؟।。！？｡\n]|$")
 
 
+def _word_before(text: str, begin: int, end: int) -> str:
+    """The word, with periods within it, that ends at ``end`` and starts at ``begin`` or later; of any length."""
+    at = end
+    while at > begin and ((c := text[at - 1]).isalpha() or c == "." or c > "\u02ff" and category(c)[0] == "M"):
+        at -= 1
+    word = text[at:end]
+    return "" if word[-1:] == "." else word.rpartition("..")[2].lstrip(".")
+
+
+def _shortened(text: str) -> set[str]:
+    """Words of ``text`` with a period before a small letter or a comma; parts after a period within have two letters at most."""
+    out = set()
+    for m in _GOES_ON.finditer(text):
+        if text[m.end()] in ",;" or category(text[m.end()]) == "Ll":
+            word = _word_before(text, 0, m.start())
+            first, _, rest = word.partition(".")
+            if word and text[m.start() - len(word) - 1 : m.start() - len(word)] != "." and all(len(x) < 3 and x.isalpha() for x in rest.split(".") if rest):
+                out.add(word)
+    return out
+
+
+def _number_before(text: str, begin: int, end: int) -> int:
+    """Where the number that ends at ``end`` starts; ``end`` if there is none."""
+    at = end
+    while at > begin and ((c := text[at - 1]).isdigit() or c in ".,:" or c > "\x7f" and category(c)[0] == "N"):
+        at -= 1
+    while at < end and text[at] in ".,:":
+        at += 1
+    return at
+
+
 def _key(token: str) -> str:
     return token.lower() if token.isascii() else default_form()(token).lower()
 
@@ -148,7 +177,7 @@ class Splitter:
                 break
             if self._ends(text, begin, m.start(), mark, at, nxt, closed, lambda: own):
                 if mark == "." and own is None:
-                    own = {_key(w) for w in {x[1] for x in _EVIDENCE.finditer(text)} if not _seen_plain(text, w)}  # the document's own evidence
+                    own = {_key(w) for w in _shortened(text) if not _seen_plain(text, w)}  # the text's own evidence
                     if own and not self._ends(text, begin, m.start(), mark, at, nxt, closed, lambda: own):
                         continue
                 cuts.append(nxt)
@@ -194,18 +223,15 @@ class Splitter:
                     return text[nxt] not in "-_#*>'’" and (follow.isupper() or not cased and follow.isalpha())
                 if not cased:
                     return follow.isalpha() and before.isalpha() and not _CASED.match(before)
-                token = _TOKEN.search(text, max(begin, at_mark - 24), at_mark)
-                word = token.group() if token else ""
+                word = _word_before(text, begin, at_mark)
                 return (len(word) > 1 and "." not in word or before.isdigit()) and head + 1 < len(text) and text[head + 1].islower() and _key(word) not in self.medial and _key(word) not in self.here
             if not closed:
                 if before.isdigit():
                     return self._after_number(text, begin, at_mark, follow, cased)
-                token = _TOKEN.search(text, max(begin, at_mark - 24), at_mark)
-                if token:
-                    word = token.group()
+                if word := _word_before(text, begin, at_mark):
                     key = _key(word)
                     if key in self.final:
-                        return not follow.isdigit() and not (_LED.match(text[begin : token.start()]) and self._name(text, head))
+                        return not follow.isdigit() and not (_LED.match(text[begin : at_mark - len(word)]) and self._name(text, head))
                     if key in (own() or ()):
                         return False
                     if key in self.medial or key in self.here:
@@ -238,13 +264,21 @@ class Splitter:
         return any(_amid(text, x.start()) for x in regex.finditer(rf"\b{word}\b", text) if x.start() != head) and not regex.search(rf"\b{word.lower()}\b", text)
 
     def _after_number(self, text: str, begin: int, at_mark: int, follow: str, cased: bool) -> bool:
-        number = _NUMBER.search(text, max(begin, at_mark - 24), at_mark)
-        start = number.start() if number else at_mark
-        if not text[begin:start].strip(" \t([") or _LIST.search(text, max(0, at_mark - 8), at_mark):
+        start = _number_before(text, begin, at_mark)
+        if not text[begin:start].strip(" \t([") or at_mark - start <= 4 and self._opens_line(text, start):
             return False  # the number of a list item
-        words = text[max(begin, start - 16) : start].split()
+        words = text[begin:start].rsplit(None, 1)
         return not (words and words[-1].lower() in _ORDINAL_BEFORE and cased and at_mark - start <= 2)
 
+    @staticmethod
+    def _opens_line(text: str, at: int) -> bool:
+        """Whether nothing but blanks and a bracket stand before ``at`` in its line."""
+        if at and text[at - 1] in "([":
+            at -= 1
+        while at and text[at - 1].isspace() and text[at - 1] != "\n":
+            at -= 1
+        return not at or text[at - 1] == "\n"
+
     @staticmethod
     def _quoted_caseless(text: str, at: int, nxt: int, spaced: bool) -> bool:
         """After a closed quotation in a script without case: not before the words that say who speaks."""
@@ -260,7 +294,7 @@ class Splitter:
                 continue
             if not (_THAI.match(text[a - 1]) or _THAI.match(text[b])):
                 continue
-            if text[b].isdigit() or text[a - 1].isdigit() or _NUMBER.search(text, max(first, a - 12), a - 1) and text[a - 1] in ".)%:":
+            if text[b].isdigit() or text[a - 1].isdigit() or _number_before(text, first, a - 1) < a - 1 and text[a - 1] in ".)%:":
                 continue
             out.append(b)
         return out
@@ -270,6 +304,8 @@ def _visible_text() -> Column:
     return F.when(F.octet_length("text") == F.char_length("text"), F.col("text")).otherwise(F.regexp_replace("text", _INVISIBLE.pattern.replace(r"\U000e0000-\U000e01ef", r"\x{e0000}-\x{e01ef}"), ""))
 
 
+#: Evidence up to this many rows is sent to every task, beyond it is joined to the texts by word; results are the same.
+SHARED = 100_000
 _HIT = r"(?<![\p{L}\p{M}.])[\p{L}\p{M}]++(?:\.\p{L}{1,2})*\.\s+[\p{L}\p{N},;][\p{L}\p{M}]*"
 
 
@@ -336,22 +372,19 @@ def evidence(texts: DataFrame, least: int = 5) -> DataFrame:
     """
     sites = checkpointed(_sites(texts))
     sure = checkpointed(_sure_words(sites.filter("kind = 'w'"), least))
-    asked = sites.filter("kind <> 'w'").select("doc", "word", "kind").join(sure.select("word"), "word", "left_anti")
+    asked = checkpointed(sites.filter("kind <> 'w'").select("doc", "word", "kind").join(sure.select("word"), "word", "left_anti"))
+    few = F.broadcast if asked.count() <= SHARED else lambda df: df  # else Spark chooses
     # where those documents have the words amid sentences: unambiguous occurrences elsewhere
     small = F.regexp_extract_all(_visible_text(), F.lit(r"(?<![\p{L}\p{M}.'’-])\p{Ll}[\p{L}\p{M}]*+(?=[\s,;:])"), F.lit(0))
     capital = F.regexp_extract_all(_visible_text(), F.lit(r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}\p{M}]*+(?=[\s,;:])"), F.lit(0))
-    rows = texts.join(asked.select("doc").distinct(), "doc", "left_semi")
+    rows = texts.join(few(asked.select("doc").distinct()), "doc", "left_semi")
     seen = rows.select("doc", F.explode(F.array_distinct(F.concat(small, capital))).alias("as")).select("doc", F.lower("as").alias("word"), (F.lower("as") == F.col("as")).alias("small"))
-    how = seen.join(asked.select("doc", "word").distinct(), ["doc", "word"], "left_semi").groupBy("doc", "word").agg(F.max("small").alias("small"), F.min("small").alias("only"))
+    how = seen.join(few(asked.select("doc", "word").distinct()), ["doc", "word"], "left_semi").groupBy("doc", "word").agg(F.max("small").alias("small"), F.min("small").alias("only"))
     told = asked.join(how, ["doc", "word"], "left").filter("kind = 'd' AND small IS NULL OR kind = 'n' AND NOT small")
     of_docs = told.select("doc", "word", F.col("word").alias("key"), F.when(F.col("kind") == "d", "abbr").otherwise("name").alias("kind"))
     return of_docs.unionByName(sure.select(F.lit(None).cast("string").alias("doc"), "word", "key", F.lit("abbr").alias("kind")))
 
 
-#: Evidence up to this many rows is sent to every task, beyond it is joined to the texts by word; results are the same.
-SHARED = 100_000
-
-
 def _joined(rows: DataFrame, known: DataFrame) -> DataFrame:
     """``rows`` (src, row_id, doc, text) with ``here`` and ``names``: what ``known`` tells of the words of each, null for nothing."""
     words = F.regexp_extract_all(F.lower(_visible_text()), F.lit(r"([\p{L}\p{M}]++(?:\.[\p{L}\p{M}]+)*)\."), F.lit(1))
