@@ -180,7 +180,8 @@ filler: 示例文本
 filler: 此处填写章节内容
 filler: 여기에 텍스트를 입력하세요
 pool: lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum
-pool: lorem ipsum dolor amet illum molem nonem venit aridum cantus solem tempora caritas vidus santo vertat silvam opulo rector fugit quorem pulvis melior deserat
+pool: sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo nemo enim ipsam quia voluptas aspernatur aut odit fugit consequuntur magni dolores eos ratione sequi nesciunt neque porro quisquam est qui dolorem adipisci velit numquam eius modi tempora incidunt magnam aliquam quaerat
+pool: at vero eos accusamus iusto odio dignissimos ducimus blanditiis praesentium voluptatum deleniti atque corrupti quos quas molestias excepturi similique mollitia animi harum quidem rerum facilis expedita distinctio nam libero tempore cum soluta nobis eligendi optio cumque nihil impedit quo minus quod maxime placeat facere possimus assumenda repellendus temporibus autem quibusdam officiis debitis necessitatibus saepe eveniet voluptates repudiandae recusandae itaque earum hic tenetur sapiente delectus reiciendis maiores alias perferendis doloribus asperiores repellat illum fugiat
 template: hello f thank you for reading f
 template: dear f your chapter f is ready
 template: welcome back f
@@ -203,6 +204,10 @@ template: total v items v
 REASONS = "not found|page not found|forbidden|bad gateway|bad request|unauthorized|internal server error|internal error|gone|gateway timeout|service unavailable|service temporarily unavailable|unavailable|too many requests|request timeout|method not allowed|not implemented".split("|")
 _STATUS = ("9 {}", "{} 9", "error 9 {}", "failed to fetch 9 {}", "http 9 9 9 {}", "status 9 reason {} resource")
 
+# How Latin words end; the first alone mark filler, the others go with it.
+_LATIN_ENDS = frozenset("um em am im us it at et or ur is nt ae".split())
+_LATIN_ALSO = frozenset("as es os".split())
+
 #: Words that say nothing about a passage: articles and what the residue is about.
 _SLOTS = frozenset("the a an this our of chapter page book volume site library reader list reading contents table file server resource document x".split())
 
@@ -220,11 +225,12 @@ _HEX = regex.compile(r"\b(?=[0-9a-f]*\d)(?=\d*[a-f])[0-9a-f]{6,}\b")
 _TOKEN = regex.compile(r"[\ue000-\ue002]|[\p{L}\p{M}](?:[\p{L}\p{M}'’]*[\p{L}\p{M}])?|\p{N}+")
 _EAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}]{2,}")
 _HOST = regex.compile(r"(?<![\w./])/?[\w-]+(?:[./][\w-]+)*\.\p{Ll}[\w-]*(?!\w)|(?<!\S)/\w[\w/.-]*")
+_PATH_AT = re.compile(r"\.[^\W\d_]|/\w")
+_HEX_AT = re.compile(r"\d[a-f]|[a-f]\d")
 _DIGITS = re.compile(r"\d+")
 _SPELT = re.compile(r"[^\W\d_]+(?:['’]+[^\W\d_]+)*")
 #: Signs of which ``_SPELT`` and ``_TOKEN`` may make different words: combining marks, scripts without blanks, odd numbers.
 _ODD = re.compile("[^\x00-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u02c1\u0370-\u0373\u0376-\u0482\u048a-\u052f\u2000-\u206f\u20a0-\u20bf\u2122]")
-_PATH_SIGN = re.compile(r"\.[^\W\d_]|/\w|\d[a-f]|[a-f]\d")
 _QUOTED = "\"'`“”‘’「」"
 _BLANK = regex.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
 _LINE = regex.compile(r"\r\n|\n|\r")
@@ -237,13 +243,39 @@ def _field(m: regex.Match) -> str:
     return " " if quoted else f" {FIELD} "
 
 
+def _without_paths(text: str, sign: str) -> str:
+    """``text`` with ids as ``sign`` and hosts, files and paths as x; only what stands around a dot or slash is looked at."""
+    if _HEX_AT.search(text):
+        text = _HEX.sub(sign, text)
+    out, at, n = [], 0, len(text)
+    for m in _PATH_AT.finditer(text):
+        a, b = m.span()
+        if a < at:
+            continue
+        while a > at and not text[a - 1].isspace():
+            a -= 1
+        while b < n and not text[b].isspace():
+            b += 1
+        out += (text[at:a], _HOST.sub(" x ", text[a:b]))
+        at = b
+    return "".join(out) + text[at:] if out else text
+
+
+def _marked(passage: str) -> str:
+    """``passage`` with one sign for each field, unfilled value and id, and x for paths."""
+    if _FIELD_SIGN.search(passage):
+        passage = _FIELD.sub(_field, passage)
+    return _without_paths(_VALUE.sub(f" {VALUE} ", passage), f" {ID} ")
+
+
 def tokens(passage: str) -> list[str]:
     """Words of a passage; fields, unfilled values and ids become one sign each."""
-    if "_" in passage or any(c in passage for c in "{[<%@#$&«"):
-        passage = _FIELD.sub(_field, passage)
-    passage = _HOST.sub(" x ", _HEX.sub(f" {ID} ", _VALUE.sub(f" {VALUE} ", passage)))
+    return _words(_marked(passage))
+
+
+def _words(marked: str) -> list[str]:
     out = []
-    for w in _TOKEN.findall(passage.lower()):
+    for w in _TOKEN.findall(marked.lower()):
         if w.isdigit():
             out.append("9")
         elif not w.isascii() and _EAST.search(w):
@@ -253,6 +285,11 @@ def tokens(passage: str) -> list[str]:
     return out
 
 
+def _latin(word: str) -> bool:
+    """Whether ``word`` ends as a Latin word may."""
+    return word[-2:] in _LATIN_ENDS or word[-1:] in "aoie" or word[-2:] in _LATIN_ALSO
+
+
 class Index:
     """The exemplars by word, with weights from document frequencies."""
 
@@ -267,6 +304,7 @@ class Index:
             for w in words:
                 self.postings[w].append(i)
         self.vocabulary = frozenset(self.postings)
+        self.pool = frozenset().union(*(words for kind, words in self.exemplars if kind == "pool"))
         frequency = frequency or {}
         self.most = 1 + math.log(n_docs + 1)
         self.weight = {w: 1 + math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for w in self.vocabulary}
@@ -286,15 +324,31 @@ class Index:
             if FIELD in words:
                 return True
             known = sum(map(self.words.__contains__, words)) + sum(map(_SIGNS.__contains__, words))
+            if self._mock_latin(words):
+                return True
             return COVER * (len(words) - known) <= (1 - COVER) * known + 1e-6
-        plain = _HOST.sub(" x ", _HEX.sub(" 9 ", passage)) if _PATH_SIGN.search(passage) else passage
+        plain = _without_paths(passage, " 9 ")
         words = _SPELT.findall(plain.lower().replace("’", "'"))
         known = sum(map(self.words.__contains__, words))
         strange = COVER * (len(words) - known)
+        # filler in words of no list: its words of a pool and Latin-like ones count
+        if 2 * sum(w in self.pool or w[-2:] in _LATIN_ENDS for w in words) >= len(words) and not self.pool.isdisjoint(words):
+            return True
         if strange <= (1 - COVER) * known + 1e-6 or strange <= (1 - COVER) * (known + len(_DIGITS.findall(plain))) + 1e-6:
             return True
         return bool(_FIELD_SIGN.search(passage) and _FIELD.search(passage))
 
+    def _mock_latin(self, seq: list[str]) -> set[str]:
+        """The Latin-like words of a passage that is mostly such words, with some of a pool among them; else none.
+
+        Filler goes on in words that no list has: of a pool the endings count beside the words.
+        """
+        words = [w for w in seq if w not in _SIGNS]
+        strong = [w for w in words if w in self.pool or len(w) > 3 and w[-2:] in _LATIN_ENDS and w.isascii()]
+        if len(words) < 4 or 2 * len(strong) < len(words) or not any(len(w) > 3 for w in self.pool.intersection(strong)):
+            return set()
+        return {*strong, *(w for w in words if len(w) > 3 and _latin(w))}
+
     def residue(self, passage: str) -> str | None:
         """The kind of residue that ``passage`` consists of, or None."""
         seq = tokens(passage)
@@ -306,6 +360,9 @@ class Index:
             for i in self.postings[w]:
                 inside[i] += self.weight[w]
         covered, kinds = set(), defaultdict(float)
+        if mock := self._mock_latin(seq):
+            covered |= mock
+            kinds["filler"] += self.most
         for i, got in inside.items():
             kind, words = self.exemplars[i]
             if kind == "pool":
@@ -347,11 +404,9 @@ class Index:
 
 
 def distinct_tokens(text: str) -> set[str]:
-    """The set of ``tokens(text)``, numbers aside; told by plain words where those are the same."""
-    if _ODD.search(text) or _FIELD_SIGN.search(text):
-        return set(tokens(text))
-    plain = _HOST.sub(" x ", _HEX.sub(f" {ID} ", text)) if _PATH_SIGN.search(text) else text
-    return set(_SPELT.findall(_VALUE.sub(" ", plain).lower().replace("’", "'")))
+    """The set of ``tokens(text)``, numbers and signs aside; told by plain words where those are the same."""
+    marked = _marked(text)
+    return set(_words(marked) if _ODD.search(text) else _SPELT.findall(marked.lower().replace("’", "'")))
 
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:

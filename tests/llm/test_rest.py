@@ -235,6 +235,26 @@ def test_the_cheap_test_rejects_no_residue():
     assert not index.may_be("She walked home to the harbour, and nobody knew her name.")
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("Lorem ipsum dolor burnat vexum corit palum nevus tarem.", "filler"),
+        ("Vexum corit amet palum, nevus tarem brunat. Solit dolorem parunt vexor.", "filler"),
+        ("At vero eos et accusamus et iusto odio dignissimos ducimus.", "filler"),
+        ("Lorem ipsum is the text that a designer puts where content belongs.", None),
+        ("Los cantos eran largos y el hombre no sabe nada de eso, pero canta.", None),
+        ("Il est venu au port et la porte était fermée; il a crié, et elle a chanté.", None),
+        ("Das Album kam am Abend um acht, und es war gut, dass er im Haus ist.", None),
+        ("It sat at the door; that is it, or so it felt at least.", None),
+        ("La cantante amava il mare e la sua terra; alias magna est.", None),
+    ],
+)
+def test_filler_in_words_of_no_list(text, kind):
+    index = residue.Index()
+    assert index.document(text) == kind
+    assert index.may_be(text) or kind is None
+
+
 def test_frequencies_of_every_script(spark):
     texts = ["Чтобы уйти, он ждал в саду. В саду!", "you’re here", "You're it doesn't", "页面不存在 été", "페이지를 찾을 수 없습니다 404", "इस पृष्ठ को", "página {{ page }} ab12cd34ef /srv/read.html undefined", None, ""]
     got, n = residue.document_frequencies(spark.createDataFrame([(x,) for x in texts], "text string"))
