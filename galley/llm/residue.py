@@ -290,6 +290,10 @@ def _latin(word: str) -> bool:
     return word[-2:] in _LATIN_ENDS or word[-1:] in "aoie" or word[-2:] in _LATIN_ALSO
 
 
+#: Chunks between blanks up to this length are remembered, so many at a time: work saved, no result changed.
+_CHUNK, _CHUNKS = 40, 200_000
+
+
 class Index:
     """The exemplars by word, with weights from document frequencies."""
 
@@ -304,6 +308,7 @@ class Index:
             for w in words:
                 self.postings[w].append(i)
         self.vocabulary = frozenset(self.postings)
+        self.memory: dict[str, tuple[int, int, int, int]] = {}
         self.pool = frozenset().union(*(words for kind, words in self.exemplars if kind == "pool"))
         frequency = frequency or {}
         self.most = 1 + math.log(n_docs + 1)
@@ -313,30 +318,53 @@ class Index:
         self.signs = [words & _SIGNS for _, words in self.exemplars]
         self.words = self.vocabulary | _SLOTS | {"undefined", "nan", "null", "object"}
 
-    def may_be(self, passage: str) -> bool:
-        """False where too few words are any exemplar's for ``passage`` to be residue: the usual case, told cheaply.
+    def _counts(self, chunk: str) -> tuple[int, int, int, int]:
+        """Of a chunk without blanks: its words, those of exemplars and signs, the Latin-like ones, those of a pool."""
+        if _ODD.search(chunk):
+            words = tokens(chunk)
+            signs = sum(map(_SIGNS.__contains__, words))
+        else:
+            plain = _without_paths(chunk, " 9 ")
+            words = _SPELT.findall(plain.lower().replace("’", "'"))
+            signs = len(_DIGITS.findall(plain))
+        known = sum(map(self.words.__contains__, words)) + signs
+        return len(words), known, sum(w in self.pool or w[-2:] in _LATIN_ENDS for w in words), sum(map(self.pool.__contains__, words))
+
+    def _sums(self, passage: str) -> tuple[int, int, int, int]:
+        """``_counts`` of all chunks of ``passage``; those of short chunks are remembered."""
+        n = known = latin = pool = 0
+        memory = self.memory
+        for chunk in passage.split():
+            c = memory.get(chunk)
+            if c is None:
+                c = self._counts(chunk)
+                if len(chunk) <= _CHUNK:
+                    if len(memory) >= _CHUNKS:
+                        memory.clear()
+                    memory[chunk] = c
+            n += c[0]
+            known += c[1]
+            latin += c[2]
+            pool += c[3]
+        return n, known, latin, pool
+
+    @staticmethod
+    def _enough(n: int, known: int, latin: int, pool: int) -> bool:
+        """Whether a passage of these sums may be residue.
 
         A word of no exemplar weighs as much as any word can, so what ``residue`` accepts
-        has at most (1 - COVER) / COVER of them to each other word, unless it has fields.
+        without a field has at most (1 - COVER) / COVER of them to each other word, or is
+        filler, whose words of a pool and Latin-like ones are half of it.
         """
-        if _ODD.search(passage):
-            words = tokens(passage)
-            if FIELD in words:
-                return True
-            known = sum(map(self.words.__contains__, words)) + sum(map(_SIGNS.__contains__, words))
-            if self._mock_latin(words):
-                return True
-            return COVER * (len(words) - known) <= (1 - COVER) * known + 1e-6
-        plain = _without_paths(passage, " 9 ")
-        words = _SPELT.findall(plain.lower().replace("’", "'"))
-        known = sum(map(self.words.__contains__, words))
-        strange = COVER * (len(words) - known)
-        # filler in words of no list: its words of a pool and Latin-like ones count
-        if 2 * sum(w in self.pool or w[-2:] in _LATIN_ENDS for w in words) >= len(words) and not self.pool.isdisjoint(words):
-            return True
-        if strange <= (1 - COVER) * known + 1e-6 or strange <= (1 - COVER) * (known + len(_DIGITS.findall(plain))) + 1e-6:
-            return True
-        return bool(_FIELD_SIGN.search(passage) and _FIELD.search(passage))
+        return COVER * (n - known) <= (1 - COVER) * known + 1e-6 or pool > 0 and 2 * latin >= n
+
+    @staticmethod
+    def _has_field(passage: str) -> bool:
+        return bool(_FIELD_SIGN.search(passage)) and ("[object" in passage or bool(_FIELD.search(passage)))
+
+    def may_be(self, passage: str) -> bool:
+        """False where too few words are any exemplar's for ``passage`` to be residue: the usual case, told cheaply."""
+        return self._enough(*self._sums(passage)) or self._has_field(passage)
 
     def _mock_latin(self, seq: list[str]) -> set[str]:
         """The Latin-like words of a passage that is mostly such words, with some of a pool among them; else none.
@@ -393,20 +421,43 @@ class Index:
         for paragraph in _BLANK.split(text):
             if not paragraph or paragraph.isspace():
                 continue
-            if self.may_be(paragraph) and (kind := self.residue(paragraph)):
-                return kind
             lines = _LINE.split(paragraph)
+            sums = [self._sums(line) for line in lines]
+            field = self._has_field(paragraph)
+            if (field or self._enough(*map(sum, zip(*sums)))) and (kind := self.residue(paragraph)):
+                return kind
             if len(lines) > 1:
-                for line in lines:
-                    if line and self.may_be(line) and (kind := self.residue(line)):
+                for line, of in zip(lines, sums):
+                    if line and (self._enough(*of) or field and self._has_field(line)) and (kind := self.residue(line)):
                         return kind
         return None
 
 
-def distinct_tokens(text: str) -> set[str]:
-    """The set of ``tokens(text)``, numbers and signs aside; told by plain words where those are the same."""
-    marked = _marked(text)
-    return set(_words(marked) if _ODD.search(text) else _SPELT.findall(marked.lower().replace("’", "'")))
+class Words:
+    """Tells which words of a vocabulary a text has among its ``tokens``."""
+
+    def __init__(self, vocabulary: frozenset[str]) -> None:
+        self.vocabulary = vocabulary
+        self.memory: dict[str, frozenset[str]] = {}
+
+    def of(self, text: str) -> set[str]:
+        """The vocabulary's words in ``text``: by chunks between blanks, once fields and values that hold blanks are marked."""
+        if _FIELD_SIGN.search(text):
+            text = _FIELD.sub(_field, text).replace("[object Object]", f" {VALUE} ")
+        out: set[str] = set()
+        memory = self.memory
+        for chunk in set(text.split()):
+            words = memory.get(chunk)
+            if words is None:
+                marked = _without_paths(_VALUE.sub(f" {VALUE} ", chunk), f" {ID} ")
+                words = self.vocabulary.intersection(_words(marked) if _ODD.search(chunk) else _SPELT.findall(marked.lower().replace("’", "'")))
+                if len(chunk) <= _CHUNK:
+                    if len(memory) >= _CHUNKS:
+                        memory.clear()
+                    memory[chunk] = words
+            if words:
+                out |= words
+        return out
 
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
@@ -418,13 +469,13 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
     arrow = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def make():
-        vocabulary = Index().vocabulary - _SIGNS
+        words = Words(Index().vocabulary - _SIGNS)
 
         def run(c):
             n = Counter()
             for text in c["text"]:
                 if text:
-                    n.update(vocabulary & distinct_tokens(text))
+                    n.update(words.of(text))
             return {"word": list(n), "n": list(n.values())}
 
         return run
