@@ -65,10 +65,8 @@ def _sized(docs: DataFrame, targets: DataFrame, path: str | None) -> tuple[DataF
     key = lambda c: F.lower(F.trim(c))
     wanted = targets.filter("weight > 0 AND max_repeats > 0 AND source IS NOT NULL").groupBy(key(F.col("source")).alias("source")).agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
     listed = docs.select("doc_id", "text", key(F.col("source")).alias("source")).join(wanted.select("source"), "source", "left_semi")
-    counts = token_ids(listed, path, count_only=True)
-    # ids of the listed documents with their sources; the texts are gone by now
-    sized = checkpointed(listed.select("doc_id", "source").join(counts, "doc_id"))
-    return wanted, sized
+    # sizes of the listed documents with their sources; the texts are gone by now
+    return wanted, checkpointed(token_ids(listed, path, count_only=True, carry="source"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:

@@ -106,7 +106,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     keyed = hist.groupBy("grp").agg(F.collect_list(F.struct("piece_size", "n")).alias("sizes"))  # at most ``capacity`` entries
     keyed = checkpointed(keyed.withColumn("gk", F.monotonically_increasing_id()))
-    places = map_columns(keyed.select("gk", "sizes"), make, "gk bigint, piece_size int, starts array<bigint>, per_bin array<bigint>, first_bin array<bigint>", arrow)
+    # filling costs much more than its rows weigh: spread by number, not by size
+    spread = keyed.select("gk", "sizes").repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gk")
+    places = map_columns(spread, make, "gk bigint, piece_size int, starts array<bigint>, per_bin array<bigint>, first_bin array<bigint>", arrow)
     places = places.join(keyed.select("gk", "grp"), "gk").drop("gk").withColumnRenamed("grp", "pgrp").withColumnRenamed("piece_size", "psize")
 
     same = lambda a, b, x, y: F.col(a).eqNullSafe(F.col(b)) & (F.col(x) == F.col(y))

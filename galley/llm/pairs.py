@@ -1,8 +1,9 @@
 """Problem 6: defective pairs of prompt and response, each with its defect.
 
-The language of the response is the posterior of a naive Bayes model on character
-n-grams, trained here on a bounded sample of labelled documents; answers are to be
-English whatever the prompt's language, which is not used for this defect. Whether
+The language of the response is judged by the posteriors of prompt and response under
+a naive Bayes model on character n-grams, trained here on a bounded sample of labelled
+documents: a response is expected in English or, left undone, in the prompt's
+language, so that the prompt's posterior is the prior of what is not English. Whether
 an answer breaks off is judged by the likelihood of the shape of its end in its
 script, trained on the ends of all prompts; the other defects by what the answer says.
 """
@@ -23,10 +24,12 @@ from galley.llm.batches import map_columns
 from galley.llm.looks import _INVISIBLE, default_form
 from galley.llm.repeats import SHARE, repeated_share
 from galley.llm.sentences import MEDIAL, Splitter, _key
-from galley.session import table
+from galley.session import checkpointed, table
 
 #: Bounds of the language model: labelled documents it is trained on at most, and n-grams kept of a language.
 SAMPLE, GRAMS = 3000, 20_000
+#: Prior of a language that neither is English nor the prompt's.
+FLOOR = 0.05
 #: An end is likely if its shape is at least this often the end of a prompt, against the most frequent shape of the script.
 END_RATIO = 0.02
 #: A refusal's sentences speak of declining or of the work in this share at least; or it keeps less than LEFT of an English prompt's words.
@@ -115,16 +118,21 @@ class Languages:
         total: dict[str, Counter] = defaultdict(Counter)
         for lang, text in rows:
             total[lang].update(cls.grams(text))
+        kept = {lang: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:GRAMS]) for lang, c in total.items()}
+        return cls.of_counts(kept, {lang: sum(c.values()) for lang, c in total.items()})
+
+    @classmethod
+    def of_counts(cls, kept: dict[str, dict[str, int]], total: dict[str, int]) -> Languages:
+        """From the counts of each language's kept n-grams and of all of its n-grams."""
         model = cls(sorted(total))
-        kept = {lang: dict(c.most_common(GRAMS)) for lang, c in total.items()}
         for c in kept.values():
             for g in c:
                 model.row_of.setdefault(g, len(model.row_of))
         model.logs = np.full((len(model.row_of) + 1, len(model.names)), 0.5)
         for k, lang in enumerate(model.names):
-            for g, n in kept[lang].items():
+            for g, n in kept.get(lang, {}).items():
                 model.logs[model.row_of[g], k] += n
-            model.logs[:, k] = np.log(model.logs[:, k] / (sum(total[lang].values()) + GRAMS))
+            model.logs[:, k] = np.log(model.logs[:, k] / (total[lang] + GRAMS))
         return model
 
     def posterior(self, text: str) -> dict[str, float]:
@@ -170,13 +178,13 @@ class Judge:
             return "refusal"
         if said == asked or asked and said.endswith(asked) and self._announced(form, prompt, asked):
             return "copy"
-        foreign = self._foreign(answer)
+        foreign = self._foreign(answer, prompt)
         if not foreign and not self._truncated(prompt, answer):
             return None
         # an answer caught in a loop is judged by its language alone, each word of it once
         looping = repeated_share(answer) >= SHARE
         if foreign and looping:
-            foreign = self._foreign(" ".join(dict.fromkeys(answer.split())))
+            foreign = self._foreign(" ".join(dict.fromkeys(answer.split())), prompt)
         if foreign or not looping:
             return "language" if foreign else "truncated"
         return None
@@ -219,13 +227,22 @@ class Judge:
         there = sum(w in low for w in wanted)
         return any(a and b for a, b in zip(declines, works)) and bool(wanted) and there < LEFT * len(wanted) and not self._foreign(prompt)
 
-    def _foreign(self, answer: str) -> bool:
+    def _foreign(self, answer: str, prompt: str | None = None) -> bool:
+        """Whether ``answer`` is not English, given that it is so or in the language of ``prompt``."""
         if not answer.isascii():
             letters = len(_LETTERS.findall(answer))
             if 2 * len(_LATIN.findall(answer)) < letters:
                 return True
         p = self.languages.posterior(answer)
-        return bool(p) and p.get("en", 0.0) < 0.5
+        english = p.get("en", 0.0)
+        # the prior favours English by 1 to (1 + FLOOR) / FLOOR: other odds are decided without the prompt
+        if not p or english >= 0.5:
+            return False
+        if prompt is None or english * (1 + FLOOR) < FLOOR * (1 - english):
+            return True
+        asked = self.languages.posterior(prompt)
+        prior = {x: 0.5 * (x == "en") + 0.5 * asked.get(x, 0.0) + FLOOR for x in p}
+        return english * prior["en"] < 0.5 * sum(p[x] * prior[x] for x in p)
 
     def _truncated(self, prompt: str, answer: str) -> bool:
         if not prompt or not self._complete(prompt):
@@ -257,13 +274,35 @@ class Judge:
 
 
 def train_languages(docs: DataFrame, sample: int = SAMPLE) -> Languages:
-    """The language model of a hashed sample of at most about ``sample`` labelled documents (lang, text)."""
+    """The language model of a hashed sample of at most about ``sample`` labelled documents (doc_id, lang, text).
+
+    N-grams are counted where the texts are; only those kept reach the driver.
+    """
     lang = F.lower(F.trim("lang"))
     labelled = docs.filter(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     n = labelled.count()
     # the share that gives the bound; every language is trained on what falls into it
     some = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // sample)))) == 0)
-    return Languages.train([(r["lang"], r["text"]) for r in some.select(lang.alias("lang"), "text").collect()])
+    arrow = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+
+    def make():
+        def run(c):
+            counts: dict[str, Counter] = defaultdict(Counter)
+            for lang, text in zip(c["lang"], c["text"]):
+                counts[lang].update(Languages.grams(text))
+            rows = [(lang, g, k) for lang, of in counts.items() for g, k in of.items()]
+            return {name: [r[i] for r in rows] for i, name in enumerate(arrow.names)}
+
+        return run
+
+    counted = map_columns(some.select(lang.alias("lang"), "text"), make, "lang string, gram string, n bigint", arrow)
+    counted = checkpointed(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    total = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    kept: dict[str, dict[str, int]] = {}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    for r in counted.withColumn("place", place).filter(F.col("place") <= GRAMS).collect():
+        kept.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+    return Languages.of_counts(kept, total)
 
 
 def end_shapes(pairs: DataFrame) -> dict[tuple[str, str], int]:

@@ -60,9 +60,10 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list
     """(start, end) of the pieces of ``text``; a null text has none.
 
     A piece has at most ``limit`` code points and starts ``overlap`` before the
-    end of the one before. The cut is the strongest in the upper half of the
-    permissible lengths, else the strongest in the lower half; where no border
-    exists at all it is the last position that divides no character cluster.
+    end of the one before. The cut is the strongest, among equals the last, at any
+    permissible length: more than ``overlap``, so that the next piece starts later,
+    and at most ``limit``. Where no border exists at all it is the last position that
+    divides no character cluster.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
@@ -74,10 +75,7 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list
         if start + limit > hi:  # the table covers one slab, whatever the text's length
             lo, hi = start, min(n, start + max(_SLAB, 2 * limit))
             levels = _sparse_table(_keys(text, lo, hi))
-        key = _best(levels, start + limit // 2 - lo, start + limit - lo)
-        if key >> 40 <= 0:
-            low = _best(levels, start + overlap + 1 - lo, start + limit // 2 - lo)
-            key = max(key, low) if low >> 40 > 0 or key >> 40 < 0 else key
+        key = _best(levels, start + overlap + 1 - lo, start + limit - lo)
         end = key & ((1 << 40) - 1)
         out.append((start, end))
         start = end - overlap

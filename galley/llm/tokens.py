@@ -70,11 +70,12 @@ def _encode(df: DataFrame, path: str | None, keys: str, arrow_keys: list, count_
 
 def _chunk_pieces(long: DataFrame, path: str | None, chunk: int, overlap: int) -> DataFrame:
     """(doc_id, chunk_no, text, whole): the pieces to encode of every long text."""
-    step = F.lit(chunk)
-    n = F.length("text")
-    parts = long.select("doc_id", F.posexplode(F.sequence(F.lit(0), ((n - 1) / step).cast("int"))).alias("chunk_no", "k"), "text", n.alias("n"))
-    at = F.greatest(F.lit(0), F.col("k") * step - overlap)
-    parts = parts.select("doc_id", "chunk_no", at.alias("at"), F.expr(f"substring(text, greatest(0, k * {chunk} - {overlap}) + 1, least(n, (k + 1) * {chunk} + {overlap}) - greatest(0, k * {chunk} - {overlap}))").alias("text"))
+    # cut once, from front to back; a chunk takes its overlaps from its neighbours
+    cut = long.select("doc_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
+    near = lambda take, i: F.coalesce(take(F.get("c", i), F.lit(overlap)), F.lit(""))
+    with_near = F.transform("c", lambda x, i: F.concat(near(F.right, i - 1), x, near(F.left, i + 1)))
+    parts = cut.select("doc_id", F.posexplode(with_near).alias("chunk_no", "text"))
+    parts = parts.select("doc_id", "chunk_no", F.greatest(F.lit(0), F.col("chunk_no") * chunk - overlap).alias("at"), "text")
     parts = parts.repartition("doc_id", "chunk_no")  # the chunks of one text are spread over tasks
 
     arrow = pa.schema([("doc_id", pa.int64()), ("chunk_no", pa.int32()), ("at", pa.int32()), ("text", pa.string()), ("first", _IDS), ("last", _IDS)])
@@ -102,26 +103,32 @@ def _chunk_pieces(long: DataFrame, path: str | None, chunk: int, overlap: int) -
     return cut.select("doc_id", "chunk_no", F.expr("substring(text, a - at + 1, b - a)").alias("text"), "whole")
 
 
-def token_ids(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, count_only: bool = False) -> DataFrame:
+def token_ids(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, count_only: bool = False, carry: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``ids``, or ``n_tokens`` with ``count_only``.
 
+    A string column ``carry`` of ``docs`` goes with the rows.
+
     A null and an empty text have the empty list; doc_id must be unique, null
     included. Other columns of ``docs`` are ignored.
     """
     if chunk < 4 * overlap or overlap <= MARGIN:
         raise ValueError("a chunk must hold four overlaps, an overlap more than the margin")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    extra = [carry] if carry else []
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *extra)
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    key, akey = "doc_id bigint", [("doc_id", pa.int64())]
-    short = _encode(docs.filter(~long), path, key, akey, count_only)
+    key, akey = "doc_id bigint" + "".join(f", {c} string" for c in extra), [("doc_id", pa.int64())]
+    akeys = [*akey, *((c, pa.string()) for c in extra)]
+    short = _encode(docs.filter(~long), path, key, akeys, count_only)
     pieces = checkpointed(_chunk_pieces(docs.filter(long), path, chunk, overlap))
     coded = _encode(pieces.filter("whole = 0"), path, "doc_id bigint, chunk_no int", [*akey, ("chunk_no", pa.int32())], count_only)
     if count_only:
         joined = coded.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"))
     else:
         joined = coded.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "ids"))), lambda x: x["ids"])).alias("ids"))
+    if extra:
+        joined = joined.join(docs.filter(long).select("doc_id", *extra), "doc_id").select(*short.columns)
     whole = docs.filter(long).join(pieces.filter("whole = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    return short.unionByName(joined).unionByName(_encode(whole, path, key, akey, count_only))
+    return short.unionByName(joined).unionByName(_encode(whole, path, key, akeys, count_only))
 
 
 def decode(ids: list[int], path: str | None = None) -> str:
