@@ -28,6 +28,16 @@ def test_repeated_share_against_brute_force():
 
 
 # --- packing --------------------------------------------------------------
+def test_lines_of_many_documents_are_removed(spark):
+    rows = [(i, "h", f"- Read more.\nline {i}\n", "x") for i in range(5)] + [(10, "g", "Read more.\nown line", "x"), (11, None, None, "x"), (12, "h", "", "x"), (13, "h", " \n ", "x"), (14, "h", "1. READ  more.\nRead more.", "x")]
+    df = spark.createDataFrame(rows, "edit_id bigint, book_id string, after string, signs string")
+    got = {r.edit_id: r for r in repeats.without_frequent_lines(df, "edit_id", "book_id", "after").collect()}
+    assert len(got) == len(rows)
+    assert [got[k].n_removed for k in (0, 10, 11, 12, 13, 14)] == [1, 0, 0, 0, 0, 2] and got[14].rejected and got[0].rejected
+    assert got[10].kept_share == got[11].kept_share == got[13].kept_share == 1.0 and abs(got[0].kept_share - 6 / 16) < 1e-9
+    assert repeats.without_frequent_lines(df.limit(0), "edit_id", "book_id", "after").count() == 0
+
+
 def test_fill_bins_is_fullest_first_and_whole():
     rng = random.Random(5)
     for _ in range(60):
@@ -137,6 +147,25 @@ def judge():
     return pairs.Judge(pairs.Languages.train([("en", en * 3), ("de", de * 3)]), {"aa.": 100, 'a."': 10, "aa,": 1})
 
 
+def test_the_prompt_decides_between_like_languages():
+    rows = [("en", "the house by the harbour is no more " * 3), ("es", "la casa del puerto no es mas que el mar " * 3), ("pt", "a casa do porto nao e mais que o mar " * 3)]
+    judge = pairs.Judge(pairs.Languages.train(rows), {})
+    p = judge.languages.posterior
+    for text in ("no", "no more", "casa", "mas no"):
+        for prompt in ("la casa del puerto", "the house", ""):
+            q, asked = p(text), p(prompt)
+            prior = {x: 0.5 * (x == "en") + 0.5 * asked.get(x, 0.0) + pairs.FLOOR for x in q}
+            want = q["en"] < 0.5 and q["en"] * prior["en"] < 0.5 * sum(q[x] * prior[x] for x in q)
+            assert judge._foreign(text, prompt) == want  # the prompt's posterior is only spared where it cannot decide
+
+
+def test_ngrams_counted_by_tasks_are_those_of_the_driver(spark):
+    rows = [(i, ("en", "de", "EN ", None)[i % 4], f"the cat {i} und der hund {i % 7}") for i in range(200)]
+    got = pairs.train_languages(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    want = pairs.Languages.train([(lang.strip().lower(), t) for _, lang, t in rows if lang])
+    assert got.names == want.names and all(abs(got.posterior(t)[x] - want.posterior(t)[x]) < 1e-9 for t in ("the cat", "der hund", "xyz") for x in got.names)
+
+
 @pytest.mark.parametrize(
     "before, after, defect",
     [

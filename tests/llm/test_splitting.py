@@ -46,3 +46,8 @@ def test_rows(spark):
     out = split_oversized(df).collect()
     assert {r.row_id for r in out} == {4} and sum(r.piece_no == 0 for r in out) == 2
     assert split_oversized(df.limit(0)).count() == 0
+
+
+def test_a_paragraph_break_in_the_lower_half_beats_blanks_above():
+    text = "word " * 80 + "end.\n\n" + "word " * 200
+    assert pieces(text)[0] == (0, text.index("\n\n") + 2)
