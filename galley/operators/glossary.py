@@ -6,15 +6,20 @@ A glossary belongs to a book: terms (book_id, ord, source, target, kind, notes).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from galley.functions.scripts import FOREIGN
 
 CAP = 80
+#: Signs of scripts whose terms need no word edges.
+_FOREIGN = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), FOREIGN) + "]")
 
 
 def folded(c: str | Column) -> Column:
@@ -37,16 +42,109 @@ def merge(base: DataFrame, other: DataFrame, overwrite: bool = False, key: str =
     return out.select(key, rank.alias("ord"), "source", "target", "kind", "notes")
 
 
-def relevant(texts: DataFrame, terms: DataFrame, id_col: str, key: str = "book_id", cap: int = CAP) -> DataFrame:
+#: A glossary table of up to so many terms goes to every task, which then reads a text once; a larger one is joined by book.
+SHARED = 50_000
+_TERM = ["ord", "source", "target", "kind", "notes"]
+
+
+def small(text: str) -> str:
+    """``text`` in small letters, position by position."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _automaton(terms: Iterable[tuple[str, object]]) -> ahocorasick.Automaton:
+    """Finds all sources at once: each in small letters, with what came with it under that spelling in a list."""
+    found: dict[str, list] = {}
+    for source, item in terms:
+        found.setdefault(small(source), []).append(item)
+    auto = ahocorasick.Automaton()
+    for source, items in found.items():
+        auto.add_word(source, (len(source), items))
+    auto.make_automaton()
+    return auto
+
+
+def _by_book(terms: DataFrame, key: str, shared: int) -> dict | None:
+    """The terms of every book, or None where they are more than ``shared``."""
+    t = terms.select(F.col(key).alias("_b"), *_TERM)
+    if t.limit(shared + 1).count() > shared:
+        return None
+    out: dict = {}
+    for r in sorted(t.collect(), key=lambda r: (r["ord"] is None, r["ord"] or 0)):
+        out.setdefault(r["_b"], []).append(tuple(r)[1:])
+    return out
+
+
+class _Books:
+    """What a task makes of each book's terms, made when the book first comes."""
+
+    def __init__(self, terms: dict, make: Callable) -> None:
+        self.terms, self.make, self.made = terms, make, {}
+
+    def __getitem__(self, book):
+        if book not in self.made:
+            own = self.terms.get(book) if book is not None else None
+            self.made[book] = self.make(own) if own else None
+        return self.made[book]
+
+
+def _appended(texts: DataFrame, key: str, terms: dict, make: Callable, use: Callable, name: str, kind: str) -> DataFrame:
+    """``texts`` with a column ``name``: ``use`` of what ``make`` made of the book's terms, and the text; null without any."""
+    schema = StructType([*texts.schema.fields, StructField(name, StructType.fromDDL(f"x {kind}")["x"].dataType)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = _Books(terms, make)
+        for batch in batches:
+            made = (books[b] for b in batch.column(key).to_pylist())
+            out = [None if t is None or m is None else use(m, t) for m, t in zip(made, batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow.field(name).type)], schema=arrow)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _hits(auto: ahocorasick.Automaton, text: str) -> list[tuple]:
+    """The terms that occur in ``text``, each once, longest first."""
+    seen = {id(items): items for _, (_, items) in auto.iter(small(text))}
+    return sorted((t for items in seen.values() for t in items), key=lambda t: (-len(t[1]), t[0]))
+
+
+def relevant(texts: DataFrame, terms: DataFrame, id_col: str, key: str = "book_id", cap: int = CAP, shared: int = SHARED) -> DataFrame:
     """(id, ord, source, target, kind, notes, rank) of the terms whose folded source occurs in a text, longest first.
 
-    The cap is on the longest ``cap`` hits of a text and is the feature itself. Texts and terms
-    meet by book, so a book's hot share is split by the skew join; hits alone are ranked.
+    The cap is on the longest ``cap`` hits of a text and is the feature itself. A text is
+    read once, by an automaton of its book's terms, where it lies: no shuffle, and a hot
+    book is as any. Glossaries of more than ``shared`` terms in all are joined by book.
     """
-    t = terms.filter(F.length("source") > 0).select(F.col(key).alias("_b"), "ord", "source", "target", "kind", "notes")
+    terms = terms.filter(F.length("source") > 0)
+    books = _by_book(terms, key, shared)
+    if books is not None:
+        types = dict(terms.dtypes)
+        kind = "array<struct<" + ",".join(f"{c}:{types[c]}" for c in _TERM) + ">>"
+        use = lambda auto, text: _hits(auto, text)[:cap]
+        make = lambda own: _automaton((t[1], t) for t in own)
+        found = _appended(texts.select(id_col, key, "text"), key, books, make, use, "_hits", kind)
+        each = found.select(id_col, F.posexplode("_hits").alias("_r", "_h"))
+        return each.select(id_col, "_h.*", (F.col("_r") + 1).alias("rank"))
+    t = terms.select(F.col(key).alias("_b"), *_TERM)
     hits = texts.select(id_col, key, folded("text").alias("_t")).join(t, (F.col(key) == F.col("_b")) & F.contains(F.col("_t"), folded("source")))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.length("source").desc(), "ord"))
-    return hits.select(id_col, "ord", "source", "target", "kind", "notes", rank.alias("rank")).filter(F.col("rank") <= cap)
+    return hits.select(id_col, *_TERM, rank.alias("rank")).filter(F.col("rank") <= cap)
+
+
+def with_wanted(texts: DataFrame, terms: DataFrame, id_col: str, key: str = "book_id", shared: int = SHARED) -> DataFrame:
+    """``texts`` with ``wanted``: the folded sources in each that its glossary would change; null for none.
+
+    What routing and scores ask for: a unit of the text has a hit if it holds one of them.
+    """
+    terms = terms.filter("length(source) > 0 AND source <> target")
+    books = _by_book(terms, key, shared)
+    if books is not None:
+        use = lambda auto, text: sorted({small(t[1]) for t in _hits(auto, text)}) or None
+        return _appended(texts, key, books, lambda own: _automaton((t[1], t) for t in own), use, "wanted", "array<string>")
+    per = relevant(texts, terms, id_col, key, 1 << 30, shared).groupBy(id_col).agg(F.sort_array(F.collect_set(folded("source"))).alias("wanted"))
+    return texts.join(per, id_col, "left")
 
 
 def unapplied(hits: DataFrame) -> DataFrame:
@@ -68,70 +166,100 @@ def stable_block(terms: DataFrame, key: str = "book_id", cap: int = CAP) -> Data
     return top.groupBy(key).agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("block"))
 
 
+def _in_word(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
+def _edge(text: str, at: int) -> bool:
+    """Whether a word begins or ends at ``at``."""
+    return (at > 0 and _in_word(text[at - 1])) != (at < len(text) and _in_word(text[at]))
+
+
 class Substitution:
-    """One alternation of a glossary's sources, the longest first, so that a target is never matched again."""
+    """A glossary's sources put in one pass, from left to right, the longest at each place.
+
+    All occurrences are found by one automaton; a sweep over them leaves out those that
+    stand within a word and those that overlap an earlier one, so that a target is
+    never looked at again. A source in a script without blanks may stand within a word.
+    Of sources with one spelling but for case, the first that is spelt as found or
+    small counts, else the first of all.
+    """
 
     def __init__(self, terms: list[tuple[str, str]]) -> None:
-        # terms in their order; sources that are other scripts' need no word edges
-        foreign = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", FOREIGN) + "]")
-        terms = [(s, t) for s, t in terms if s and t and s != t]
-        terms.sort(key=lambda x: -len(x[0]))
-        self.target: dict[str, tuple[str, str]] = {}
-        for s, t in terms:
-            self.target.setdefault(s, (s, t))
-            self.target.setdefault(s.casefold(), (s, t))
-        parts = [re.escape(s) if foreign.search(s) else rf"\b{re.escape(s)}\b" for s, _ in terms]
-        self.pattern = re.compile("|".join(parts), re.IGNORECASE) if parts else None
-
-    def term(self, found: str) -> tuple[str, str] | None:
-        return self.target.get(found) or self.target.get(found.casefold())
+        used = [(s, t) for s, t in terms if s and t and s != t]
+        self.auto = _automaton((s, (s, t, bool(_FOREIGN.search(s)))) for s, t in used) if used else None
+
+    def places(self, text: str) -> list[tuple[int, int, str, str]]:
+        """(start, end, source, target) of what is replaced in ``text``."""
+        low, found = small(text), []
+        for last, (n, items) in self.auto.iter(low):
+            start, end = last + 1 - n, last + 1
+            here = [(s, t) for s, t, free in items if free or _edge(text, start) and _edge(text, end)]
+            if here:
+                spelt = (low[start:end], text[start:end])
+                found.append((start, -end, *next((x for x in here if x[0] in spelt), here[0])))
+        out, at = [], 0
+        for start, end, s, t in sorted(found, key=lambda x: x[:2]):
+            if start >= at:
+                at = -end
+                out.append((start, at, s, t))
+        return out
 
     def apply(self, text: str | None) -> tuple[str | None, dict[str, int]]:
         """The text with its terms replaced, and how often each was."""
         counts: dict[str, int] = {}
-        if not text or self.pattern is None:
+        if not text or self.auto is None:
             return text, counts
-
-        def put(m: re.Match[str]) -> str:
-            if (t := self.term(m.group(0))) is None:
-                return m.group(0)
-            name = f"{t[0]} → {t[1]}"
-            counts[name] = counts.get(name, 0) + 1
-            return t[1]
-
-        return self.pattern.sub(put, text), counts
+        parts, at = [], 0
+        for start, end, s, t in self.places(text):
+            parts += (text[at:start], t)
+            at = end
+            counts[f"{s} → {t}"] = counts.get(f"{s} → {t}", 0) + 1
+        return "".join(parts) + text[at:], counts
 
 
-def substitute(texts: DataFrame, terms: DataFrame, id_col: str, key: str = "book_id") -> DataFrame:
+def substitute(texts: DataFrame, terms: DataFrame, id_col: str, key: str = "book_id", shared: int = SHARED) -> DataFrame:
     """(id, text, hits) of every row of ``texts``: terms of its book replaced in one pass, with counts by term.
 
-    Only the terms that occur in a text at all travel with it, found by the join of
-    ``relevant`` without its cap; a text without any passes unchanged and never meets
-    Python. Null texts stay null.
+    Texts are rewritten where they lie, without a shuffle, while all glossaries have
+    ``shared`` terms at most. Beyond that only the terms that occur in a text travel
+    with it, found by the join of ``relevant`` without its cap. Null texts stay null.
     """
-    found = relevant(texts, terms.filter("source <> target"), id_col, key, cap=1 << 30)
-    pack = F.array_sort(F.collect_list(F.struct("ord", "source", "target")))
-    per_text = found.groupBy(id_col).agg(pack.alias("terms"))  # a text's own terms: no more than its substrings
-    joined = texts.select(id_col, "text").join(per_text, id_col, "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, Substitution] = {}
-        for pdf in batches:
-            out = []
-            for text, own in zip(pdf["text"], pdf["terms"]):
-                pairs = tuple((x["source"], x["target"]) for x in own)
-                if len(known) > 10_000:
-                    known.clear()
-                if pairs not in known:
-                    known[pairs] = Substitution(list(pairs))
-                out.append(known[pairs].apply(text))
-            yield pd.DataFrame({id_col: pdf[id_col], "text": [o[0] for o in out], "hits": [o[1] for o in out]})
-
-    id_type = dict(texts.dtypes)[id_col]
-    schema = f"{id_col} {id_type}, text string, hits map<string,bigint>"
-    changed = joined.filter("terms IS NOT NULL AND text IS NOT NULL").mapInPandas(run, schema)
-    same = joined.filter("terms IS NULL OR text IS NULL").select(id_col, "text", F.create_map().cast("map<string,bigint>").alias("hits"))
-    return changed.unionByName(same)
+    terms = terms.filter("length(source) > 0 AND length(target) > 0 AND source <> target")
+    books = _by_book(terms, key, shared)
+    put = "struct<text:string,hits:map<string,bigint>>"
+    none = F.create_map().cast("map<string,bigint>")
+
+    def use(s: Substitution, text: str) -> dict | None:
+        new, hits = s.apply(text)
+        return {"text": new, "hits": list(hits.items())} if hits else None
+
+    if books is not None:
+        out = _appended(texts.select(id_col, key, "text"), key, books, lambda own: Substitution([(t[1], t[2]) for t in own]), use, "_put", put)
+    else:
+        found = relevant(texts, terms, id_col, key, 1 << 30, shared)
+        pack = F.array_sort(F.collect_list(F.struct("ord", "source", "target")))
+        per_text = found.groupBy(id_col).agg(pack.alias("_terms"))  # a text's own terms: no more than its substrings
+        joined = texts.select(id_col, "text").join(per_text, id_col, "left")
+
+        def own_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[tuple, Substitution] = {}
+            for batch in batches:
+                new = []
+                for text, own in zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist()):
+                    pairs = tuple((x["source"], x["target"]) for x in own or ())
+                    if len(known) > 10_000:
+                        known.clear()
+                    if pairs and pairs not in known:
+                        known[pairs] = Substitution(list(pairs))
+                    new.append(use(known[pairs], text) if pairs and text is not None else None)
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("text"), pa.array(new, arrow.field("_put").type)], schema=arrow)
+
+        schema = StructType([*texts.select(id_col, "text").schema.fields, *StructType.fromDDL(f"_put {put}").fields])
+        arrow = to_arrow_schema(schema)
+        out = joined.mapInArrow(own_terms, schema)
+    changed = F.col("_put").isNotNull()
+    return out.select(id_col, F.when(changed, F.col("_put.text")).otherwise(F.col("text")).alias("text"), F.when(changed, F.col("_put.hits")).otherwise(none).alias("hits"))
 
 
 def hit_totals(substituted: DataFrame) -> DataFrame:

@@ -249,6 +249,18 @@ def _merged(overwrite: bool) -> str:
 
 _RELEVANT = f"SELECT * FROM (SELECT s.seg_id, t.ord, t.source, t.target, row_number() OVER (PARTITION BY s.seg_id ORDER BY length(t.source) DESC, t.ord) AS rank FROM segments s JOIN {_TERMS} t ON s.book_id = t.book_id AND length(t.source) > 0 AND contains(lower(s.text), lower(t.source))) WHERE rank <= 80"
 
+_IN_WORD = lambda at: f"regexp_matches(substr(text, {at}, 1), '[\\p{{L}}\\p{{N}}_]')"
+_EDGE_AT = lambda at: f"(({at} > 1 AND {_IN_WORD(f'{at} - 1')}) <> {_IN_WORD(at)})"
+# Every place of every term, the best at each place, then from one to the next that does not overlap it.
+_PUT = f"""WITH RECURSIVE t AS (SELECT book_id, ord, source, target, lower(source) AS low, regexp_matches(source, '[{FOREIGN}]') AS free FROM {_TERMS} WHERE length(source) > 0 AND length(target) > 0 AND source <> target),
+p AS (SELECT seg_id, text, lower(text) AS l, t.*, unnest(range(1, length(text) - length(low) + 2)) AS pos FROM segments JOIN t USING (book_id) WHERE contains(lower(text), low)),
+q AS (SELECT seg_id, pos, length(low) AS n, ord, source, target, substr(text, pos, length(low)) AS f FROM p WHERE substr(l, pos, length(low)) = low AND (free OR ({_EDGE_AT('pos')} AND {_EDGE_AT('pos + length(low)')}))),
+b AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seg_id, pos ORDER BY n DESC, (source = f OR source = lower(f)) DESC, ord) AS r FROM q) WHERE r = 1),
+x AS MATERIALIZED (SELECT a.seg_id, a.pos, min(c.pos) AS nx FROM b a LEFT JOIN b c ON a.seg_id = c.seg_id AND c.pos >= a.pos + a.n GROUP BY 1, 2),
+chain AS (SELECT seg_id, min(pos) AS pos FROM b GROUP BY seg_id UNION ALL SELECT chain.seg_id, x.nx FROM chain JOIN x USING (seg_id, pos) WHERE x.nx IS NOT NULL),
+done AS (SELECT b.* FROM chain JOIN b USING (seg_id, pos))"""
+_PUT_TEXT = "SELECT seg_id, string_agg(substr(text, pe, pos - pe) || target, '' ORDER BY pos) || substr(any_value(text), max(pos + n)) AS new, count(*) AS k FROM (SELECT done.*, text, coalesce(lag(pos + n) OVER (PARTITION BY seg_id ORDER BY pos), 1) AS pe FROM done JOIN segments USING (seg_id)) GROUP BY seg_id"
+
 # --- samples, formats and the rest ------------------------------------------------------
 _PARTS = f"SELECT book_id, {_strip('text')} AS part, row_number() OVER (PARTITION BY book_id ORDER BY {_ORDER}) AS n FROM segments WHERE text IS NOT NULL AND {_strip('text')} <> ''"
 
@@ -312,6 +324,8 @@ CASE job_id % 3 WHEN 0 THEN {_B} || ' ' || {_T} || ' ' || {_A} WHEN 1 THEN {_B}
     "glossary_relevant_topk": _RELEVANT,
     "glossary_unapplied": f"SELECT seg_id, count(*) AS n FROM ({_RELEVANT}) WHERE source <> target GROUP BY seg_id",
     "glossary_prompt": f"SELECT book_id, string_agg(l, chr(10) ORDER BY r) AS block FROM (SELECT book_id, '- ' || source || ' → ' || target || CASE WHEN coalesce(notes, '') <> '' THEN ' (' || notes || ')' ELSE '' END AS l, row_number() OVER (PARTITION BY book_id ORDER BY length(source) DESC, k, ord) AS r FROM (SELECT book_id, lower(source) AS k, target, min(ord) AS ord, first(source ORDER BY ord) AS source, first(notes ORDER BY ord) AS notes FROM {_TERMS} WHERE length(source) > 0 AND length(target) > 0 AND source <> target GROUP BY book_id, lower(source), target)) WHERE r <= 80 GROUP BY book_id",
+    "glossary_apply": f"{_PUT} SELECT seg_id, md5(coalesce(new, text)) AS digest, coalesce(k, 0) AS n_hits FROM segments LEFT JOIN ({_PUT_TEXT}) USING (seg_id)",
+    "glossary_hits": f"{_PUT} SELECT source || ' → ' || target AS term, count(*) AS n FROM done GROUP BY 1",
     "glossary_json": f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord) - 1 AS place, source, target, kind, nullif(notes, '') AS notes FROM {_TERMS} WHERE coalesce(source, '') <> '' AND coalesce(target, '') <> ''",
     "checkpoint_pending": "SELECT DISTINCT item_id AS chunk_id FROM span_jobs WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM chapters WHERE chapter_ord % 2 = 0)",
     "file_fingerprint": "SELECT book_id, left(sha256(path || ':' || length(path) || ':' || epoch(added_at)::BIGINT), 16) AS fingerprint FROM books",

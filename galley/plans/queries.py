@@ -324,13 +324,13 @@ def glossary_overwrite(spark, d):
 
 @query
 def glossary_relevant_topk(spark, d):
-    hits = glossary.relevant(_segments(spark, d).filter("text IS NOT NULL"), _terms(spark, d), "seg_id")
+    hits = glossary.relevant(_segments(spark, d), _terms(spark, d), "seg_id")
     return hits.select("seg_id", "ord", "source", "target", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query
 def glossary_unapplied(spark, d):
-    hits = glossary.unapplied(glossary.relevant(_segments(spark, d).filter("text IS NOT NULL"), _terms(spark, d), "seg_id"))
+    hits = glossary.unapplied(glossary.relevant(_segments(spark, d), _terms(spark, d), "seg_id"))
     return hits.groupBy("seg_id").agg(F.count("*").alias("n"))
 
 
