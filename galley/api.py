@@ -10,6 +10,7 @@ from galley.operators.packs import span_packs
 from galley.operators.programs import job_table, with_programs
 from galley.operators.rounds import Rewriter, rewrite, rule_based, stitch
 from galley.plans.report import plan
+from galley.session import checkpointed
 from galley.sources.reader import read_files, read_segments, selectable
 
 
@@ -22,7 +23,7 @@ def polish(df: DataFrame, key: str, text: str, rewriter: Rewriter = rule_based,
     """
     rows = df.select(F.col(key).cast("string").alias("item_id"), F.col(key).alias("seg_id"), F.lit(0).alias("seg_index"), F.lit("p").alias("tag"), F.col(text).alias("text"))
     sent = rows.filter(wants_polish("text")) if prefilter else rows
-    planned = with_programs(sent, skip_mode="auto" if prefilter else "off")
+    planned = checkpointed(with_programs(sent, skip_mode="auto" if prefilter else "off"))
     done = stitch(planned, rewrite(span_packs(job_table(planned), max_chars), rewriter, retries))
     out = rows.select("seg_id", "text").join(done.select("seg_id", "new_text"), "seg_id", "left")
     return out.select(F.col("seg_id").alias(key), "text", F.coalesce("new_text", "text").alias("new_text"))
@@ -36,7 +37,7 @@ def plan_folder(spark: SparkSession, path: str, max_chars: int = 1800, skip_mode
 def rewrite_folder(spark: SparkSession, path: str, rewriter: Rewriter = rule_based, max_chars: int = 1800, retries: int = 2) -> DataFrame:
     """Segments of the documents below ``path``, with ``new_text``."""
     segments = _keyed(selectable(read_segments(read_files(spark, path))))
-    planned = with_programs(segments)
+    planned = checkpointed(with_programs(segments))
     done = stitch(planned, rewrite(span_packs(job_table(planned), max_chars), rewriter, retries))
     out = segments.join(done.select("seg_id", "new_text"), "seg_id", "left")
     return out.withColumn("new_text", F.coalesce("new_text", "text"))

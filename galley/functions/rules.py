@@ -71,29 +71,55 @@ def artefact_weight(text: Column | str) -> Column:
     return let(F.lower(col(text)), weigh)
 
 
-def dirt(text: Column | str, mode: str = "polish", tag: Column | str | None = None, glossary_hit: Column | None = None) -> Column:
-    """How much a text looks machine translated: 0 for boilerplate, 10 for foreign text in translate mode."""
+def signals(text: Column | str, foreign: bool = False, artefacts: Column | None = None) -> Column:
+    """What the scores of a text rest on, each told once: (boiler, weight, share).
+
+    ``weight`` is that of Han signs and of the rules, 0 for boilerplate; ``share`` that of
+    foreign letters where ``foreign`` is asked for. ``artefacts`` may stand for the rules' sum.
+    """
     t = col(text)
-    score = F.when(t.rlike(f"[{RANGES['han']}]"), 3).otherwise(0) + artefact_weight(t)
+    weight = F.when(t.rlike(f"[{RANGES['han']}]"), 3).otherwise(0) + (artefact_weight(t) if artefacts is None else artefacts)
+    boiler = is_boilerplate(t)
+    return F.struct(boiler.alias("boiler"), F.when(boiler, 0).otherwise(weight).alias("weight"), (foreign_share(t) if foreign else F.lit(0.0)).alias("share"))
+
+
+def dirt_of(s: Column, mode: str = "polish", tag: Column | str | None = None, glossary_hit: Column | None = None) -> Column:
+    """How much a text with the ``signals`` ``s`` looks machine translated: 0 for boilerplate, 10 for foreign text in translate mode."""
+    score = s["weight"]
     if glossary_hit is not None:
         score = score + F.when(glossary_hit, 2).otherwise(0)
     if tag is not None:
         score = F.when(col(tag).isin(*HEADINGS), F.greatest(F.lit(0), score - 1)).otherwise(score)
     if mode == "translate":
-        score = F.when(foreign_share(t) >= 0.18, 10).otherwise(score)
-    return F.when(is_boilerplate(t), 0).otherwise(score)
+        score = F.when(s["share"] >= 0.18, 10).otherwise(score)
+    return F.when(s["boiler"], 0).otherwise(score)
 
 
-def needs_rewrite(text: Column | str, tag: Column | str, mode: str = "polish", skip_mode: str = "auto", glossary_hit: Column | None = None) -> Column:
-    """Whether a segment goes to the rewriter at all. Null texts do not."""
+def needs_of(s: Column, tag: Column | str, mode: str = "polish", skip_mode: str = "auto", glossary_hit: Column | None = None) -> Column:
+    """Whether a segment with the ``signals`` ``s`` goes to the rewriter at all."""
     least = threshold(skip_mode)
     if least <= 0:
         wanted = F.lit(True)
     elif mode == "translate":
-        wanted = (foreign_share(text) >= 0.08) | (dirt(text, mode, tag, glossary_hit) >= 1)
+        wanted = (s["share"] >= 0.08) | (dirt_of(s, mode, tag, glossary_hit) >= 1)
     else:
-        wanted = dirt(text, mode, tag, glossary_hit) >= least
-    return F.coalesce(~col(tag).isin(*CODE_TAGS), F.lit(True)) & ~is_boilerplate(text) & F.coalesce(wanted, F.lit(False))
+        wanted = dirt_of(s, mode, tag, glossary_hit) >= least
+    return F.coalesce(~col(tag).isin(*CODE_TAGS), F.lit(True)) & F.coalesce(~s["boiler"], F.lit(False)) & F.coalesce(wanted, F.lit(False))
+
+
+def dirt(text: Column | str, mode: str = "polish", tag: Column | str | None = None, glossary_hit: Column | None = None) -> Column:
+    """``dirt_of`` a text."""
+    return let(signals(text, mode == "translate"), lambda s: dirt_of(s, mode, tag, glossary_hit))
+
+
+def needs_rewrite(text: Column | str, tag: Column | str, mode: str = "polish", skip_mode: str = "auto", glossary_hit: Column | None = None) -> Column:
+    """``needs_of`` a text. Null texts do not need the rewriter."""
+    return let(signals(text, mode == "translate"), lambda s: needs_of(s, tag, mode, skip_mode, glossary_hit)) & col(text).isNotNull()
+
+
+def wants(text: Column | str, wanted: Column | str) -> Column:
+    """Whether ``text`` holds one of the folded glossary sources ``wanted`` (null for none)."""
+    return let(F.lower(col(text)), lambda low: F.coalesce(F.exists(col(wanted), lambda w: F.contains(low, w)), F.lit(False)))
 
 
 def wants_polish(text: Column | str, skip_mode: str = "auto") -> Column:

@@ -42,8 +42,12 @@ def foreign_count(text: Column | str) -> Column:
 
 
 def foreign_share(text: Column | str) -> Column:
-    """Letters of other scripts against ASCII letters; accented Latin letters are neither."""
-    return F.coalesce(_share(foreign_count(text), script_count(text, "latin")), F.lit(0.0))
+    """Letters of other scripts against ASCII letters; accented Latin letters are neither.
+
+    Most texts have none, which one look tells; only the others are counted.
+    """
+    share = _share(foreign_count(text), script_count(text, "latin"))
+    return F.when(F.coalesce(col(text).rlike(f"[{FOREIGN}]"), F.lit(False)), share).otherwise(F.lit(0.0))
 
 
 def mode(text: Column | str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galley.functions.rules import HEADINGS, dirt, needs_rewrite, threshold
+from galley.functions.rules import HEADINGS, artefact_weight, dirt_of, needs_of, signals, threshold, wants
 from galley.functions.text import col, joined, let, strip, stripped_at_least
 from galley.operators.units import units
 
@@ -59,18 +59,26 @@ def keep_ratio(spans: Column) -> Column:
     return F.when(keep + replace > 0, keep / (keep + replace)).otherwise(F.lit(1.0))
 
 
-def edit_program(text: Column | str, tag: Column | str, mode: str = "polish", skip_mode: str = "auto", force_dirty: bool = False) -> Column:
+def edit_program(text: Column | str, tag: Column | str, mode: str = "polish", skip_mode: str = "auto", force_dirty: bool = False, wanted: Column | str | None = None, plain: Column | None = None) -> Column:
     """The program of a paragraph.
 
     An empty or null text is one empty kept span. A heading is one unit. With skipping
     off, or ``force_dirty`` and a single unit, a clean text is rewritten whole; with
     ``force_dirty`` and more units the first of the dirtiest is. A program that keeps
-    less than 22 % is rewritten whole.
+    less than 22 % is rewritten whole. A unit that holds one of the glossary sources
+    ``wanted`` is dirtier by 2. ``plain`` tells of paragraphs that no rule applies to:
+    no unit of theirs is looked through again.
     """
     text, tag = col(text), col(tag)
     least = max(1, threshold(skip_mode))
     parts = F.when(tag.isin(*HEADINGS), F.array(text)).otherwise(units(text))
-    scored = F.transform(parts, lambda u: F.struct(u.alias("text"), dirt(u, mode, tag).alias("score")))
+
+    def score(u: Column) -> Column:
+        weight = None if plain is None else F.when(plain, 0).otherwise(artefact_weight(u))
+        hit = None if wanted is None else wants(u, wanted)
+        return let(signals(u, mode == "translate", weight), lambda s: dirt_of(s, mode, tag, hit))
+
+    scored = F.transform(parts, lambda u: F.struct(u.alias("text"), score(u).alias("score")))
 
     def label(xs: Column) -> Column:
         best = F.array_position(F.transform(xs, lambda x: x["score"]), F.array_max(F.transform(xs, lambda x: x["score"])))
@@ -94,10 +102,22 @@ def clip(text: Column, tail: bool, limit: int = CONTEXT) -> Column:
     return F.when(F.length(s) <= limit, s).otherwise(short)
 
 
-def with_programs(segments: DataFrame, mode: str = "polish", skip_mode: str = "auto", force_dirty: bool = True) -> DataFrame:
-    """The segments that need the rewriter, each with its ``program``; the filter runs first and natively."""
-    routed = segments.filter(needs_rewrite("text", "tag", mode, skip_mode))
-    return routed.withColumn("program", edit_program("text", "tag", mode, skip_mode, force_dirty))
+def with_programs(segments: DataFrame, mode: str = "polish", skip_mode: str = "auto", force_dirty: bool = True, wanted: str | None = None, every: bool = False) -> DataFrame:
+    """The segments that need the rewriter, each with its ``program``; with ``every`` all, the program of the others null.
+
+    A paragraph is looked through once: what routes it also tells which of its units
+    are worth another look. ``wanted`` names a column of glossary sources that occur in it.
+    """
+
+    def planned(w: Column) -> Column:
+        hit = None if wanted is None else F.size(F.coalesce(F.col(wanted), F.array().cast("array<string>"))) > 0
+        s = signals("text", mode == "translate", w)
+        program = edit_program("text", "tag", mode, skip_mode, force_dirty, wanted, w == 0)
+        return let(s, lambda x: F.when(F.col("text").isNotNull() & needs_of(x, "tag", mode, skip_mode, hit), program))
+
+    # a generator keeps the optimiser from evaluating the program once more for a filter on it
+    rows = segments.withColumn("program", F.explode(F.array(let(artefact_weight("text"), planned))))
+    return rows if every else rows.filter("program IS NOT NULL")
 
 
 def span_table(programs: DataFrame) -> DataFrame:
@@ -106,16 +126,21 @@ def span_table(programs: DataFrame) -> DataFrame:
     return programs.select(*rest, F.posexplode("program").alias("span_index", "s")).select(*rest, "span_index", "s.kind", "s.text")
 
 
-def job_table(programs: DataFrame) -> DataFrame:
-    """One row a rewritten span, with the kept neighbours as clipped context ("" where there is none)."""
-    rest = [c for c in programs.columns if c not in ("program", "text", "kind", "span_index", "before", "after")]
+def job_array(program: Column) -> Column:
+    """The rewritten spans of a program as (span_index, kind, text, before, after), with the kept neighbours as clipped context ("" where there is none)."""
 
     def jobs(xs: Column) -> Column:
         near = lambda at, tail: F.coalesce(F.when(F.try_element_at(xs, at)["kind"] == "KEEP", clip(F.try_element_at(xs, at)["text"], tail)), F.lit(""))
         every = F.transform(xs, lambda x, i: F.struct(i.alias("span_index"), x["kind"].alias("kind"), x["text"].alias("text"), F.when(i > 0, near(F.greatest(i, F.lit(1)), True)).otherwise("").alias("before"), near(i + 2, False).alias("after")))
         return F.filter(every, lambda x: x["kind"] == "REPLACE")
 
-    out = programs.select(*rest, F.explode(let(F.col("program"), jobs)).alias("j"))
+    return F.when(program.isNotNull(), let(program, jobs))
+
+
+def job_table(programs: DataFrame) -> DataFrame:
+    """One row a rewritten span: ``job_array`` as rows."""
+    rest = [c for c in programs.columns if c not in ("program", "text", "kind", "span_index", "before", "after")]
+    out = programs.select(*rest, F.explode(job_array(F.col("program"))).alias("j"))
     return out.select(*rest, "j.span_index", "j.text", "j.before", "j.after")
 
 

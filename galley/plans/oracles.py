@@ -287,13 +287,13 @@ _SPANS_BUDGET = lambda est: f"greatest(k * 48, least({est}, {min(max(128, NUM_CT
 _PASSAGE_BUDGET = lambda est: f"greatest(96, least({est}, {min(max(128, NUM_CTX // 2), 3072)}))::BIGINT"
 
 SQL: dict[str, str] = {
-    "script_ratio": f"SELECT seg_id, {', '.join(f'{_n('text', v)} AS n_{k}' for k, v in RANGES.items())}, round({_share(_n('text', RANGES['han']), _n('text', RANGES['latin']))}, 6) AS han_share, round({_foreign('text')}, 6) AS foreign_share FROM segments WHERE text IS NOT NULL",
+    "script_ratio": f"SELECT seg_id, {', '.join(f'coalesce({_n('text', v)}, 0) AS n_{k}' for k, v in RANGES.items())}, round({_share(_n('text', RANGES['han']), _n('text', RANGES['latin']))}, 6) AS han_share, round({_foreign('text')}, 6) AS foreign_share FROM segments",
     "sample_text": f"SELECT book_id, length(text) AS n_chars, md5(text) AS digest FROM ({_sample(2000)})",
     "detect_mode": f"SELECT book_id, CASE WHEN {_foreign('text')} >= 0.28 THEN 'translate' ELSE 'polish' END AS mode, CASE WHEN list_max(c) > 0 THEN {[n for _, n in SOURCE_LANGUAGE]}[list_position(c, list_max(c))] ELSE 'zho_Hans' END AS src_lang FROM (SELECT *, {_SCRIPT} AS c FROM ({_sample(8000)}))",
     "stride_excerpts": f"SELECT book_id, length(x) AS n_chars, md5(x) AS digest FROM (SELECT book_id, CASE WHEN any_value(n) <= 10 THEN left(string_agg(t, chr(10) || chr(10) ORDER BY i), 7000) ELSE string_agg(left(t, 700), chr(10) || chr(10) ORDER BY i) FILTER (i % step = 0 AND i // step < 10) END AS x FROM (SELECT *, greatest(n // 10, 1) AS step FROM (SELECT book_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY book_id ORDER BY {_ORDER}) - 1 AS i, count(*) OVER (PARTITION BY book_id) AS n FROM segments)) GROUP BY book_id)",
     "boilerplate_filter": f"SELECT seg_id, tag FROM segments WHERE {_boiler('text')}",
-    "mtl_score": f"SELECT seg_id, {_dirt('text', 'tag')}::BIGINT AS polish, {_dirt('text', 'tag', 'translate')}::BIGINT AS translate FROM segments WHERE text IS NOT NULL",
-    "route_segments": f"SELECT seg_id, {_needs('text', 'tag', 'polish', 1)} AS auto, {_needs('text', 'tag', 'polish', 2)} AS aggressive, {_needs('text', 'tag', 'polish', 0)} AS off_, {_needs('text', 'tag', 'translate', 1)} AS translate FROM segments WHERE text IS NOT NULL",
+    "mtl_score": f"SELECT seg_id, CASE WHEN text IS NOT NULL THEN {_dirt('text', 'tag')} ELSE 0 END::BIGINT AS polish, CASE WHEN text IS NOT NULL THEN {_dirt('text', 'tag', 'translate')} ELSE 0 END::BIGINT AS translate FROM segments",
+    "route_segments": "SELECT seg_id, " + ", ".join(f"text IS NOT NULL AND {_needs('text', 'tag', m, k)} AS {n}" for n, m, k in (("auto", "polish", 1), ("aggressive", "polish", 2), ("off_", "polish", 0), ("translate", "translate", 1))) + " FROM segments",
     "wants_polish": f"SELECT seg_id FROM segments WHERE NOT {_boiler('text')} AND {_dirt('text', _q('p'))} >= 1 AND NOT (length({_strip('text')}) < 80 AND NOT regexp_matches({_strip('text')}, '[{WS}]'))",
     "sentence_units": _sentences("segments", "seg_id"),
     "long_unit_split": _long(_sentences("segments", "seg_id"), "seg_id"),

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from galley.functions import rules, scripts
 from galley.functions.cost import answer_tokens, answer_tokens_for_spans, estimated_tokens
-from galley.functions.text import strip
+from galley.functions.text import let, strip
 from galley.operators import answers, changes, checkpoints, gate, glossary, lookup, packs, programs, prompts, rounds, samples, units
 from galley.plans import report
-from galley.session import table
+from galley.session import checkpointed, spread, table
 from galley.sources import formats, markup, sinks, texts
 
 ORDER = ["chapter_ord", "seg_index", "seg_id"]
@@ -25,14 +25,14 @@ def query(f):
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "segments")
+    return spread(table(spark, d, "segments"), "seg_id")
 
 
 # --- scripts, modes, routing ------------------------------------------------
 @query
 def script_ratio(spark, d):
-    s = _segments(spark, d).filter("text IS NOT NULL")
-    counts = [scripts.script_count("text", x).cast("bigint").alias(f"n_{x}") for x in scripts.RANGES]
+    s = _segments(spark, d)
+    counts = [F.coalesce(scripts.script_count("text", x), F.lit(0)).cast("bigint").alias(f"n_{x}") for x in scripts.RANGES]
     return s.select("seg_id", *counts, F.round(scripts.han_share("text"), 6).alias("han_share"), F.round(scripts.foreign_share("text"), 6).alias("foreign_share"))
 
 
@@ -62,14 +62,16 @@ def boilerplate_filter(spark, d):
 
 @query
 def mtl_score(spark, d):
-    s = _segments(spark, d).filter("text IS NOT NULL")
-    return s.select("seg_id", rules.dirt("text", "polish", "tag").cast("bigint").alias("polish"), rules.dirt("text", "translate", "tag").cast("bigint").alias("translate"))
+    scores = lambda s: F.struct(*[F.when(F.col("text").isNotNull(), rules.dirt_of(s, m, "tag")).otherwise(0).cast("bigint").alias(m) for m in ("polish", "translate")])
+    return _segments(spark, d).select("seg_id", F.explode(F.array(let(rules.signals("text", True), scores))).alias("s")).select("seg_id", "s.*")
 
 
 @query
 def route_segments(spark, d):
     flags = {"auto": ("polish", "auto"), "aggressive": ("polish", "aggressive"), "off_": ("polish", "off"), "translate": ("translate", "auto")}
-    return _segments(spark, d).filter("text IS NOT NULL").select("seg_id", *[rules.needs_rewrite("text", "tag", m, k).alias(n) for n, (m, k) in flags.items()])
+    routed = lambda s: F.struct(*[(F.col("text").isNotNull() & rules.needs_of(s, "tag", m, k)).alias(n) for n, (m, k) in flags.items()])
+    rows = _segments(spark, d).select("seg_id", F.explode(F.array(let(rules.signals("text", True), routed))).alias("r"))
+    return rows.select("seg_id", "r.*")
 
 
 @query
@@ -245,7 +247,7 @@ def trim_echo(spark, d):
 
 @query
 def gate_reasons(spark, d):
-    return table(spark, d, "edits").select("edit_id", F.coalesce(gate.rejection(F.col("before"), F.col("after")), F.lit("accepted")).alias("reason"))
+    return spread(table(spark, d, "edits"), "edit_id").select("edit_id", F.coalesce(gate.rejection(F.col("before"), F.col("after")), F.lit("accepted")).alias("reason"))
 
 
 @query
@@ -271,7 +273,7 @@ def retry_rounds(spark, d):
 def polished_segments(spark, d):
     """The whole run without a model: route, plan, pack, rewrite by rule, gate, stitch."""
     s = _segments(spark, d).select("seg_id", "item_id", "seg_index", "tag", "text")
-    planned = programs.with_programs(s)
+    planned = checkpointed(programs.with_programs(s))
     packed = packs.span_packs(programs.job_table(planned), MAX_CHARS, NUM_CTX)
     return rounds.stitch(planned, rounds.rewrite(packed, rounds.rule_based, retries=0)).select("seg_id", "new_text")
 
@@ -422,7 +424,7 @@ def plan_report(spark, d):
 
 # --- sources and sinks ------------------------------------------------------------------
 def _documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id")).alias("stem"), "text")
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id")).alias("stem"), "text")
 
 
 @query

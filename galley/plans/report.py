@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.functions.rules import needs_rewrite
-from galley.operators.packs import pack_span_jobs
-from galley.operators.programs import chars, job_table, with_programs
+from galley.functions.cost import job_chars
+from galley.operators.packs import greedy_packs
+from galley.operators.programs import chars, job_array, with_programs
+from galley.session import checkpointed
 
 
 def program_summary(programs: DataFrame, *keys: str) -> DataFrame:
@@ -20,9 +21,13 @@ def program_summary(programs: DataFrame, *keys: str) -> DataFrame:
 
 def plan(segments: DataFrame, max_chars: int = 1800, mode: str = "polish", skip_mode: str = "auto") -> DataFrame:
     """(item_id, paragraphs, dirty, skipped, n_jobs, packs), a row a chapter and one with ``is_total`` 1."""
-    routed = segments.groupBy("item_id").agg(F.count("*").alias("paragraphs"), F.sum(needs_rewrite("text", "tag", mode, skip_mode).cast("bigint")).alias("dirty"))
-    jobs = job_table(with_programs(segments, mode, skip_mode))
-    packed = pack_span_jobs(jobs, max_chars, ["seg_index", "span_index", "seg_id"])
+    # what both counts need of a segment: whether it is sent, and its spans' costs
+    jobs = job_array(F.col("program"))
+    slim = F.transform(jobs, lambda j: F.struct(j["span_index"].alias("span_index"), job_chars(j["text"], j["before"], j["after"]).alias("cost")))
+    planned = checkpointed(with_programs(segments, mode, skip_mode, every=True).select("item_id", "seg_index", "seg_id", slim.alias("jobs")))
+    routed = planned.groupBy("item_id").agg(F.count("*").alias("paragraphs"), F.count("jobs").alias("dirty"))
+    order = ["seg_index", "span_index", "seg_id"]
+    packed = greedy_packs(planned.select("item_id", "seg_index", "seg_id", F.explode("jobs").alias("j")).select("item_id", "seg_index", "seg_id", "j.*"), "item_id", order, "cost", max_chars)
     sent = packed.groupBy("item_id").agg(F.count("*").alias("n_jobs"), (F.max("pack_no") + 1).alias("packs"))
     rows = routed.join(sent, "item_id", "left").na.fill(0, ["n_jobs", "packs"])
     return rows.rollup("item_id").agg(F.grouping("item_id").cast("int").alias("is_total"), *[F.sum(c).alias(c) for c in ("paragraphs", "dirty", "n_jobs", "packs")]).withColumn("skipped", F.col("paragraphs") - F.col("dirty"))

@@ -14,6 +14,7 @@ from galley.operators.packs import span_packs
 from galley.operators.passages import assemble, passage_packs, rewrite_passages
 from galley.operators.programs import job_table, with_programs
 from galley.operators.rounds import Rewriter, rewrite, stitch
+from galley.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ def run(segments: DataFrame, rewriter: Rewriter, options: Options = Options(), t
         new = assemble(out)
         log = dirty.join(new, "seg_id").select("seg_id", F.lit(0).alias("part"), F.col("text").alias("before"), F.col("new_text").alias("after"), F.col("item_id").alias("chunk_id"))
     else:
-        planned = with_programs(ready, "polish", options.skip_mode)
+        planned = checkpointed(with_programs(ready, "polish", options.skip_mode))  # read by packing and by stitching
         packs = span_packs(job_table(planned), options.max_chars, options.num_ctx)
         asked = packs if done is None else checkpoints.pending(packs, done, name)
         final = rewrite(asked, rewriter, options.retries, options.num_ctx).select("seg_id", "span_index", "source", "final", "accepted", "chunk_id")
