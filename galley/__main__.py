@@ -1,4 +1,4 @@
-"""``python -m galley plan|apply FOLDER``: a plan on the screen, or rewritten texts as Markdown files."""
+"""``python -m galley plan|apply FOLDER``: a plan on the screen, or the documents rewritten, each in its own format."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from galley.api import plan_folder, rewrite_folder
-from galley.sources.sinks import as_markdown, write_files
+from galley.api import plan_folder, rewrite_documents
+from galley.operators.endpoints import http_rewriter
+from galley.operators.glossary import load_glossary
+from galley.operators.rounds import rule_based
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -16,6 +18,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("command", choices=["plan", "apply"])
     parser.add_argument("folder")
     parser.add_argument("--out", default="polished", help="folder of the results of apply")
+    parser.add_argument("--format", help="one format for all results; by default each document keeps its own")
+    parser.add_argument("--mode", default="polish", choices=["polish", "translate"])
+    parser.add_argument("--glossary", help="a JSON file of terms")
     parser.add_argument("--max-chars", type=int, default=1800)
     parser.add_argument("--skip", default="auto", choices=["off", "auto", "aggressive"])
     parser.add_argument("--url", help="an OpenAI-compatible /v1/chat/completions; without it stock phrases are replaced by rule")
@@ -23,14 +28,14 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("galley").getOrCreate()
     if args.command == "plan":
-        plan_folder(spark, args.folder, args.max_chars, args.skip).orderBy("is_total", "item_id").show(1000, False)
+        for r in plan_folder(spark, args.folder, args.max_chars, args.skip).orderBy("is_total", "item_id").toLocalIterator():
+            print(f"{'all' if r.is_total else r.item_id}\t{r.paragraphs} paragraphs\t{r.dirty} to rewrite\t{r.n_jobs} spans\t{r.packs} packs")
         return
-    from galley.operators.endpoints import http_rewriter
-    from galley.operators.rounds import rule_based
-
-    done = rewrite_folder(spark, args.folder, http_rewriter(args.url, args.model) if args.url else rule_based, args.max_chars)
-    pages = as_markdown(done.withColumn("text", F.col("new_text")))
-    write_files(pages.select(F.concat(F.col("doc_id").cast("string"), F.lit(".polished.md")).alias("name"), "content"), args.out).show(1000, False)
+    terms = load_glossary(spark, args.glossary) if args.glossary else None
+    rewriter = http_rewriter(args.url, args.model) if args.url else rule_based
+    done = rewrite_documents(spark, args.folder, args.out, args.format, rewriter=rewriter, max_chars=args.max_chars, skip_mode=args.skip, mode=args.mode, terms=terms)
+    n, size = done.agg(F.count("*"), F.sum("n_bytes")).first()
+    print(f"{n} files, {size or 0} bytes in {args.out}")
 
 
 if __name__ == "__main__":

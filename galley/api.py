@@ -10,8 +10,10 @@ from galley.operators.packs import span_packs
 from galley.operators.programs import job_table, with_programs
 from galley.operators.rounds import Rewriter, rewrite, rule_based, stitch
 from galley.plans.report import plan
+from galley.plans.run import Options, run
 from galley.session import checkpointed
 from galley.sources.reader import read_files, read_segments, selectable
+from galley.sources.sinks import write_document, write_files
 
 
 def polish(df: DataFrame, key: str, text: str, rewriter: Rewriter = rule_based, max_chars: int = 1800, retries: int = 2, prefilter: bool = True) -> DataFrame:
@@ -34,16 +36,30 @@ def plan_folder(spark: SparkSession, path: str, max_chars: int = 1800, skip_mode
     return plan(_keyed(selectable(read_segments(read_files(spark, path)))), max_chars, skip_mode=skip_mode)
 
 
-def rewrite_folder(spark: SparkSession, path: str, rewriter: Rewriter = rule_based, max_chars: int = 1800, retries: int = 2) -> DataFrame:
-    """Segments of the documents below ``path``, with ``new_text``."""
-    segments = _keyed(selectable(read_segments(read_files(spark, path))))
-    planned = checkpointed(with_programs(segments))
-    done = stitch(planned, rewrite(span_packs(job_table(planned), max_chars), rewriter, retries))
-    out = segments.join(done.select("seg_id", "new_text"), "seg_id", "left")
+def rewrite_folder(spark: SparkSession, path: str, rewriter: Rewriter = rule_based, max_chars: int = 1800, retries: int = 2, skip_mode: str = "auto", mode: str = "polish", terms: DataFrame | None = None) -> DataFrame:
+    """Segments of the documents below ``path``, with ``new_text``; ``terms`` (ord, source, target, kind, notes) hold for all."""
+    return rewrite_segments(read_segments(read_files(spark, path)), rewriter, max_chars, retries, skip_mode, mode, terms)
+
+
+def rewrite_segments(segments: DataFrame, rewriter: Rewriter = rule_based, max_chars: int = 1800, retries: int = 2, skip_mode: str = "auto", mode: str = "polish", terms: DataFrame | None = None) -> DataFrame:
+    """``segments`` as readers give them, with ``new_text``; those of skipped chapters keep their text."""
+    rows = checkpointed(_keyed(segments))  # what is read once is asked about once
+    sent = selectable(rows).select("seg_id", F.lit("").alias("book_id"), "item_id", "seg_index", "tag", "text")
+    own = None if terms is None else terms.withColumn("book_id", F.lit(""))
+    done = run(sent, rewriter, Options(mode=mode, skip_mode=skip_mode, max_chars=max_chars, retries=retries), own)["segments"]
+    out = rows.join(done.select("seg_id", "new_text"), "seg_id", "left")
     return out.withColumn("new_text", F.coalesce("new_text", "text"))
 
 
+def rewrite_documents(spark: SparkSession, path: str, out: str, fmt: str | None = None, **how) -> DataFrame:
+    """The documents below ``path`` rewritten and written to the folder ``out``, each in its own format or in ``fmt``: (name, n_bytes)."""
+    files = read_files(spark, path)
+    done = rewrite_segments(read_segments(files), **how)
+    texts = done.withColumn("item_id", F.col("own_item")).withColumn("text", F.col("new_text"))
+    return write_files(write_document(files, texts, fmt, how.get("mode", "polish")), out)
+
+
 def _keyed(segments: DataFrame) -> DataFrame:
-    """Segments with ids of their own and chapters that are unique over documents."""
+    """Segments with ids of their own and chapters that are unique over documents; ``own_item`` is the chapter's id in its document."""
     item = F.concat_ws("/", F.col("doc_id").cast("string"), "item_id")
-    return segments.withColumn("item_id", item).withColumn("seg_id", F.xxhash64("item_id", "seg_index"))
+    return segments.withColumn("own_item", F.col("item_id")).withColumn("item_id", item).withColumn("seg_id", F.xxhash64("item_id", "seg_index"))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -181,8 +181,8 @@ class Substitution:
     All occurrences are found by one automaton; a sweep over them leaves out those that
     stand within a word and those that overlap an earlier one, so that a target is
     never looked at again. A source in a script without blanks may stand within a word.
-    Of sources with one spelling but for case, the first that is spelt as found or
-    small counts, else the first of all.
+    Of sources with one spelling but for case, the first counts that is spelt as the
+    text, or any where the text has it small; else the first of all.
     """
 
     def __init__(self, terms: list[tuple[str, str]]) -> None:
@@ -196,8 +196,8 @@ class Substitution:
             start, end = last + 1 - n, last + 1
             here = [(s, t) for s, t, free in items if free or _edge(text, start) and _edge(text, end)]
             if here:
-                spelt = (low[start:end], text[start:end])
-                found.append((start, -end, *next((x for x in here if x[0] in spelt), here[0])))
+                word = text[start:end]
+                found.append((start, -end, *next((x for x in here if word in (x[0], small(x[0]))), here[0])))
         out, at = [], 0
         for start, end, s, t in sorted(found, key=lambda x: x[:2]):
             if start >= at:
@@ -279,6 +279,13 @@ def sources_of_json(raw: Column) -> Column:
     return F.when(inner.isNotNull() & (F.size(objects) > 0), objects).otherwise(F.when(raw.rlike(r"^\s*\{") & ~raw.rlike(r'^\s*\{\s*"terms"'), plain).otherwise(F.array().cast("array<struct<source:string,target:string,kind:string,notes:string>>")))
 
 
+def load_glossary(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, source, target, kind, notes) of the glossary files below ``path``, merged in the order of their names."""
+    files = spark.read.text(path, wholetext=True).select("_metadata.file_path", F.posexplode(sources_of_json(F.col("value"))).alias("place", "t"))
+    rows = files.select(F.lit("").alias("book_id"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("file_path", "place")).alias("ord"), "t.*")
+    return merge(rows, rows.limit(0)).drop("book_id")
+
+
 def to_json(terms: DataFrame, key: str = "book_id") -> DataFrame:
     """(key, json): a glossary as one object, for a file a book."""
     term = F.struct(F.struct("ord").alias("o"), F.struct("source", "target", F.col("kind").alias("type"), "notes").alias("t"))

@@ -48,7 +48,7 @@ def rewrite_passages(packs: DataFrame, rewriter: Rewriter, mode: str = "translat
     for k in range(rounds):
         now = packs.filter(F.col("pack_no") == k)
         now = now.join(carry, group, "left") if carry is not None else now.withColumn("previous", F.lit(None).cast("string"))
-        prompt = passage_user(F.col("numbered"), F.lit(glossary), F.coalesce("previous", F.lit("")), F.lit(extra_style), mode)
+        prompt = passage_user(F.col("numbered"), F.coalesce("glossary", F.lit(glossary)) if "glossary" in packs.columns else F.lit(glossary), F.coalesce("previous", F.lit("")), F.lit(extra_style), mode)
         pending = checkpointed(now.withColumn("prompt", prompt))
         settled: list[DataFrame] = []
         for a in range(retries + 1):

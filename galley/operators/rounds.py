@@ -21,7 +21,6 @@ from galley.operators.prompts import attempt, span_user
 from galley.session import checkpointed
 
 Rewriter = Callable[[DataFrame], DataFrame]
-MAX_HALVINGS = 16
 
 
 def decisions(packs: DataFrame, answers: DataFrame) -> DataFrame:
@@ -41,24 +40,29 @@ def _halves(packs: DataFrame, num_ctx: int) -> DataFrame:
     """Two packs for each, the first with half of the jobs rounded down."""
     half = F.floor(F.col("n_jobs") / 2).cast("int")
     parts = F.array(F.struct(F.lit(0).alias("k"), F.slice("jobs", F.lit(1), half).alias("jobs")), F.struct(F.lit(1).alias("k"), F.slice("jobs", half + 1, F.col("n_jobs")).alias("jobs")))
-    out = packs.select("chunk_id", F.explode(parts).alias("p")).select(F.concat("chunk_id", F.lit("/"), F.col("p.k")).alias("chunk_id"), F.col("p.jobs").alias("jobs"))
+    out = packs.select("chunk_id", F.explode(parts).alias("p"), *_system(packs)).select(F.concat("chunk_id", F.lit("/"), F.col("p.k")).alias("chunk_id"), F.col("p.jobs").alias("jobs"), *_system(packs))
     n = F.size("jobs")
     empty = F.lit("")
     prompt = F.array_join(F.transform("jobs", lambda j, i: span_prompt(F.coalesce(j["text"], empty), F.coalesce(j["before"], empty), F.coalesce(j["after"], empty), i + 1)), "\n\n")
     chars = F.aggregate("jobs", F.lit(0), lambda a, j: a + F.coalesce(F.length(j["text"]), F.lit(0)))
-    return out.select("chunk_id", n.alias("n_jobs"), prompt.alias("prompt"), answer_tokens_for_spans(n, chars, num_ctx).alias("max_tokens"), "jobs")
+    return out.select("chunk_id", n.alias("n_jobs"), prompt.alias("prompt"), answer_tokens_for_spans(n, chars, num_ctx).alias("max_tokens"), "jobs", *_system(packs))
+
+
+def _system(packs: DataFrame) -> list[str]:
+    return ["system"] if "system" in packs.columns else []
 
 
 def rewrite(packs: DataFrame, rewriter: Rewriter, retries: int = 2, num_ctx: int = 4096) -> DataFrame:
     """Final decisions of every job of ``packs``: (seg_id, span_index, source, final, accepted, reason, chunk_id, attempt).
 
     A pack is settled by its first answer in which any job passes; the jobs that fail in
-    it keep their source. A pack in which no attempt settles anything is halved; a single
-    job that never passes keeps its source. Rounds end with the largest pack's halvings.
+    it keep their source. A column ``system`` of ``packs`` goes to the rewriter with them. A pack in which no attempt settles anything is halved; a single
+    job that never passes keeps its source. Halves are smaller, so that the rounds end
+    when the largest pack has come down to single jobs.
     """
-    cols = ["chunk_id", "n_jobs", "prompt", "max_tokens", "jobs"]
+    cols = ["chunk_id", "n_jobs", "prompt", "max_tokens", "jobs", *_system(packs)]
     pending, settled = checkpointed(packs.select(*cols)), []
-    for _ in range(MAX_HALVINGS):
+    while True:
         for k in range(retries + 1):
             asked = pending.withColumn("prompt", attempt(span_user(F.col("prompt")), k)).withColumn("attempt", F.lit(k))
             judged = checkpointed(decisions(pending, rewriter(asked)))

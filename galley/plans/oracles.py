@@ -65,8 +65,8 @@ def _boiler(t: str) -> str:
 _HEADINGS = "('h1','h2','h3','h4','h5','h6')"
 
 
-def _dirt(t: str, tag: str, mode: str = "polish") -> str:
-    base = f"(CASE WHEN regexp_matches({t}, '[{RANGES['han']}]') THEN 3 ELSE 0 END + {_artefacts(t)})"
+def _dirt(t: str, tag: str, mode: str = "polish", hit: str = "FALSE") -> str:
+    base = f"(CASE WHEN {hit} THEN 2 ELSE 0 END + CASE WHEN regexp_matches({t}, '[{RANGES['han']}]') THEN 3 ELSE 0 END + {_artefacts(t)})"
     score = f"CASE WHEN {tag} IN {_HEADINGS} THEN greatest(0, {base} - 1) ELSE {base} END"
     far = f"WHEN {_foreign(t)} >= 0.18 THEN 10 " if mode == "translate" else ""
     return f"(CASE WHEN {_boiler(t)} THEN 0 {far}ELSE {score} END)"
@@ -123,11 +123,11 @@ def _absorb(spans: str) -> str:
     return _runs(flip)
 
 
-def _program(source: str, least: int, routed: str) -> str:
+def _program(source: str, least: int, routed: str, hit: str = "FALSE") -> str:
     """Programs of the rows (seg_id, tag, text) of ``source`` where ``routed`` holds, with one unit forced."""
     rows = f"SELECT seg_id, tag, text FROM {source} WHERE {routed}"
     parts = f"{_units(f'(SELECT * FROM ({rows}) WHERE tag NOT IN {_HEADINGS})', 'seg_id, tag')} UNION ALL SELECT seg_id, tag, 0, text FROM ({rows}) WHERE tag IN {_HEADINGS}"
-    scored = f"SELECT *, max(score) OVER (PARTITION BY seg_id) AS top FROM (SELECT *, {_dirt('text', 'tag')} AS score FROM ({parts}))"
+    scored = f"SELECT *, max(score) OVER (PARTITION BY seg_id) AS top FROM (SELECT *, {_dirt('text', 'tag', hit=hit)} AS score FROM ({parts}) u)"
     first = f"SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY score DESC, unit_pos) AS r FROM ({scored})"
     label = f"SELECT seg_id, unit_pos AS span_index, CASE WHEN score >= {least} OR (top < {least} AND r = 1) THEN 'REPLACE' ELSE 'KEEP' END AS kind, text FROM ({first})"
     joined = f"SELECT *, sum(CASE WHEN kind = 'KEEP' THEN length(text) ELSE 0 END) OVER (PARTITION BY seg_id) * 1.0 / sum(length(text)) OVER (PARTITION BY seg_id) AS keep FROM ({_absorb(label)})"
@@ -249,13 +249,15 @@ def _merged(overwrite: bool) -> str:
 
 _RELEVANT = f"SELECT * FROM (SELECT s.seg_id, t.ord, t.source, t.target, row_number() OVER (PARTITION BY s.seg_id ORDER BY length(t.source) DESC, t.ord) AS rank FROM segments s JOIN {_TERMS} t ON s.book_id = t.book_id AND length(t.source) > 0 AND contains(lower(s.text), lower(t.source))) WHERE rank <= 80"
 
+_BLOCK = f"SELECT book_id, string_agg(l, chr(10) ORDER BY r) AS block FROM (SELECT book_id, '- ' || source || ' → ' || target || CASE WHEN coalesce(notes, '') <> '' THEN ' (' || notes || ')' ELSE '' END AS l, row_number() OVER (PARTITION BY book_id ORDER BY length(source) DESC, k, ord) AS r FROM (SELECT book_id, lower(source) AS k, target, min(ord) AS ord, first(source ORDER BY ord) AS source, first(notes ORDER BY ord) AS notes FROM {_TERMS} WHERE length(source) > 0 AND length(target) > 0 AND source <> target GROUP BY book_id, lower(source), target)) WHERE r <= 80 GROUP BY book_id"
+_WANTED = f"EXISTS (SELECT 1 FROM {_TERMS} t JOIN segments z USING (book_id) WHERE z.seg_id = u.seg_id AND length(t.source) > 0 AND t.source <> t.target AND contains(lower(u.text), lower(t.source)))"
 _IN_WORD = lambda at: f"regexp_matches(substr(text, {at}, 1), '[\\p{{L}}\\p{{N}}_]')"
 _EDGE_AT = lambda at: f"(({at} > 1 AND {_IN_WORD(f'{at} - 1')}) <> {_IN_WORD(at)})"
 # Every place of every term, the best at each place, then from one to the next that does not overlap it.
 _PUT = f"""WITH RECURSIVE t AS (SELECT book_id, ord, source, target, lower(source) AS low, regexp_matches(source, '[{FOREIGN}]') AS free FROM {_TERMS} WHERE length(source) > 0 AND length(target) > 0 AND source <> target),
 p AS (SELECT seg_id, text, lower(text) AS l, t.*, unnest(range(1, length(text) - length(low) + 2)) AS pos FROM segments JOIN t USING (book_id) WHERE contains(lower(text), low)),
 q AS (SELECT seg_id, pos, length(low) AS n, ord, source, target, substr(text, pos, length(low)) AS f FROM p WHERE substr(l, pos, length(low)) = low AND (free OR ({_EDGE_AT('pos')} AND {_EDGE_AT('pos + length(low)')}))),
-b AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seg_id, pos ORDER BY n DESC, (source = f OR source = lower(f)) DESC, ord) AS r FROM q) WHERE r = 1),
+b AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seg_id, pos ORDER BY n DESC, (source = f OR lower(source) = f) DESC, ord) AS r FROM q) WHERE r = 1),
 x AS MATERIALIZED (SELECT a.seg_id, a.pos, min(c.pos) AS nx FROM b a LEFT JOIN b c ON a.seg_id = c.seg_id AND c.pos >= a.pos + a.n GROUP BY 1, 2),
 chain AS (SELECT seg_id, min(pos) AS pos FROM b GROUP BY seg_id UNION ALL SELECT chain.seg_id, x.nx FROM chain JOIN x USING (seg_id, pos) WHERE x.nx IS NOT NULL),
 done AS (SELECT b.* FROM chain JOIN b USING (seg_id, pos))"""
@@ -323,7 +325,10 @@ CASE job_id % 3 WHEN 0 THEN {_B} || ' ' || {_T} || ' ' || {_A} WHEN 1 THEN {_B}
     "glossary_overwrite": _merged(True),
     "glossary_relevant_topk": _RELEVANT,
     "glossary_unapplied": f"SELECT seg_id, count(*) AS n FROM ({_RELEVANT}) WHERE source <> target GROUP BY seg_id",
-    "glossary_prompt": f"SELECT book_id, string_agg(l, chr(10) ORDER BY r) AS block FROM (SELECT book_id, '- ' || source || ' → ' || target || CASE WHEN coalesce(notes, '') <> '' THEN ' (' || notes || ')' ELSE '' END AS l, row_number() OVER (PARTITION BY book_id ORDER BY length(source) DESC, k, ord) AS r FROM (SELECT book_id, lower(source) AS k, target, min(ord) AS ord, first(source ORDER BY ord) AS source, first(notes ORDER BY ord) AS notes FROM {_TERMS} WHERE length(source) > 0 AND length(target) > 0 AND source <> target GROUP BY book_id, lower(source), target)) WHERE r <= 80 GROUP BY book_id",
+    "glossary_prompt": _BLOCK,
+    "glossary_routing": f"SELECT seg_id, CASE WHEN text IS NOT NULL THEN {_dirt('text', 'tag', hit=_WANTED)} ELSE 0 END::BIGINT AS score, text IS NOT NULL AND coalesce(tag NOT IN ('pre','code','samp'), TRUE) AND NOT {_boiler('text')} AND {_dirt('text', 'tag', hit=_WANTED)} >= 2 AS sent FROM segments u",
+    "glossary_programs": _program("segments u", 1, f"text IS NOT NULL AND coalesce(tag NOT IN ('pre','code','samp'), TRUE) AND NOT {_boiler('text')} AND {_dirt('text', 'tag', hit=_WANTED)} >= 1", _WANTED),
+    "glossary_system": "SELECT book_id, 'You correct English that a machine translated. Rewrite the REPLACE parts only; names, meaning and tone stay. Answer with the numbered blocks and no other words.' || chr(10) || chr(10) || 'Style notes:' || chr(10) || 'Stay within the vocabulary and register of the text.' || chr(10) || chr(10) || block AS system FROM (" + _BLOCK + ")",
     "glossary_apply": f"{_PUT} SELECT seg_id, md5(coalesce(new, text)) AS digest, coalesce(k, 0) AS n_hits FROM segments LEFT JOIN ({_PUT_TEXT}) USING (seg_id)",
     "glossary_hits": f"{_PUT} SELECT source || ' → ' || target AS term, count(*) AS n FROM done GROUP BY 1",
     "glossary_json": f"SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord) - 1 AS place, source, target, kind, nullif(notes, '') AS notes FROM {_TERMS} WHERE coalesce(source, '') <> '' AND coalesce(target, '') <> ''",

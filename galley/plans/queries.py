@@ -336,6 +336,29 @@ def glossary_unapplied(spark, d):
     return hits.groupBy("seg_id").agg(F.count("*").alias("n"))
 
 
+@query
+def glossary_routing(spark, d):
+    """Which paragraphs are sent when what they hold of their glossary counts, and how dirty they are then."""
+    rows = glossary.with_wanted(_segments(spark, d).select("seg_id", "book_id", "tag", "text"), _terms(spark, d), "seg_id")
+    hit = F.col("wanted").isNotNull()
+    told = lambda s: F.struct(F.when(F.col("text").isNotNull(), rules.dirt_of(s, "polish", "tag", hit)).otherwise(0).cast("bigint").alias("score"), (F.col("text").isNotNull() & rules.needs_of(s, "tag", "polish", "aggressive", hit)).alias("sent"))
+    return rows.select("seg_id", F.explode(F.array(let(rules.signals("text"), told))).alias("r")).select("seg_id", "r.*")
+
+
+@query
+def glossary_programs(spark, d):
+    """Edit programs in which a unit with a glossary source is dirtier."""
+    rows = glossary.with_wanted(_segments(spark, d).select("seg_id", "book_id", "tag", "text"), _terms(spark, d), "seg_id")
+    return _long_index(programs.span_table(programs.with_programs(rows, wanted="wanted").select("seg_id", "program")))
+
+
+@query
+def glossary_system(spark, d):
+    """What the rewriter is told for every pack of a book: the task, the style, the book's substitutions."""
+    block = glossary.stable_block(_terms(spark, d))
+    return block.select("book_id", prompts.span_system(F.col("block"), F.lit("")).alias("system"))
+
+
 @query
 def glossary_prompt(spark, d):
     return glossary.stable_block(_terms(spark, d))

@@ -13,6 +13,7 @@ from galley.operators import checkpoints, glossary
 from galley.operators.packs import span_packs
 from galley.operators.passages import assemble, passage_packs, rewrite_passages
 from galley.operators.programs import job_table, with_programs
+from galley.operators.prompts import span_system
 from galley.operators.rounds import Rewriter, rewrite, stitch
 from galley.session import checkpointed
 
@@ -39,6 +40,15 @@ def prepare(segments: DataFrame, terms: DataFrame | None, options: Options) -> t
     return (options.draft(segments) if options.draft else segments), hits
 
 
+def glossary_of(packs: DataFrame, segments: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """``packs`` with ``glossary``: the substitutions of their book, the same bytes for all of its packs."""
+    if terms is None:
+        return packs
+    books = segments.select("item_id", "book_id").filter("item_id IS NOT NULL").groupBy("item_id").agg(F.min("book_id").alias("book_id"))  # a row a chapter
+    blocks = books.join(glossary.stable_block(terms), "book_id").select("item_id", F.col("block").alias("glossary"))
+    return packs.join(blocks, "item_id", "left")
+
+
 def run(segments: DataFrame, rewriter: Rewriter, options: Options = Options(), terms: DataFrame | None = None, done: DataFrame | None = None, name: str = "") -> dict[str, DataFrame | None]:
     """``segments`` (seg_id unique, book_id, item_id, seg_index, tag, text) through the whole flow.
 
@@ -47,15 +57,21 @@ def run(segments: DataFrame, rewriter: Rewriter, options: Options = Options(), t
     texts, line_no) holds for the run ``name`` are not asked again.
     """
     ready, hits = prepare(segments, terms, options)
+    wanted = None
+    if terms is not None:  # what the texts still hold of the glossary makes them dirtier
+        ready, wanted = glossary.with_wanted(ready, terms, "seg_id"), "wanted"
+    hit = None if wanted is None else F.col(wanted).isNotNull()
     if options.mode == "translate":
-        dirty = ready.filter(needs_rewrite("text", "tag", "translate", options.skip_mode))
-        packs = passage_packs(dirty, options.max_chars, ["seg_index", "seg_id"], mode="translate", num_ctx=options.num_ctx)
+        dirty = ready.filter(needs_rewrite("text", "tag", "translate", options.skip_mode, hit))
+        packs = glossary_of(passage_packs(dirty, options.max_chars, ["seg_index", "seg_id"], mode="translate", num_ctx=options.num_ctx), ready, terms)
         out = rewrite_passages(packs, rewriter, "translate", options.retries)
         new = assemble(out)
         log = dirty.join(new, "seg_id").select("seg_id", F.lit(0).alias("part"), F.col("text").alias("before"), F.col("new_text").alias("after"), F.col("item_id").alias("chunk_id"))
     else:
-        planned = checkpointed(with_programs(ready, "polish", options.skip_mode))  # read by packing and by stitching
-        packs = span_packs(job_table(planned), options.max_chars, options.num_ctx)
+        planned = checkpointed(with_programs(ready, "polish", options.skip_mode, wanted=wanted))  # read by packing and by stitching
+        packs = glossary_of(span_packs(job_table(planned), options.max_chars, options.num_ctx), planned, terms)
+        if terms is not None:
+            packs = packs.withColumn("system", span_system(F.coalesce("glossary", F.lit("")), F.lit(""))).drop("glossary")
         asked = packs if done is None else checkpoints.pending(packs, done, name)
         final = rewrite(asked, rewriter, options.retries, options.num_ctx).select("seg_id", "span_index", "source", "final", "accepted", "chunk_id")
         if done is not None:

@@ -8,6 +8,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,62 +23,55 @@ NAVIGATION = ("nav", "toc", "ncx", "cover", "contents")
 Chapter = tuple[str, str, bool, list[tuple[int, str, str]]]  # item_id, title, is_skipped, (seg_index, tag, text)
 
 
+_FENCE = re.compile(r"^```.*$", re.M)
+_HEADING = re.compile(r"(#{1,6})\s+(.*)")
+_ITEM = re.compile(r"(?:[-*+]|\d+\.)\s+(.*)")
+
+
+def _line_kind(line: str) -> str:
+    """h, li, p, or nothing for a blank line."""
+    if _HEADING.match(line):
+        return "h"
+    bare = line.strip()
+    return "li" if _ITEM.match(bare) else "p" if bare else ""
+
+
+def markdown_blocks(text: str) -> Iterator[tuple[str, str]]:
+    """(tag, text) of the blocks: what stands between fences is code, a run of plain lines a paragraph."""
+    lines = "\n".join(text.removeprefix("\ufeff").splitlines())
+    parts = _FENCE.split(lines)
+    for k, part in enumerate(parts):
+        if k % 2:
+            code = part.split("\n")[1:]
+            yield "pre", "\n".join(code if k == len(parts) - 1 else code[:-1])
+            continue
+        for kind, run in groupby(part.split("\n"), _line_kind):
+            if kind == "p":
+                yield kind, " ".join(map(str.strip, run))
+            elif kind == "li":
+                yield from ((kind, _ITEM.match(x.strip())[1]) for x in run)
+            elif kind == "h":
+                yield from ((f"h{len(m[1])}", m[2].strip()) for m in map(_HEADING.match, run))
+
+
 def markdown_chapters(text: str, stem: str) -> list[Chapter]:
-    """Chapters of a Markdown text: a top heading opens one if anything stands before it."""
-    chapters: list[Chapter] = []
-    blocks: list[tuple[str, str]] = []
-    para: list[str] = []
-    title, code = stem, None
-
-    def end_paragraph() -> None:
-        if joined := " ".join(para).strip():
-            blocks.append(("p", joined))
-        para.clear()
-
-    def end_chapter() -> None:
-        end_paragraph()
-        if blocks:
-            rows = [(i, tag, t) for i, (tag, t) in enumerate(blocks) if t.strip()]
-            chapters.append((f"md{len(chapters)}", title, False, rows))
-            blocks.clear()
-
-    for line in text.removeprefix("﻿").splitlines():
-        if code is not None:
-            if line.startswith("```"):
-                blocks.append(("pre", "\n".join(code)))
-                code = None
-            else:
-                code.append(line)
-        elif line.startswith("```"):
-            end_paragraph()
-            code = []
-        elif m := re.match(r"(#{1,6})\s+(.*)", line):
-            heading = m[2].strip()
-            if len(m[1]) > 1:
-                end_paragraph()
-            else:
-                if blocks or para:
-                    end_chapter()
-                title = heading
-            blocks.append((f"h{len(m[1])}", heading))
-        elif not (bare := line.strip()):
-            end_paragraph()
-        elif m := re.match(r"(?:[-*+]|\d+\.)\s+(.*)", bare):
-            end_paragraph()
-            blocks.append(("li", m[1]))
-        else:
-            para.append(bare)
-    if code is not None:
-        blocks.append(("pre", "\n".join(code)))
-    end_chapter()
-    return chapters
+    """Chapters of a Markdown text: each top heading opens one, and whatever stands before the first."""
+    blocks = list(markdown_blocks(text))
+    at = [i for i, (tag, _) in enumerate(blocks) if tag == "h1" or i == 0]
+    out = []
+    for k, (start, end) in enumerate(zip(at, [*at[1:], len(blocks)])):
+        title = blocks[start][1] if blocks[start][0] == "h1" else stem
+        out.append((f"md{k}", title, False, [(i, tag, t) for i, (tag, t) in enumerate(blocks[start:end]) if t.strip()]))
+    return out
 
 
 class _Leaves(HTMLParser):
     """Block elements that hold no other; unclosed elements end with their parent."""
 
-    def __init__(self) -> None:
+    def __init__(self, text: str) -> None:
         super().__init__(convert_charrefs=True)
+        self.line_at = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.length = len(text)
         self.open: list[dict] = []
         self.blocks: list[dict] = []
         self.heads: dict[str, str] = {}
@@ -86,7 +80,7 @@ class _Leaves(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             return
-        node = {"tag": tag, "text": [], "leaf": tag in BLOCKS}
+        node = {"tag": tag, "text": [], "leaf": tag in BLOCKS, "start": self.at() + len(self.get_starttag_text() or ""), "end": self.length}
         if tag in BLOCKS:
             for outer in self.open:
                 outer["leaf"] = False
@@ -97,10 +91,16 @@ class _Leaves(HTMLParser):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k]["tag"] == tag:
                 for node in self.open[k:]:
+                    node["end"] = self.at()
                     self._close(node)
                 del self.open[k:]
                 return
 
+    def at(self) -> int:
+        """Where in the page the parser stands."""
+        line, column = self.getpos()
+        return self.line_at[line - 1] + column
+
     def _close(self, node: dict) -> None:
         if node["tag"] in ("title", "h1", "h2", "h3") and (t := squeezed(node["text"])):
             self.heads.setdefault(node["tag"], t)
@@ -123,16 +123,26 @@ def squeezed(parts: list[str]) -> str:
     return " ".join(" ".join(parts).split())
 
 
+def _parsed(text: str) -> tuple[_Leaves, list[dict]]:
+    """The parser after ``text``, and its leaf blocks of two characters or more."""
+    parser = _Leaves(text)
+    parser.feed(text)
+    parser.close()
+    return parser, [n for n in parser.blocks if n["leaf"] and len(squeezed(n["text"])) >= 2]
+
+
 def html_leaves(text: str) -> tuple[list[tuple[int, str, str]], dict[str, str], str]:
     """(seg_index, tag, text) of the leaf blocks, the first headings and the title, and the whole body's text.
 
     Blocks of less than two characters are left out and take no number.
     """
-    parser = _Leaves()
-    parser.feed(text)
-    parser.close()
-    found = [(n["tag"], t) for n in parser.blocks if n["leaf"] and len(t := squeezed(n["text"])) >= 2]
-    return [(i, tag, t) for i, (tag, t) in enumerate(found)], parser.heads, squeezed(parser.body)
+    parser, found = _parsed(text)
+    return [(i, n["tag"], squeezed(n["text"])) for i, n in enumerate(found)], parser.heads, squeezed(parser.body)
+
+
+def html_places(text: str) -> list[tuple[str, int, int]]:
+    """(text, start, end) of the leaf blocks: what stands between their tags."""
+    return [(squeezed(n["text"]), n["start"], n["end"]) for n in _parsed(text)[1]]
 
 
 def html_chapters(text: str, stem: str) -> list[Chapter]:

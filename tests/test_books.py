@@ -1,8 +1,10 @@
 import io
 import json
+import random
 import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from galley.operators import changes, checkpoints, glossary, lookup, samples
@@ -168,3 +170,97 @@ def test_nothing_imports_the_training_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"galley\.llm", p.read_text())
+
+
+@pytest.mark.parametrize("shared", [50_000, 0])
+def test_glossary_by_both_ways(spark, shared):
+    terms = spark.createDataFrame([("b", 1, "ink", "INK", "k", None), ("b", 2, "ink well", "inkwell", "k", ""), ("b", 3, "Well", "Well", "k", None), ("c", 1, "墨", "ink", None, None), (None, 1, "ink", "x", None, None), ("b", 4, "Ink", "Tinte", "k", None)], TERMS)
+    texts = spark.createDataFrame([(1, "b", "Ink, ink well and inks; INK well."), (2, "c", "古墨水"), (3, None, "ink"), (4, "b", None), (5, "b", ""), (6, "d", "ink"), (6, "b", "well")], "id int, book_id string, text string")
+    out = sorted(((r.id, r.text, r.hits) for r in glossary.substitute(texts, terms, "id", shared=shared).collect()), key=repr)
+    assert (1, "Tinte, inkwell and inks; inkwell.", {"ink well → inkwell": 2, "Ink → Tinte": 1}) in out and (2, "古ink水", {"墨 → ink": 1}) in out
+    assert len(out) == 7 and (3, "ink", {}) in out and (4, None, {}) in out and (6, "ink", {}) in out
+    got = sorted((r.id, r.rank, r.source) for r in glossary.relevant(texts, terms, "id", shared=shared, cap=2).filter("id < 6").collect())
+    assert got == [(1, 1, "ink well"), (1, 2, "Well"), (2, 1, "墨")]
+    wanted = {r.id: r.wanted for r in glossary.with_wanted(texts.filter("id < 6"), terms, "id", shared=shared).collect()}
+    assert wanted == {1: ["ink", "ink well"], 2: ["墨"], 3: None, 4: None, 5: None}
+    assert glossary.substitute(texts.limit(0), terms, "id", shared=shared).count() == 0 and glossary.substitute(texts, terms.limit(0), "id", shared=shared).count() == 7
+
+
+def test_places_are_those_of_a_slow_search():
+    rnd = random.Random(3)
+    for _ in range(300):
+        terms = [("".join(rnd.choices("abA ", k=rnd.randint(1, 3))), str(i)) for i in range(5)]
+        text = "".join(rnd.choices("abAB x", k=40))
+        s = glossary.Substitution(terms)
+        used, at, want = [(a, b) for a, b in terms if a != b], 0, []
+        while at < len(text):
+            here = [(a, b) for a, b in used if text[at : at + len(a)].lower() == a.lower() and glossary._edge(text, at) and glossary._edge(text, at + len(a))]
+            if here:
+                n = max(len(a) for a, _ in here)
+                here = [x for x in here if len(x[0]) == n]
+                found = text[at : at + n]
+                a, b = next((x for x in here if found in (x[0], x[0].lower())), here[0])
+                want.append((at, at + n, a, b))
+                at += n
+            else:
+                at += 1
+        assert s.places(text) == want
+
+
+def test_markdown_chapters():
+    text = "lead\nmore\n\n# One\n- a\n- \n1. b\npara\n## Two\n```x\ncode\n\nmore\n```\nafter\n# \n# Three\n```\nopen"
+    got = markup.markdown_chapters(text, "stem")
+    assert [(c[0], c[1]) for c in got] == [("md0", "stem"), ("md1", "One"), ("md2", ""), ("md3", "Three")]
+    assert got[0][3] == [(0, "p", "lead more")]
+    assert got[1][3] == [(0, "h1", "One"), (1, "li", "a"), (2, "p", "-"), (3, "li", "b"), (4, "p", "para"), (5, "h2", "Two"), (6, "pre", "code\n\nmore"), (7, "p", "after")]
+    assert got[2][3] == [] and got[3][3] == [(0, "h1", "Three"), (1, "pre", "open")]
+    assert markup.markdown_chapters("", "s") == [] and markup.markdown_chapters("# A", "s") == [("md0", "A", False, [(0, "h1", "A")])]
+
+
+def test_every_file_is_written(spark, tmp_path):
+    df = spark.range(5000).selectExpr("concat(id, '.md') AS name", "concat('text ', id) AS content").repartition(8)
+    done = sinks.write_files(df, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").iterdir())) == 5000 and done.count() == 5000
+    assert (tmp_path / "out" / "4999.md").read_text() == "text 4999"
+    sinks.write_files(df.limit(3), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").iterdir())) == 5000
+
+
+ROWS = [(1, 0, "p0", "One & two", 0, "h1", "One & two"), (1, 0, "p0", "One & two", 1, "p", "a < b\nc"), (1, 1, "p1", None, 0, "div", "last"), (1, 1, "p1", None, 1, "p", " ")]
+
+
+@pytest.mark.parametrize("fmt", ["epub", "docx", "html", "md", "txt", "json", "jsonl"])
+def test_new_documents_can_be_read_again(spark, tmp_path, fmt):
+    segs = spark.createDataFrame([(*r, False) for r in ROWS], "doc_id bigint, chapter_ord int, item_id string, title string, seg_index int, tag string, text string, is_skipped boolean")
+    content = sinks.as_format(segs, fmt).first().content
+    assert bytes(content) == bytes(sinks.as_format(segs, fmt).first().content)
+    (tmp_path / f"x.{fmt}").write_bytes(content)
+    from galley.sources.reader import read_files, read_segments
+
+    back = [" ".join(r.text.split()) for r in reader.selectable(read_segments(read_files(spark, str(tmp_path)))).orderBy("chapter_ord", "seg_index").collect()]
+    assert [t.replace("a < bc", "a < b c") for t in back if t] == ["One & two", "a < b c", "last"]
+    with pytest.raises(formats.FormatError):
+        sinks.as_format(segs, "pdf")
+
+
+def test_documents_keep_their_format(spark, tmp_path):
+    from galley.api import rewrite_documents
+
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    page = "<html><head><style>p {}</style></head><body class='x'><p id=1>He could not help but smile at the old red lamp.</p><p>A <b>calm</b> day.</p></body></html>"
+    (folder / "a.html").write_text(page)
+    (folder / "b.md").write_text("# T\n\n- one\n\nShe suddenly discovered that the key was gone again.\n")
+    (folder / "sub" / "b.md").write_text("Nothing to do.\n")
+    segs = spark.createDataFrame([(1, 0, "c", "T", 0, "p", "He could not help but smile at the old red lamp.", False)], "doc_id bigint, chapter_ord int, item_id string, title string, seg_index int, tag string, text string, is_skipped boolean")
+    for fmt in ("epub", "docx"):
+        (folder / f"c.{fmt}").write_bytes(sinks.as_format(segs, fmt).first().content)
+    out = tmp_path / "out"
+    assert rewrite_documents(spark, str(folder), str(out)).count() == 5
+    names = sorted(p.name for p in out.iterdir())
+    assert [n for n in names if "-" not in n] == ["a.polished.html", "c.polished.docx", "c.polished.epub"] and sum(n.endswith("-b.polished.md") for n in names) == 2
+    assert (out / "a.polished.html").read_text() == page.replace("could not help but smile", "smiled").replace("He smiled", "He smiled")
+    from galley.sources.reader import read_files, read_segments
+
+    texts = {r.text for r in read_segments(read_files(spark, str(out))).collect()}
+    assert {"He smiled at the old red lamp.", "She found that the key was gone again.", "Nothing to do.", "one"} <= texts and not any("could not help" in t for t in texts)

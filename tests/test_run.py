@@ -53,3 +53,18 @@ def test_polish_run_with_terms_and_checkpoint(spark):
 
     again = run(s, never, Options(retries=0), terms, done, "r1")
     assert {r.seg_id: r.new_text for r in again["segments"].collect()}[1] == "Kept text."
+
+
+def test_the_glossary_goes_through_the_run(spark):
+    segs = spark.createDataFrame([(1, "b", "c1", 0, "p", "The old lamp stood by the Harbourmaster all night long."), (2, "b", "c1", 1, "p", "A calm day in town."), (3, "d", "c2", 0, "p", "The old lamp stood by the Harbourmaster all night long.")], "seg_id bigint, book_id string, item_id string, seg_index int, tag string, text string")
+    terms = spark.createDataFrame([("b", 1, "Harbour", "Port", "k", None)], "book_id string, ord int, source string, target string, kind string, notes string")
+    seen = []
+
+    def rewriter(packs):
+        seen.extend((r.chunk_id, r.system) for r in packs.collect())
+        return rule_based(packs)
+
+    out = run(segs, rewriter, Options(retries=0), terms)
+    # the source stands within a word: it is not put in, but makes its paragraph dirty in its own book alone
+    assert {r.seg_id for r in out["log"].collect()} == {1}
+    assert len(seen) == 1 and seen[0][1].endswith("- Harbour → Port") and out["segments"].count() == 3
