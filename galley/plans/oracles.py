@@ -285,6 +285,30 @@ def _tier(k: int) -> str:
     return "CASE " + " ".join(f"WHEN u >= {t[0]} THEN {x}" for t, x in zip(TIERS, v)) + " END"
 
 
+# Lines, what each is, where a block begins, then chapters at the top headings.
+_MD = f"""WITH l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^\\x{{FEFF}}', ''), '\\r\\n|[\\n\\r\\x{{b}}\\x{{c}}\\x{{1c}}-\\x{{1e}}\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(10)) AS a FROM documents WHERE text <> '')),
+k AS (SELECT *, starts_with(line, '```') AS fence, sum(starts_with(line, '```')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS f FROM l),
+t AS (SELECT *, CASE WHEN fence AND f % 2 = 1 THEN 'pre' WHEN fence THEN 'end' WHEN f % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^#{{1,6}}[{WS}]') THEN 'h' WHEN regexp_matches({_strip('line')}, '^([-*+]|\\p{{Nd}}+\\.)[{WS}]') THEN 'li' WHEN {_strip('line')} = '' THEN '' ELSE 'p' END AS kind FROM k),
+s AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY i) AS bl FROM (SELECT *, (kind IN ('h', 'li', 'pre') OR (kind = 'p' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM 'p'))::INT AS start FROM t)),
+g AS (SELECT doc_id, bl, arg_min(kind, i) AS kind, arg_min(line, i) AS head, string_agg(line, chr(10) ORDER BY i) FILTER (kind = 'code') AS code, string_agg({_strip('line')}, ' ' ORDER BY i) AS para FROM s WHERE bl > 0 AND kind NOT IN ('', 'end') GROUP BY doc_id, bl),
+c AS (SELECT doc_id, bl, CASE WHEN kind = 'h' THEN 'h' || length(regexp_extract(head, '^#+')) ELSE kind END AS tag, CASE kind WHEN 'h' THEN {_strip("regexp_replace(head, '^#+', '')")} WHEN 'li' THEN regexp_replace({_strip('head')}, '^([-*+]|\\p{{Nd}}+\\.)[{WS}]+', '') WHEN 'pre' THEN coalesce(code, '') ELSE para END AS text FROM g),
+h AS (SELECT *, sum((tag = 'h1' AND bl > 1)::INT) OVER (PARTITION BY doc_id ORDER BY bl) AS chapter FROM c),
+n AS (SELECT doc_id, 'md' || chapter AS item_id, first_value(CASE WHEN tag = 'h1' THEN text ELSE 'doc' || doc_id END) OVER w AS title, row_number() OVER w - 1 AS seg_index, tag, text FROM h WINDOW w AS (PARTITION BY doc_id, chapter ORDER BY bl))
+SELECT * FROM n WHERE regexp_matches(text, '[^{WS}]')"""
+_WRITTEN = f"SELECT item_id, chapter_ord, seg_index * 10000000::BIGINT + seg_id AS o, tag, text, regexp_replace(text, '[{WS}]+$', '') AS r, lead(chapter_ord) OVER (PARTITION BY item_id ORDER BY chapter_ord, seg_index * 10000000::BIGINT + seg_id) AS following FROM segments WHERE text IS NOT NULL AND {_strip('text')} <> ''"
+_GAP = "CASE WHEN tag = 'li' AND coalesce(following, chapter_ord) = chapter_ord THEN chr(10) ELSE chr(10) || chr(10) END"
+_MD_BLOCK = f"CASE WHEN tag = 'pre' THEN '```' || chr(10) || r || chr(10) || '```' WHEN regexp_matches(tag, '^h[1-6]$') THEN repeat('#', substring(tag, 2, 1)::INT) || ' ' || r WHEN tag = 'li' THEN '- ' || r ELSE r END"
+_HTML_TAG = "CASE WHEN tag IN ('p', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'li', 'blockquote', 'pre') THEN tag ELSE 'p' END"
+_HTML_LINE = f"'<' || {_HTML_TAG} || '>' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br/>') || '</' || {_HTML_TAG} || '>'"
+_RECORD = "CASE WHEN tag IS NULL THEN to_json({'chapter': item_id, 'text': text}) ELSE to_json({'chapter': item_id, 'tag': tag, 'text': text}) END"
+
+
+def _digest_of(content: str) -> str:
+    return f"SELECT item_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT item_id, {content} AS c FROM ({_WRITTEN}) GROUP BY item_id)"
+
+
+_FENCE = "repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(concat_ws(chr(10) || chr(10), before, after), '`+'), lambda x: length(x))), 0) + 1)::INT)"
+
 _SPANS_BUDGET = lambda est: f"greatest(k * 48, least({est}, {min(max(128, NUM_CTX // 2), 2048)}))::BIGINT"
 _PASSAGE_BUDGET = lambda est: f"greatest(96, least({est}, {min(max(128, NUM_CTX // 2), 3072)}))::BIGINT"
 
@@ -349,5 +373,12 @@ a AS (SELECT item_id, paragraphs, dirty, coalesce(n_jobs, 0) AS n_jobs, coalesce
 SELECT item_id, grouping(item_id)::INT AS is_total, sum(paragraphs)::BIGINT AS paragraphs, sum(dirty)::BIGINT AS dirty, sum(paragraphs - dirty)::BIGINT AS skipped, sum(n_jobs)::BIGINT AS n_jobs, sum(packs)::BIGINT AS packs FROM a GROUP BY ROLLUP (item_id)""",
     "txt_paragraphs": f"SELECT doc_id, 'p' || k AS item_id, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) - 1 AS seg_index, p AS text FROM (SELECT doc_id, k, i, array_to_string(list_filter(list_transform(string_split(c, chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), ' ') AS p FROM (SELECT doc_id, k, unnest(regexp_split_to_array({_strip('sec')}, '\\n[{WS}]*\\n')) AS c, generate_subscripts(regexp_split_to_array({_strip('sec')}, '\\n[{WS}]*\\n'), 1) AS i FROM (SELECT doc_id, unnest(string_split(x, chr(12))) AS sec, generate_subscripts(string_split(x, chr(12)), 1) - 1 AS k FROM (SELECT doc_id, {_TXT} AS x FROM documents WHERE text IS NOT NULL)))) WHERE p <> ''",
     "json_chapters": f"SELECT replace(substring(book_id, 4), '-', '')::BIGINT AS doc_id, dense_rank() OVER (PARTITION BY book_id ORDER BY f) - 1 AS chapter_ord, item_id AS title, row_number() OVER (PARTITION BY book_id, item_id ORDER BY o) - 1 AS seg_index, tag, text FROM (SELECT *, min(o) OVER (PARTITION BY book_id, item_id) AS f FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY loaded_at, seg_id) AS o FROM segments) WHERE text IS NOT NULL AND {_strip('text')} <> '')",
-    "write_txt": f"SELECT item_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT item_id, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY chapter_ord, seg_index * 10000000::BIGINT + seg_id), '[{WS}]+$', '') || chr(10) AS c FROM segments WHERE text IS NOT NULL AND {_strip('text')} <> '' GROUP BY item_id)",
+    "write_txt": _digest_of(f"regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY chapter_ord, o), '[{WS}]+$', '') || chr(10)"),
+    "write_markdown": _digest_of(f"regexp_replace(string_agg({_MD_BLOCK} || {_GAP}, '' ORDER BY chapter_ord, o), '[{WS}]+$', '') || chr(10)"),
+    "write_html": _digest_of(f"'<!DOCTYPE html>' || chr(10) || '<html><body>' || chr(10) || string_agg({_HTML_LINE}, chr(10) ORDER BY chapter_ord, o) || chr(10) || '</body></html>' || chr(10)"),
+    "write_jsonl": _digest_of(f"string_agg({_RECORD}, chr(10) ORDER BY chapter_ord, o) || chr(10)"),
+    "md_blocks": _MD,
+    "change_report": f"SELECT edit_id, md5('### Paragraph ' || para || chr(10) || chr(10) || 'Before:' || chr(10) || chr(10) || f || chr(10) || {_S} || chr(10) || f || chr(10) || chr(10) || 'After:' || chr(10) || chr(10) || f || chr(10) || coalesce(after, '') || chr(10) || f) AS digest FROM (SELECT *, {_FENCE} AS f FROM edits) WHERE {_squeeze(_S)} <> {_squeeze(_A)}",
+    "full_prompts": f"""SELECT chunk_id, md5('You correct English that a machine translated. Rewrite the REPLACE parts only; names, meaning and tone stay. Answer with the numbered blocks and no other words.' || chr(10) || chr(10) || 'Style notes:' || chr(10) || 'Stay within the vocabulary and register of the text.'
+|| 'Rewrite each REPLACE part. Give only its new wording, under its number. Leave out the KEEP parts.' || chr(10) || chr(10) || 'Spans:' || chr(10) || chr(10) || prompt) AS digest FROM ({_PACK_ROWS})""",
 }

@@ -463,7 +463,7 @@ def page_paragraphs(spark, d):
 
 @query
 def md_blocks(spark, d):
-    return markup.read_markup(_documents(spark, d), "md").select("doc_id", "item_id", "title", "seg_index", "tag", "text")
+    return markup.read_markup(_documents(spark, d), "md").select("doc_id", "item_id", "title", F.col("seg_index").cast("bigint").alias("seg_index"), "tag", "text")
 
 
 @query
@@ -488,18 +488,30 @@ def json_chapters(spark, d):
     return out.select("doc_id", F.col("chapter_ord").cast("bigint").alias("chapter_ord"), "title", F.col("seg_index").cast("bigint").alias("seg_index"), "tag", "text")
 
 
+def _digests(items: DataFrame, written: DataFrame) -> DataFrame:
+    out = written.join(items.select("doc_id", "item_id").distinct(), "doc_id")
+    return out.select("item_id", F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("digest"))
+
+
 @query
 def write_txt(spark, d):
     items = _as_documents(spark, d)
-    out = sinks.as_txt(items).join(items.select("doc_id", "item_id").distinct(), "doc_id")
-    return out.select("item_id", F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("digest"))
+    return _digests(items, sinks.as_txt(items))
 
 
 @query
 def write_markdown(spark, d):
-    return sinks.as_markdown(_as_documents(spark, d)).select("doc_id", F.md5("content").alias("digest"))
+    items = _as_documents(spark, d)
+    return _digests(items, sinks.as_markdown(items))
+
+
+@query
+def write_html(spark, d):
+    items = _as_documents(spark, d)
+    return _digests(items, sinks.as_html(items))
 
 
 @query
 def write_jsonl(spark, d):
-    return sinks.as_json(_as_documents(spark, d), lines=True).select("doc_id", F.md5("content").alias("digest"))
+    items = _as_documents(spark, d)
+    return _digests(items, sinks.as_json(items, lines=True))
