@@ -7,7 +7,7 @@ chapter has packs and each is relational and written before the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions.cost import answer_tokens
@@ -21,6 +21,11 @@ from galley.session import checkpointed
 CARRY = 500
 
 
+def carried(texts: Column) -> Column:
+    """What the next pack is told of these texts: the last of their signs."""
+    return F.right(F.array_join(texts, "\n\n"), F.lit(CARRY))
+
+
 def passage_packs(segments: DataFrame, max_chars: int, order: list[str], group: str = "item_id", mode: str = "translate", num_ctx: int = 4096) -> DataFrame:
     """(group, pack_no, chunk_id, n_jobs, numbered, max_tokens, items) of whole segments under a budget of characters."""
     rows = pack_segments(segments, max_chars, order, group)
@@ -67,7 +72,7 @@ def rewrite_passages(packs: DataFrame, rewriter: Rewriter, mode: str = "translat
         for part in settled[1:]:
             this = this.unionByName(part)
         done.append(this)
-        carry = this.select(group, F.right(F.array_join("texts", "\n\n"), F.lit(CARRY)).alias("previous"))
+        carry = this.select(group, carried(F.col("texts")).alias("previous"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

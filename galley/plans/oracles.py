@@ -151,12 +151,13 @@ def _jobs_of(spans: str) -> str:
 
 
 # --- packs: a recursion down the ordered items ------------------------------------
-def _packs(items: str, budget: int, order: str) -> str:
-    """``items`` (item_id, order..., cost) with pack_no."""
+def _packs(items: str, budget: int, order: str, alone: str = "") -> str:
+    """``items`` (item_id, order..., cost) with pack_no; ``alone`` names a flag that decides instead of the cost."""
+    shut = (lambda t: f"{t}{alone}") if alone else (lambda t: f"{t}cost > {budget}")
     return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {order}) AS rn FROM ({items})),
-f AS (SELECT item_id, rn, cost, 0 AS pack_no, cost > {budget} AS shut, cost AS size FROM o WHERE rn = 1
-UNION ALL SELECT o.item_id, o.rn, o.cost, CASE WHEN o.cost > {budget} OR f.shut OR f.size + o.cost > {budget} THEN f.pack_no + 1 ELSE f.pack_no END, o.cost > {budget},
-CASE WHEN o.cost > {budget} OR f.shut OR f.size + o.cost > {budget} THEN o.cost ELSE f.size + o.cost END FROM f JOIN o ON o.item_id = f.item_id AND o.rn = f.rn + 1)
+f AS (SELECT item_id, rn, cost, 0 AS pack_no, {shut('')} AS shut, cost AS size FROM o WHERE rn = 1
+UNION ALL SELECT o.item_id, o.rn, o.cost, CASE WHEN {shut('o.')} OR f.shut OR f.size + o.cost > {budget} THEN f.pack_no + 1 ELSE f.pack_no END, {shut('o.')},
+CASE WHEN {shut('o.')} OR f.shut OR f.size + o.cost > {budget} THEN o.cost ELSE f.size + o.cost END FROM f JOIN o ON o.item_id = f.item_id AND o.rn = f.rn + 1)
 SELECT o.*, f.pack_no::BIGINT AS pack_no FROM o JOIN f USING (item_id, rn)"""
 
 
@@ -180,6 +181,48 @@ _PACK_ROWS = f"""SELECT item_id, pack_no, coalesce(item_id, '') || ':cd' || pack
 count(*) AS n_jobs, string_agg({_prompt('t', 'b', 'a', 'k')}, chr(10) || chr(10) ORDER BY rn) AS prompt FROM ({_LABELLED}) GROUP BY item_id, pack_no"""
 
 
+def _whole(limit: int) -> str:
+    """(segment's keys, parts): texts over the limit at the separators, each stage folded again up to the limit."""
+    parts = "[t]"
+    for sign in ("chr(10) || chr(10)", "chr(10)", "'。'", "'！'", "'？'", "'. '", "'! '", "'? '"):
+        glued = f"list_transform(string_split(p, {sign}), lambda x, i: [x || CASE WHEN i < len(string_split(p, {sign})) THEN {sign} ELSE '' END])"
+        fold = f"list_reduce({glued}, lambda a, x: CASE WHEN a[-1] <> '' AND length(a[-1]) + length(x[1]) > {limit} THEN list_concat(a, x) ELSE list_concat(a[:-2], [a[-1] || x[1]]) END)"
+        parts = f"flatten(list_transform({parts}, lambda p: CASE WHEN length(p) > {limit} THEN list_filter({fold}, lambda y: y <> '') ELSE [p] END))"
+    cut = f"flatten(list_transform({parts}, lambda p: CASE WHEN length(p) > {limit} THEN list_transform(range(0, (length(p) - 1) // {limit} + 1), lambda k: substring(p, k * {limit} + 1, {limit})) ELSE [p] END))"
+    return f"SELECT seg_id, item_id, chapter_ord, seg_index, CASE WHEN length(t) > {limit} THEN list_filter(list_transform({cut}, lambda p: {_strip('p')}), lambda p: p <> '') ELSE [t] END AS parts FROM (SELECT *, coalesce(text, '') AS t FROM segments)"
+
+
+def _segment_packs(limit: int, budget: int, cost: str) -> str:
+    items = f"SELECT seg_id, item_id, chapter_ord, seg_index, alone, piece_no, t, {cost} AS cost FROM (SELECT *, len(parts) > 1 AS alone, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS piece_no FROM ({_whole(limit)}))"
+    return _packs(items, budget, f"{_ORDER}, piece_no", "alone")
+
+
+_BY_CHARS = _segment_packs(MAX_CHARS, MAX_CHARS, "length(t) + 8")
+_BY_TOKENS = _segment_packs(6000, 400, f"{_tokens('(chr(91) || 1 || chr(93) || chr(10) || t)')} + 2")
+
+
+# --- what a rewriter answers --------------------------------------------------------
+def _clean(block: str) -> str:
+    head = rf"(?i)^(REPLACE|KEEP( before| after)?)[{WS}]*"
+    lines = rf"list_filter(list_transform(regexp_split_to_array({block}, '\r\n|[\n\r\x{{b}}\x{{c}}\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {_strip('x')}), lambda x: NOT regexp_matches(x, '{head}:?$'))"
+    text = _strip(f"array_to_string(list_transform({lines}, lambda x: regexp_replace(x, '{head}:[{WS}]*', '')), chr(10))")
+    text = _strip(rf"regexp_replace({text}, '(?is)(\ndo not (add|remove|change|repeat)|\(this is the correct format)([^\p{{L}}\p{{N}}_].*)?$', '')")
+    labels = _strip(rf"regexp_replace({text}, '[{WS}]*\[\p{{Nd}}+\][{WS}]*', ' ', 'g')")
+    return f"regexp_replace({labels}, ' +', ' ', 'g')"
+
+
+_RAW = f"CASE edit_id % 4 WHEN 0 THEN '**[2]** ' || a || chr(10) || '**[1]**' || chr(10) || b WHEN 1 THEN '<think>no</think>[1] REPLACE:' || chr(10) || b || chr(10) || chr(10) || '[2]' || chr(10) || a WHEN 2 THEN b || chr(10) || chr(10) || a ELSE '[1] ' || b || chr(10) || '[1] again' || chr(10) || '[7] ' || a END"
+_QUIET = _strip(rf"regexp_replace(regexp_replace({_RAW}, '(?is)<think(ing)?>.*?</think(ing)?>', '', 'g'), '(?m)^```[^\n]*$\n?', '', 'g')")
+_AFTER_LABEL = rf"regexp_replace(part, '(?s)^.*?\[\p{{Nd}}+\][{WS}]*', '')"
+# Every label begins a part; of a part counts what follows its first label.
+_PARSED = rf"""WITH q AS (SELECT edit_id, regexp_replace({_QUIET}, '\*+\[(\p{{Nd}}+)\]\*+', '[\1]', 'g') AS t FROM (SELECT edit_id, coalesce(before, '') AS b, coalesce(after, '') AS a FROM edits)),
+p AS (SELECT edit_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT edit_id, string_split(regexp_replace(t, '(\n[{WS}]*\[\p{{Nd}}+\])', chr(57344) || '\1', 'g'), chr(57344)) AS x FROM q)),
+n AS (SELECT edit_id, i, TRY_CAST(regexp_extract(part, '\[(\p{{Nd}}+)\]', 1) AS INT) AS n, {_clean(_AFTER_LABEL)} AS body FROM p WHERE regexp_matches(part, '\[\p{{Nd}}+\]')),
+f AS (SELECT edit_id, count(DISTINCT n) AS d, arg_min(body, i) FILTER (n = 1) AS one, arg_min(body, i) FILTER (n = 2) AS two FROM n WHERE body <> '' AND n BETWEEN 1 AND 2 GROUP BY edit_id),
+l AS (SELECT edit_id, list_filter(list_transform(regexp_split_to_array(t, '\n[{WS}]*\n'), lambda z: {_clean('z')}), lambda z: z <> '') AS parts FROM q)
+SELECT edit_id, md5(CASE WHEN coalesce(d, 0) = 2 THEN one || '|' || two WHEN coalesce(d, 0) = 0 AND len(parts) = 2 THEN parts[1] || '|' || parts[2] END) AS digest FROM l LEFT JOIN f USING (edit_id)"""
+
+
 # --- the gate ---------------------------------------------------------------------
 _S = "coalesce(before, '')"
 _O = _strip("coalesce(after, '')")
@@ -208,7 +251,9 @@ def _bare(t: str) -> str:
 
 
 _NAMES = rf"regexp_extract_all(b, '(?:^|[^\p{{L}}\p{{N}}_])([A-Z][a-z]+(?:[{WS}]+[A-Z][a-z]+)+)(?:[^\p{{L}}\p{{N}}_]|$)', 1)"
-_GATE = f"""SELECT edit_id, CASE
+def _gate(keys: str, pairs: str) -> str:
+    """(keys, reason) of ``pairs`` (keys, s, o): a source and a stripped rewrite."""
+    return f"""SELECT {keys}, CASE
 WHEN o = '' OR length(o) * 1.0 / greatest(length(s), 1) NOT BETWEEN 0.45 AND 2.2 THEN 'length'
 WHEN regexp_matches(o, {_q(_LEAK)}, 'i') THEN 'leak'
 WHEN {_squeeze('s')} <> '' AND contains({_squeeze('o')}, {_squeeze('s')}) AND length({_squeeze('o')}) >= length({_squeeze('s')}) + 24 THEN 'echo'
@@ -221,7 +266,10 @@ WHEN len(list_filter({_NAMES}, lambda n: NOT contains(lower(h), lower(n)))) > 0
  OR len(list_filter(regexp_extract_all(s, '[“”"''「」『』]([\\x{{3400}}-\\x{{9fff}}]+)[“”"''「」『』]', 1), lambda n: NOT contains(o, n))) > 0 THEN 'anchors'
 WHEN len(sw) >= 4 AND len(list_filter(sw, lambda a: len(list_filter(ow, lambda b: a = b OR (length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a))))) > 0)) * 1.0 / len(sw) < 0.35 THEN 'overlap'
 ELSE 'accepted' END AS reason
-FROM (SELECT *, {_bare('s')} AS b, {_bare('o')} AS h, {_words('s')} AS sw, {_words('o')} AS ow FROM (SELECT edit_id, {_S} AS s, {_O} AS o FROM edits))"""
+FROM (SELECT *, {_bare('s')} AS b, {_bare('o')} AS h, {_words('s')} AS sw, {_words('o')} AS ow FROM ({pairs}))"""
+
+
+_GATE = _gate("edit_id", f"SELECT edit_id, {_S} AS s, {_O} AS o FROM edits")
 
 
 def _paragraph(high: float) -> str:
@@ -234,6 +282,25 @@ def _plain(t: str) -> str:
     return t
 
 
+# --- rewriting by rule ----------------------------------------------------------------
+def _trimmed(o: str, t: str, b: str, a: str) -> str:
+    hd, tl = _strip(f"regexp_replace({_strip(b)}, '^…+', '')"), _strip(f"regexp_replace({_strip(a)}, '…+$', '')")
+    x = f"CASE WHEN {hd} <> '' AND starts_with({_strip(o)}, {hd}) THEN regexp_replace(substring({_strip(o)}, length({hd}) + 1), '^[{WS}]+', '') ELSE {_strip(o)} END"
+    y = f"CASE WHEN {tl} <> '' AND ends_with({x}, {tl}) THEN regexp_replace(left({x}, length({x}) - length({tl})), '[{WS}]+$', '') ELSE {x} END"
+    return f"CASE WHEN {_strip(t)} <> '' AND contains({y}, {_strip(t)}) AND length({y}) > length({t}) * 2.4 THEN {t} WHEN {y} <> '' THEN {y} ELSE {_strip(o)} END"
+
+
+def _finals(jobs: str, keys: str) -> str:
+    """(keys, s, o, reason) of ``jobs`` (keys, t, b, a): every job by itself."""
+    said = f"SELECT {keys}, t, b, a, {_clean(_plain('t'))} AS x FROM ({jobs})"
+    return _gate(f"{keys}, s, o", f"SELECT {keys}, t AS s, {_trimmed('x', 't', 'b', 'a')} AS o FROM ({said})")
+
+
+# A job that fails where another of its pack passes keeps the gate's reason; elsewhere it is halved down and exhausted.
+_RETRIED = f"SELECT seg_id, span_index, CASE WHEN reason = 'accepted' THEN o ELSE s END AS final, reason = 'accepted' AS accepted, CASE WHEN reason = 'accepted' THEN NULL WHEN any_ THEN reason ELSE 'exhausted' END AS reason FROM (SELECT *, bool_or(reason = 'accepted') OVER (PARTITION BY item_id, pack_no) AS any_ FROM ({_finals(f'SELECT item_id, pack_no, seg_id, span_index, t, b, a FROM ({_SPAN_PACKS})', 'item_id, pack_no, seg_id, span_index')}))"
+_POLISHED = f"""WITH e AS MATERIALIZED ({_EDIT}), r AS ({_finals(f'SELECT seg_id, span_index, text AS t, before AS b, after AS a FROM ({_jobs_of("SELECT * FROM e")})', 'seg_id, span_index')})
+SELECT seg_id, string_agg(CASE WHEN reason = 'accepted' THEN o ELSE text END, '' ORDER BY span_index) AS new_text FROM e LEFT JOIN r USING (seg_id, span_index) GROUP BY seg_id"""
+
 # --- glossary -----------------------------------------------------------------------
 _OVERLAY = ", ".join(f"({1000 + i}, {_q(a)}, {_q(b)})" for i, (a, b) in enumerate(OVERLAY))
 _TERMS = f"(SELECT book_id, ord::BIGINT AS ord, source, target, kind, notes FROM glossary UNION ALL SELECT book_id, v.ord, v.source, v.target, 'overlay', NULL FROM books, (VALUES {_OVERLAY}) v(ord, source, target))"
@@ -309,6 +376,13 @@ def _digest_of(content: str) -> str:
 
 _FENCE = "repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(concat_ws(chr(10) || chr(10), before, after), '`+'), lambda x: length(x))), 0) + 1)::INT)"
 
+# A line begins a paragraph where the line before ends in a final mark.
+_UNBROKEN = _strip(r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g')")
+_PAGES = rf"""WITH c AS (SELECT doc_id, unnest(x) AS chunk, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_split_to_array({_UNBROKEN}, '\n[{WS}]*\n') AS x FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT doc_id, k, unnest(y) AS line, generate_subscripts(y, 1) AS i FROM (SELECT doc_id, k, list_filter(list_transform(string_split(chunk, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS y FROM c)),
+g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, k ORDER BY i) AS g FROM (SELECT *, coalesce(regexp_matches(lag(line) OVER (PARTITION BY doc_id, k ORDER BY i), '[.!?。！？:;"”’]$'), FALSE)::INT AS s FROM l))
+SELECT doc_id, 'page1' AS item_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, g) - 1 AS seg_index, text FROM (SELECT doc_id, k, g, string_agg(line, ' ' ORDER BY i) AS text FROM g GROUP BY doc_id, k, g)"""
+
 _SPANS_BUDGET = lambda est: f"greatest(k * 48, least({est}, {min(max(128, NUM_CTX // 2), 2048)}))::BIGINT"
 _PASSAGE_BUDGET = lambda est: f"greatest(96, least({est}, {min(max(128, NUM_CTX // 2), 3072)}))::BIGINT"
 
@@ -374,6 +448,14 @@ SELECT item_id, grouping(item_id)::INT AS is_total, sum(paragraphs)::BIGINT AS p
     "txt_paragraphs": f"SELECT doc_id, 'p' || k AS item_id, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) - 1 AS seg_index, p AS text FROM (SELECT doc_id, k, i, array_to_string(list_filter(list_transform(string_split(c, chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), ' ') AS p FROM (SELECT doc_id, k, unnest(regexp_split_to_array({_strip('sec')}, '\\n[{WS}]*\\n')) AS c, generate_subscripts(regexp_split_to_array({_strip('sec')}, '\\n[{WS}]*\\n'), 1) AS i FROM (SELECT doc_id, unnest(string_split(x, chr(12))) AS sec, generate_subscripts(string_split(x, chr(12)), 1) - 1 AS k FROM (SELECT doc_id, {_TXT} AS x FROM documents WHERE text IS NOT NULL)))) WHERE p <> ''",
     "json_chapters": f"SELECT replace(substring(book_id, 4), '-', '')::BIGINT AS doc_id, dense_rank() OVER (PARTITION BY book_id ORDER BY f) - 1 AS chapter_ord, item_id AS title, row_number() OVER (PARTITION BY book_id, item_id ORDER BY o) - 1 AS seg_index, tag, text FROM (SELECT *, min(o) OVER (PARTITION BY book_id, item_id) AS f FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY loaded_at, seg_id) AS o FROM segments) WHERE text IS NOT NULL AND {_strip('text')} <> '')",
     "write_txt": _digest_of(f"regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY chapter_ord, o), '[{WS}]+$', '') || chr(10)"),
+    "pack_segments": f"SELECT seg_id, item_id, piece_no, md5(t) AS digest, pack_no FROM ({_BY_CHARS})",
+    "pack_segments_tokens": f"SELECT seg_id, item_id, piece_no, md5(t) AS digest, pack_no FROM ({_BY_TOKENS})",
+    "carry_context": f"SELECT item_id, pack_no, md5(coalesce(lag(right(x, 500)) OVER (PARTITION BY item_id ORDER BY pack_no), '')) AS previous FROM (SELECT item_id, pack_no, string_agg(t, chr(10) || chr(10) ORDER BY {_ORDER}, piece_no) AS x FROM ({_BY_CHARS}) GROUP BY item_id, pack_no)",
+    "parse_numbered": _PARSED,
+    "retry_rounds": _RETRIED,
+    "polished_segments": _POLISHED,
+    "page_paragraphs": _PAGES,
+    "html_blocks": f"SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY chapter_ord, o) - 1 AS seg_index, tag, x AS text FROM (SELECT item_id, chapter_ord, o, {_HTML_TAG} AS tag, {_squeeze('text')} AS x FROM ({_WRITTEN})) WHERE tag <> 'pre' AND length(x) >= 2",
     "write_markdown": _digest_of(f"regexp_replace(string_agg({_MD_BLOCK} || {_GAP}, '' ORDER BY chapter_ord, o), '[{WS}]+$', '') || chr(10)"),
     "write_html": _digest_of(f"'<!DOCTYPE html>' || chr(10) || '<html><body>' || chr(10) || string_agg({_HTML_LINE}, chr(10) ORDER BY chapter_ord, o) || chr(10) || '</body></html>' || chr(10)"),
     "write_jsonl": _digest_of(f"string_agg({_RECORD}, chr(10) ORDER BY chapter_ord, o) || chr(10)"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galley.functions import rules, scripts
 from galley.functions.cost import answer_tokens, answer_tokens_for_spans, estimated_tokens
 from galley.functions.text import let, strip
-from galley.operators import answers, changes, checkpoints, gate, glossary, lookup, packs, programs, prompts, rounds, samples, units
+from galley.operators import answers, changes, checkpoints, gate, glossary, lookup, packs, passages, programs, prompts, rounds, samples, units
 from galley.plans import report
 from galley.session import checkpointed, spread, table
 from galley.sources import formats, markup, sinks, texts
@@ -171,14 +171,14 @@ def pack_tokens(spark, d):
 
 @query
 def pack_segments(spark, d):
-    s = _segments(spark, d).filter("text IS NOT NULL")
-    return packs.pack_segments(s, MAX_CHARS, ORDER).select("seg_id", "item_id", "piece_no", F.md5("text").alias("digest"), "pack_no")
+    s = _segments(spark, d)
+    return packs.pack_segments(s, MAX_CHARS, ORDER).select("seg_id", "item_id", F.col("piece_no").cast("bigint").alias("piece_no"), F.md5("text").alias("digest"), "pack_no")
 
 
 @query
 def pack_segments_tokens(spark, d):
-    s = _segments(spark, d).filter("text IS NOT NULL")
-    return packs.pack_segments(s, 6000, ORDER, max_prompt=400).select("seg_id", "item_id", "piece_no", F.md5("text").alias("digest"), "pack_no")
+    s = _segments(spark, d)
+    return packs.pack_segments(s, 6000, ORDER, max_prompt=400).select("seg_id", "item_id", F.col("piece_no").cast("bigint").alias("piece_no"), F.md5("text").alias("digest"), "pack_no")
 
 
 @query
@@ -218,11 +218,9 @@ def full_prompts(spark, d):
 @query
 def carry_context(spark, d):
     """What each pack of passages is told of the one before: its last 500 characters."""
-    s = _segments(spark, d).filter("text IS NOT NULL")
-    p = packs.pack_segments(s, MAX_CHARS, ORDER)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "piece_no", "text"))), lambda x: x["text"]), "\n")
-    joined = p.groupBy("item_id", "pack_no").agg(text.alias("text"))
-    return joined.select("item_id", "pack_no", F.coalesce(F.lag(F.right("text", F.lit(500))).over(Window.partitionBy("item_id").orderBy("pack_no")), F.lit("")).alias("previous"))
+    p = passages.passage_packs(_segments(spark, d), MAX_CHARS, ORDER)
+    told = F.lag(passages.carried(F.transform("items", lambda x: x["text"]))).over(Window.partitionBy("item_id").orderBy("pack_no"))
+    return p.select("item_id", "pack_no", F.md5(F.coalesce(told, F.lit(""))).alias("previous"))
 
 
 # --- answers and the gate -------------------------------------------------------
@@ -233,7 +231,8 @@ def parse_numbered(spark, d):
     b, a = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
     kind = F.pmod("edit_id", F.lit(4))
     raw = F.when(kind == 0, F.concat(F.lit("**[2]** "), a, F.lit("\n**[1]**\n"), b)).when(kind == 1, F.concat(F.lit("<think>no</think>[1] REPLACE:\n"), b, F.lit("\n\n[2]\n"), a)).when(kind == 2, F.concat(b, F.lit("\n\n"), a)).otherwise(F.concat(F.lit("[1] "), b, F.lit("\n[1] again\n[7] "), a))
-    return e.select("edit_id", answers.numbered_blocks(answers.without_noise(raw), F.lit(2)).alias("blocks"))
+    blocks = answers.numbered_blocks(answers.without_noise(raw), F.lit(2))
+    return e.select("edit_id", F.md5(F.array_join(blocks, "|")).alias("digest"))
 
 
 @query
@@ -452,13 +451,13 @@ def _documents(spark, d) -> DataFrame:
 
 @query
 def txt_paragraphs(spark, d):
-    return texts.read_txt(_documents(spark, d).filter("text IS NOT NULL")).select("doc_id", "item_id", F.col("seg_index").cast("bigint").alias("seg_index"), "text")
+    return texts.read_txt(_documents(spark, d)).select("doc_id", "item_id", F.col("seg_index").cast("bigint").alias("seg_index"), "text")
 
 
 @query
 def page_paragraphs(spark, d):
-    pages = _documents(spark, d).filter("text IS NOT NULL").select("doc_id", F.lit(0).alias("page"), "text")
-    return texts.read_pages(pages).select("doc_id", "item_id", "seg_index", "text")
+    pages = _documents(spark, d).select("doc_id", F.lit(0).alias("page"), "text")
+    return texts.read_pages(pages).select("doc_id", "item_id", F.col("seg_index").cast("bigint").alias("seg_index"), "text")
 
 
 @query
@@ -468,7 +467,10 @@ def md_blocks(spark, d):
 
 @query
 def html_blocks(spark, d):
-    return markup.read_markup(sinks.as_html(_as_documents(spark, d)).select(F.col("doc_id"), F.lit("s").alias("stem"), F.col("content").alias("text")), "html").select("doc_id", "seg_index", "tag", "text")
+    items = _as_documents(spark, d)
+    pages = sinks.as_html(items).select("doc_id", F.lit("s").alias("stem"), F.col("content").alias("text"))
+    back = markup.read_markup(pages, "html").join(items.select("doc_id", "item_id").distinct().withColumnRenamed("item_id", "item"), "doc_id")
+    return back.select(F.col("item").alias("item_id"), F.col("seg_index").cast("bigint").alias("seg_index"), "tag", "text")
 
 
 def _as_documents(spark, d) -> DataFrame:
