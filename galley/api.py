@@ -12,7 +12,7 @@ from galley.operators.rounds import Rewriter, rewrite, rule_based, stitch
 from galley.plans.report import plan
 from galley.plans.run import Options, run
 from galley.session import checkpointed
-from galley.sources.reader import read_files, read_segments, selectable
+from galley.sources.reader import read_files, read_folder, selectable
 from galley.sources.sinks import write_document, write_files
 
 
@@ -33,12 +33,12 @@ def polish(df: DataFrame, key: str, text: str, rewriter: Rewriter = rule_based,
 
 def plan_folder(spark: SparkSession, path: str, max_chars: int = 1800, skip_mode: str = "auto") -> DataFrame:
     """What a run over the documents below ``path`` would send, by chapter and in all."""
-    return plan(_keyed(selectable(read_segments(read_files(spark, path)))), max_chars, skip_mode=skip_mode)
+    return plan(_keyed(selectable(read_folder(spark, path))), max_chars, skip_mode=skip_mode)
 
 
 def rewrite_folder(spark: SparkSession, path: str, rewriter: Rewriter = rule_based, max_chars: int = 1800, retries: int = 2, skip_mode: str = "auto", mode: str = "polish", terms: DataFrame | None = None) -> DataFrame:
     """Segments of the documents below ``path``, with ``new_text``; ``terms`` (ord, source, target, kind, notes) hold for all."""
-    return rewrite_segments(read_segments(read_files(spark, path)), rewriter, max_chars, retries, skip_mode, mode, terms)
+    return rewrite_segments(read_folder(spark, path), rewriter, max_chars, retries, skip_mode, mode, terms)
 
 
 def rewrite_segments(segments: DataFrame, rewriter: Rewriter = rule_based, max_chars: int = 1800, retries: int = 2, skip_mode: str = "auto", mode: str = "polish", terms: DataFrame | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def rewrite_segments(segments: DataFrame, rewriter: Rewriter = rule_based, max_c
 def rewrite_documents(spark: SparkSession, path: str, out: str, fmt: str | None = None, **how) -> DataFrame:
     """The documents below ``path`` rewritten and written to the folder ``out``, each in its own format or in ``fmt``: (name, n_bytes)."""
     files = read_files(spark, path)
-    done = rewrite_segments(read_segments(files), **how)
+    done = rewrite_segments(read_folder(spark, path), **how)
     texts = done.withColumn("item_id", F.col("own_item")).withColumn("text", F.col("new_text"))
     return write_files(write_document(files, texts, fmt, how.get("mode", "polish")), out)
 

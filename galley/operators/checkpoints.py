@@ -32,8 +32,10 @@ def read_journal(spark: SparkSession, path: str, run: str) -> DataFrame:
     Another run's journal counts as empty; lines that cannot be read (a torn tail) are skipped.
     """
     schema = "struct<fingerprint:string,id:string,texts:array<string>>"
-    lines = spark.read.text(path).select(F.from_json("value", schema).alias("x"), F.monotonically_increasing_id().alias("line_no"))
-    head = lines.filter("x.fingerprint IS NOT NULL").agg(F.first("x.fingerprint").alias("fingerprint"))
+    # file by file, split by split, and within a split as they are read
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.from_json("value", schema).alias("x"), place.alias("line_no"))
+    head = lines.filter("x.fingerprint IS NOT NULL").agg(F.min_by("x.fingerprint", "line_no").alias("fingerprint"))
     body = lines.filter("x.id IS NOT NULL AND x.texts IS NOT NULL").select(F.lit(run).alias("fingerprint"), F.col("x.id").alias("chunk_id"), "x.texts", "line_no")
     return body.join(head.filter(F.col("fingerprint") == run), "fingerprint", "left_semi")
 

@@ -72,3 +72,8 @@ def clamped(tier: Column, model: Column, backend: Column, vram_mb: Column) -> Co
     chars = F.when(big, F.least(tier["max_chars"], F.lit(900))).when(snug, F.least(tier["max_chars"], F.lit(1800))).otherwise(tier["max_chars"])
     skip = F.when(big | is_reasoning(model), "aggressive").otherwise(tier["skip_mode"])
     return F.struct(tier["max_params_b"].alias("max_params_b"), ctx.alias("num_ctx"), chars.alias("max_chars"), F.when(is_reasoning(model), 1).otherwise(workers).alias("workers"), skip.alias("skip_mode"))
+
+
+def weights_billions(max_params_b: Column) -> Column:
+    """Size of the largest weights, of 14, 7 and 3 billion parameters, that a tier carries."""
+    return F.when(max_params_b >= 12, 14).when(max_params_b >= 7, 7).otherwise(3)

@@ -437,7 +437,7 @@ CASE job_id % 3 WHEN 0 THEN {_B} || ' ' || {_T} || ' ' || {_A} WHEN 1 THEN {_B}
     "zip_member_match": f"""WITH w AS (SELECT DISTINCT * FROM {_CHAPTERS}), m AS (SELECT DISTINCT doc_id, unnest(['OEBPS/' || file_name, regexp_replace('OEBPS/' || file_name, '^OEBPS/text/', 'OEBPS/old/')]) AS member FROM {_CHAPTERS})
 SELECT doc_id, file_name, CASE WHEN e > 0 THEN file_name WHEN n2 = 1 THEN s WHEN n3 = 1 THEN b END AS member FROM (SELECT w.doc_id, w.file_name, count(*) FILTER (member = file_name) AS e, count(*) FILTER (ends_with(member, '/' || file_name)) AS n2, min(member) FILTER (ends_with(member, '/' || file_name)) AS s, count(member) FILTER (list_last(string_split(member, '/')) = list_last(string_split(file_name, '/'))) AS n3, min(member) FILTER (list_last(string_split(member, '/')) = list_last(string_split(file_name, '/'))) AS b FROM w LEFT JOIN m ON w.doc_id = m.doc_id GROUP BY w.doc_id, w.file_name)""",
     "model_pick": f"SELECT k, model FROM (SELECT k, model, row_number() OVER (PARTITION BY k ORDER BY c, CASE WHEN c = 0 THEN -s END, CASE WHEN c = 0 THEN model END DESC, ord) AS r FROM (SELECT *, CASE WHEN {_REASONS} THEN 2 WHEN s <= 14.2 THEN 0 ELSE 1 END AS c FROM (SELECT *, {_MODEL_SIZE} AS s FROM (VALUES {', '.join(f'({_q(k)}, {i}, {_q(m)})' for i, (k, m) in enumerate(MODELS))}) v(k, ord, model)))) WHERE r = 1",
-    "device_tier": f"""SELECT vram_mb, backend, model, cap, CASE WHEN big THEN least(ctx, 2048) WHEN snug THEN least(ctx, 4096) ELSE ctx END AS num_ctx, CASE WHEN big THEN least(chars, 900) WHEN snug THEN least(chars, 1800) ELSE chars END AS max_chars,
+    "device_tier": f"""SELECT vram_mb, backend, model, cap, CASE WHEN cap >= 12 THEN 14 WHEN cap >= 7 THEN 7 ELSE 3 END AS weights_b, CASE WHEN big THEN least(ctx, 2048) WHEN snug THEN least(ctx, 4096) ELSE ctx END AS num_ctx, CASE WHEN big THEN least(chars, 900) WHEN snug THEN least(chars, 1800) ELSE chars END AS max_chars,
 CASE WHEN {_REASONS} OR s IS NULL OR big OR snug THEN 1 WHEN s <= 8 AND gpu AND vram_mb >= 10500 THEN greatest(w, 2) ELSE w END AS workers, CASE WHEN coalesce(big, FALSE) OR {_REASONS} THEN 'aggressive' ELSE sk END AS skip_mode
 FROM (SELECT *, s > cap + 0.1 AS big, s >= 12 AND gpu AND vram_mb < 16000 AS snug FROM (SELECT *, ({_tier(1)})::DOUBLE AS cap, {_tier(2)} AS ctx, {_tier(3)} AS chars, {_tier(4)} AS w, {_tier(5)} AS sk, backend IN ('cuda', 'vulkan') AS gpu, {_MODEL_SIZE} AS s FROM (SELECT *, greatest(vram_mb - 900, 2048) AS u FROM (VALUES {', '.join(f'({v}, {_q(b)}, {_q(m)})' for v, b, m in VRAM)}) v(vram_mb, backend, model))))""",
     "plan_report": f"""WITH r AS (SELECT item_id, count(*) AS paragraphs, count(*) FILTER (text IS NOT NULL AND {_ROUTED}) AS dirty FROM segments GROUP BY item_id),
@@ -461,6 +461,14 @@ SELECT item_id, grouping(item_id)::INT AS is_total, sum(paragraphs)::BIGINT AS p
     "write_jsonl": _digest_of(f"string_agg({_RECORD}, chr(10) ORDER BY chapter_ord, o) || chr(10)"),
     "md_blocks": _MD,
     "change_report": f"SELECT edit_id, md5('### Paragraph ' || para || chr(10) || chr(10) || 'Before:' || chr(10) || chr(10) || f || chr(10) || {_S} || chr(10) || f || chr(10) || chr(10) || 'After:' || chr(10) || chr(10) || f || chr(10) || coalesce(after, '') || chr(10) || f) AS digest FROM (SELECT *, {_FENCE} AS f FROM edits) WHERE {_squeeze(_S)} <> {_squeeze(_A)}",
+    "change_log": f"""{_PUT}, n AS (SELECT book_id, source || ' → ' || target AS term, count(*) AS n FROM done JOIN (SELECT seg_id, book_id FROM segments) USING (seg_id) GROUP BY 1, 2),
+tl AS (SELECT book_id, '- Terms put in:' || chr(10) || string_agg('  - ' || term || ': ' || n, chr(10) ORDER BY r) FILTER (r <= 3) || CASE WHEN max(r) > 3 THEN chr(10) || '  - … ' || (max(r) - 3) || ' more' ELSE '' END || chr(10) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, term) AS r FROM n) GROUP BY book_id),
+e AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY coalesce(list_last(regexp_extract_all(href, '\\d+'))::BIGINT, 0), href, para, kind, edit_id) AS pl, {_FENCE} AS f FROM edits WHERE {_squeeze(_S)} <> {_squeeze(_A)}),
+h AS (SELECT *, min(pl) OVER w AS fst, count(*) OVER w AS many FROM e WINDOW w AS (PARTITION BY book_id, href, chapter_title, chapter_id)),
+bd AS (SELECT book_id, string_agg(CASE WHEN pl = fst THEN '## ' || coalesce(chapter_title, '') || chr(10) || '*' || coalesce(href, '') || ' · ' || many || '*' || chr(10) || chr(10) ELSE '' END || '### Paragraph ' || para || ' (' || kind || ')' || chr(10) || chr(10)
+ || 'Before:' || chr(10) || chr(10) || f || chr(10) || {_S} || chr(10) || f || chr(10) || chr(10) || 'After:' || chr(10) || chr(10) || f || chr(10) || coalesce(after, '') || chr(10) || f, chr(10) || chr(10) ORDER BY fst, pl) AS body FROM h GROUP BY book_id)
+SELECT s.book_id, md5('# Change log' || chr(10) || chr(10) || '- Sent: ' || sent || chr(10) || '- Rewritten: ' || edits || ' (left as they were: ' || unchanged || ')' || chr(10) || '- Chapters with edits: ' || chapters_edited || chr(10) || coalesce(terms, '') || chr(10) || coalesce(body, 'Nothing was rewritten.') || chr(10)) AS digest
+FROM (SELECT book_id, count(*) AS sent, count(*) FILTER ({_squeeze(_S)} = {_squeeze(_A)}) AS unchanged, count(*) FILTER ({_squeeze(_S)} <> {_squeeze(_A)}) AS edits, count(DISTINCT chapter_id) FILTER ({_squeeze(_S)} <> {_squeeze(_A)}) AS chapters_edited FROM edits GROUP BY book_id) s LEFT JOIN bd USING (book_id) LEFT JOIN tl USING (book_id)""",
     "full_prompts": f"""SELECT chunk_id, md5('You correct English that a machine translated. Rewrite the REPLACE parts only; names, meaning and tone stay. Answer with the numbered blocks and no other words.' || chr(10) || chr(10) || 'Style notes:' || chr(10) || 'Stay within the vocabulary and register of the text.'
 || 'Rewrite each REPLACE part. Give only its new wording, under its number. Leave out the KEEP parts.' || chr(10) || chr(10) || 'Spans:' || chr(10) || chr(10) || prompt) AS digest FROM ({_PACK_ROWS})""",
 }

@@ -299,6 +299,14 @@ def change_report(spark, d):
     return changes.markdown_entries(table(spark, d, "edits")).select("edit_id", F.md5("entry").alias("digest"))
 
 
+@query
+def change_log(spark, d):
+    """A report a book, with the terms its glossary put into the present texts."""
+    put = glossary.substitute(_segments(spark, d), _terms(spark, d), "seg_id").select("seg_id", F.explode("hits").alias("term", "n"))
+    totals = put.join(_segments(spark, d).select("seg_id", "book_id"), "seg_id").groupBy("book_id", "term").agg(F.sum("n").alias("n"))
+    return changes.report_markdown(table(spark, d, "edits"), "book_id", totals, k=3).select("book_id", F.md5("content").alias("digest"))
+
+
 # --- glossary -----------------------------------------------------------------------
 #: Terms that the texts of the tables do hold, added to every book's glossary.
 OVERLAY = [("ink bottle", "inkwell"), ("the ink", "THE INK"), ("salt jar", "salt jar"), ("bell", "chime"), ("Brunnen", "Quelle"), ("银梳", "silver comb"), ("ключ", "key")]
@@ -435,7 +443,7 @@ def device_tier(spark, d):
     v = spark.createDataFrame(VRAM, "vram_mb int, backend string, model string")
     t = v.withColumn("t", lookup.device_tier(F.col("vram_mb")))
     c = t.withColumn("c", lookup.clamped(F.col("t"), F.col("model"), F.col("backend"), F.col("vram_mb")))
-    return c.select("vram_mb", "backend", "model", F.col("t.max_params_b").alias("cap"), F.col("c.num_ctx").alias("num_ctx"), F.col("c.max_chars").alias("max_chars"), F.col("c.workers").alias("workers"), F.col("c.skip_mode").alias("skip_mode"))
+    return c.select("vram_mb", "backend", "model", F.col("t.max_params_b").alias("cap"), lookup.weights_billions(F.col("t.max_params_b")).alias("weights_b"), F.col("c.num_ctx").alias("num_ctx"), F.col("c.max_chars").alias("max_chars"), F.col("c.workers").alias("workers"), F.col("c.skip_mode").alias("skip_mode"))
 
 
 @query

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galley.functions.text import WS, blank, let, strip
+from galley.functions.text import WS, blank, strip
 
 COLUMNS = ["doc_id", "chapter_ord", "item_id", "title", "seg_index", "tag", "text"]
 
@@ -87,7 +87,7 @@ def json_records(docs: DataFrame, lines: bool) -> DataFrame:
         items = F.filter(F.split(text, r"\r\n|\n|\r", -1), lambda x: ~blank(x))
     else:
         inner = lambda t: F.when(F.startswith(t, F.lit("{")), F.get_json_object(t, "$.paragraphs")).otherwise(t)
-        items = let(inner(text), lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.json_array_length(t), F.lit(1)) - 1), lambda i: F.get(F.from_json(t, "array<string>"), i)))
+        items = F.from_json(inner(text), "array<string>")  # read once; an element that is an object stays its text
         items = F.filter(items, lambda x: x.isNotNull())
     rows = docs.select("doc_id", "stem", F.posexplode(items).alias("ord", "raw"))
     # a bare string of a list comes without its quotes; what looks like an object stays one

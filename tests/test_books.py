@@ -264,3 +264,39 @@ def test_documents_keep_their_format(spark, tmp_path):
 
     texts = {r.text for r in read_segments(read_files(spark, str(out))).collect()}
     assert {"He smiled at the old red lamp.", "She found that the key was gone again.", "Nothing to do.", "one"} <= texts and not any("could not help" in t for t in texts)
+
+
+def test_a_folder_is_read_by_names(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, data in {"a.MD": b"# T\ntext", "sub/b.htm": b"<p>hello</p>", "c.txt": b"one", "d": b"PK", "e.json": b'[{"text": "x"}, "y z", {"text": " "}]', "f.bin": b"??", "g.JsonL": b'"q r"'}.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "d").unlink()
+    docx = make_docx()
+    (tmp_path / "noname-docx").write_bytes(docx)
+    got = sorted((r.tag, r.text) for r in reader.read_folder(spark, str(tmp_path)).collect())
+    want = sorted((r.tag, r.text) for r in reader.read_segments(reader.read_files(spark, str(tmp_path))).collect())
+    assert got == want and {t for _, t in got} >= {"T", "text", "hello", "one", "x", "y z", "q r", "Intro text"}
+
+
+LOG = "edit_id bigint, book_id string, chapter_id string, chapter_title string, href string, para int, kind string, before string, after string"
+
+
+def test_change_reports(spark):
+    rows = [(1, "b", "c10", "Ten", "x10.html", 0, "span", "a", "b"), (2, "b", "c2", "Two", "x2.html", 1, "span", "same  text", "same text"), (3, "b", "c2", "Two", "x2.html", 0, "span", "one ``` two", None), (4, "e", None, None, None, 0, "span", None, "")]
+    log = spark.createDataFrame(rows, LOG)
+    terms = spark.createDataFrame([("b", "x → y", 5), ("b", "p → q", 5), ("b", "z → z2", 1)], "book_id string, term string, n bigint")
+    got = {r.book_id: r.content for r in changes.report_markdown(log, "book_id", terms, k=2).collect()}
+    text = got["b"]
+    assert text.index("## Two") < text.index("````\none ``` two\n````") < text.index("## Ten") and "- Rewritten: 2 (left as they were: 1)" in text
+    assert "- Terms put in:\n  - p → q: 5\n  - x → y: 5\n  - … 1 more\n" in text and got["e"].endswith("Nothing was rewritten.\n")
+    data = json.loads(changes.report_json(log, "book_id", terms).filter("book_id = 'b'").first().content)
+    assert [e["before"] for e in data["edits"]] == ["one ``` two", "a"] and [e["before"] for e in data["unchanged"]] == ["same  text"] and data["terms"]["x → y"] == 5 and data["rewritten"] == 2
+    assert changes.report_markdown(log.limit(0), "book_id").count() == 0
+
+
+def test_journal_of_several_files(spark, tmp_path):
+    (tmp_path / "a").write_text('{"fingerprint": "f"}\n' + "".join(json.dumps({"id": "c", "texts": [f"a{i}"]}) + "\n" for i in range(50)))
+    (tmp_path / "b").write_text(json.dumps({"id": "c", "texts": ["last"]}) + '\n{"id": "torn')
+    done = checkpoints.read_journal(spark, str(tmp_path), "f")
+    packs = spark.createDataFrame([("c",)], "chunk_id string")
+    assert checkpoints.finished(packs, done, "f").first().texts == ["last"] and checkpoints.read_journal(spark, str(tmp_path), "g").count() == 0
