@@ -18,6 +18,7 @@ out said she so than that the their them then there these they this those to up
 # Contractions that end no sentence.
 DANGLING = ["i'll", "we'll", "he'd", "she'd", "it's"]
 
+# What an answer lets slip of its instructions, names of several words, quoted Han, words.
 _LEAK = (
     r"(?i)\[(?:\p{Nd}+|n)\]|KEEP (?:before|after)|(?:\A|\n)[" + WS + r"]*REPLACE[" + WS + r"]*:"
     rf"|{EDGE_L}do not (?:add|remove|change|repeat|invent){EDGE_R}|{EDGE_L}this is the correct format{EDGE_R}|{EDGE_L}only the replace text{EDGE_R}|{EDGE_L}keep the same \[n\]"

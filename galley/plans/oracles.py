@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from galley.functions.rules import RULES, TRADE_NAMES
-from galley.functions.scripts import FOREIGN, RANGES, SOURCE_LANGUAGE
-from galley.functions.text import WS
-from galley.operators.gate import DANGLING, STOPWORDS
-from galley.operators.lookup import TIERS
-from galley.operators.rounds import PLAIN
 from galley.plans.queries import MAX_CHARS, MODELS, NUM_CTX, OVERLAY, VRAM
-from galley.sources.formats import ALIASES, FORMATS, SUFFIX
+from galley.plans.values import ALIASES, ARTEFACTS, DANGLING, FOREIGN, FORMATS, PLAIN, RANGES, SOURCE_LANGUAGE, STOPWORDS, SUFFIX, TIERS, WS
 
 
 def _q(s: str) -> str:
@@ -51,8 +45,7 @@ def _edge(p: str) -> str:
 
 def _artefacts(t: str) -> str:
     cases = []
-    for phrase, pattern, weight, whole in RULES:
-        p = "|".join(TRADE_NAMES) if phrase == "jindan" else pattern
+    for p, weight, whole in ARTEFACTS:
         cases.append(f"CASE WHEN regexp_matches({t}, {_q(_edge(p) if whole else p)}, 'i') THEN {weight} ELSE 0 END")
     return " + ".join(cases)
 
