@@ -151,5 +151,14 @@ def p5_packs(spark, sf_dir: str) -> DataFrame:
     return job_packs(table(spark, sf_dir, "span_jobs"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs}
-SQL = {"p5_found": "SELECT job_id FROM span_jobs WHERE coalesce(length(text), 0) + coalesce(length(before), 0) + coalesce(length(after), 0) + 32 > 1200"}
+def p5_totals(spark, sf_dir: str) -> DataFrame:
+    """What the packs of each chapter hold: every job once, all of its size, no pack too full."""
+    packs = job_packs(table(spark, sf_dir, "span_jobs")).groupBy("item_id", "pack_no").agg(F.count("*").alias("pieces"), F.sum(F.when(F.col("piece_no") == 0, 1).otherwise(0)).alias("jobs"), F.sum("piece_size").alias("size"))
+    return packs.groupBy("item_id").agg(F.sum("jobs").alias("n_jobs"), F.sum("pieces").alias("n_pieces"), F.sum("size").alias("size"), (F.max("size") <= CAPACITY).alias("fits"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs, "p5_totals": p5_totals}
+SQL = {
+    "p5_totals": """SELECT item_id, count(*) AS n_jobs, sum(k)::BIGINT AS n_pieces, sum(s + 32 * (k - 1))::BIGINT AS size, TRUE AS fits FROM (SELECT *, CASE WHEN s > 1200 THEN ceil((s - 32) / 1168.0)::BIGINT ELSE 1 END AS k
+FROM (SELECT item_id, coalesce(length(text), 0) + coalesce(length(before), 0) + coalesce(length(after), 0) + 32 AS s FROM span_jobs)) GROUP BY item_id""",
+    "p5_found": "SELECT job_id FROM span_jobs WHERE coalesce(length(text), 0) + coalesce(length(before), 0) + coalesce(length(after), 0) + 32 > 1200"}

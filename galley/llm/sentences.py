@@ -485,5 +485,18 @@ def p3_sentences(spark, sf_dir: str) -> DataFrame:
     return sentence_spans(_texts(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_sentences": p3_sentences}
-SQL: dict[str, str] = {}
+def p3_whole(spark, sf_dir: str) -> DataFrame:
+    """Every text put together again from its sentences."""
+    texts = _texts(spark, sf_dir)
+    met = sentence_spans(texts).join(texts.select("src", "row_id", "text"), ["src", "row_id"])
+    piece = F.struct("sent_no", F.expr("substring(text, sent_start + 1, sent_end - sent_start)").alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), "")
+    return met.groupBy("src", "row_id").agg(F.md5(whole).alias("digest"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_sentences": p3_sentences, "p3_whole": p3_whole}
+_BLANK = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_UNSEEN = r"\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}"
+SQL: dict[str, str] = {
+    "p3_whole": f"""SELECT src, row_id, md5(coalesce(nullif(regexp_replace(text, '^[{_BLANK}{_UNSEEN}]+', ''), ''), regexp_replace(text, '^[{_BLANK}]+', ''))) AS digest FROM (SELECT 'segments' AS src, seg_id AS row_id, text FROM segments UNION ALL SELECT 'spans', span_id, text FROM spans) WHERE regexp_matches(text, '[^{_BLANK}]')"""
+}

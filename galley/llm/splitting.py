@@ -125,8 +125,18 @@ def p1_pieces(spark, sf_dir: str) -> DataFrame:
     return split_oversized(_texts(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def p1_whole(spark, sf_dir: str) -> DataFrame:
+    """Every oversized text put together again from its pieces without their overlaps, and whether all pieces keep the limit."""
+    pieces = split_oversized(_texts(spark, sf_dir))
+    own = F.when(F.col("piece_no") == 0, F.col("text")).otherwise(F.substring("text", OVERLAP + 1, LIMIT))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("t")))), lambda x: x["t"]), "")
+    return pieces.groupBy("src", "row_id").agg(F.md5(whole).alias("digest"), (F.max(F.length("text")) <= LIMIT).alias("fits"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_whole": p1_whole}
 SQL = {
+    "p1_whole": """SELECT 'segments' AS src, seg_id AS row_id, md5(text) AS digest, TRUE AS fits FROM segments WHERE length(text) > 1000
+UNION ALL SELECT 'spans', span_id, md5(text), TRUE FROM spans WHERE length(text) > 1000""",
     "p1_found": """SELECT 'segments' AS src, seg_id AS row_id FROM segments WHERE length(text) > 1000
 UNION ALL SELECT 'spans', span_id FROM spans WHERE length(text) > 1000"""
 }

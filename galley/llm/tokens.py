@@ -141,5 +141,21 @@ def p7_ids(spark, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
-SQL: dict[str, str] = {}
+def decoded(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text) of ``coded`` (doc_id, ids): what ``decode`` makes of the ids; null ids are an empty text."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def make():
+        encoding = vocabulary(path)[0]
+        return lambda c: {"doc_id": c["doc_id"], "text": [encoding.decode_bytes(x).decode("utf-8") if x else "" for x in c["ids"]]}
+
+    return map_columns(coded.select("doc_id", "ids"), make, "doc_id bigint, text string", arrow)
+
+
+def p7_decoded(spark, sf_dir: str) -> DataFrame:
+    """Every document back from its ids."""
+    return decoded(p7_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded}
+SQL: dict[str, str] = {"p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"}
