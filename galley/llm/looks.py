@@ -186,8 +186,9 @@ def rewriter(to: dict[str, str]) -> Callable[[str], str]:
 
 @lru_cache(maxsize=1)
 def default_form() -> Callable[[str], str]:
-    """The rewriter without corpus frequencies: the lowest plain member represents."""
-    return rewriter(representatives({}))
+    """The rewriter without corpus frequencies: the sign that the table's others are drawn like represents, else the lowest plain member."""
+    pairs = [x for line in LOOK_ALIKES.strip().splitlines() for x in line.partition(": ")[2].split()]
+    return rewriter(representatives({x[1]: 1 for x in pairs if len(x) == 2}))
 
 
 def _digest(text: str) -> bytes:

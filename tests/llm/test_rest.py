@@ -147,6 +147,12 @@ def judge():
     return pairs.Judge(pairs.Languages.train([("en", en * 3), ("de", de * 3)]), {"aa.": 100, 'a."': 10, "aa,": 1})
 
 
+def test_curly_apostrophes_refuse_too():
+    judge = pairs.Judge(pairs.Languages(), {})
+    for mark in "'’ʼ":
+        assert judge.defect("The youth kept every rusty anchor he was given.", f"I won{mark}t be able to edit this content.") == "refusal"
+
+
 def test_the_prompt_decides_between_like_languages():
     rows = [("en", "the house by the harbour is no more " * 3), ("es", "la casa del puerto no es mas que el mar " * 3), ("pt", "a casa do porto nao e mais que o mar " * 3)]
     judge = pairs.Judge(pairs.Languages.train(rows), {})
