@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.functions import scripts
 from galley.functions.rules import wants_polish
+from galley.operators import samples
 from galley.operators.packs import span_packs
 from galley.operators.programs import job_table, with_programs
 from galley.operators.rounds import Rewriter, rewrite, rule_based, stitch
@@ -42,8 +46,22 @@ def rewrite_folder(spark: SparkSession, path: str, rewriter: Rewriter = rule_bas
 
 
 def rewrite_segments(segments: DataFrame, rewriter: Rewriter = rule_based, max_chars: int = 1800, retries: int = 2, skip_mode: str = "auto", mode: str = "polish", terms: DataFrame | None = None) -> DataFrame:
-    """``segments`` as readers give them, with ``new_text``; those of skipped chapters keep their text."""
+    """``segments`` as readers give them, with ``new_text``; those of skipped chapters keep their text. Mode `auto` is told for each document by its scripts."""
     rows = checkpointed(_keyed(segments))  # what is read once is asked about once
+    if mode == "auto":
+        foreign = detected_modes(rows).filter("mode = 'translate'").select("doc_id")
+        how = {"polish": "left_anti", "translate": "left_semi"}
+        return reduce(DataFrame.unionByName, [_rewritten(rows.join(foreign, "doc_id", h), rewriter, max_chars, retries, skip_mode, m, terms) for m, h in how.items()])
+    return _rewritten(rows, rewriter, max_chars, retries, skip_mode, mode, terms)
+
+
+def detected_modes(rows: DataFrame) -> DataFrame:
+    """(doc_id, mode) of documents by the scripts of their beginnings; one without text has none."""
+    text = samples.joined_parts(samples.sample_parts(rows, "doc_id", ["chapter_ord", "seg_index", "seg_id"]), "doc_id")
+    return text.select("doc_id", scripts.mode("text").alias("mode"))
+
+
+def _rewritten(rows: DataFrame, rewriter: Rewriter, max_chars: int, retries: int, skip_mode: str, mode: str, terms: DataFrame | None) -> DataFrame:
     sent = selectable(rows).select("seg_id", F.lit("").alias("book_id"), "item_id", "seg_index", "tag", "text")
     own = None if terms is None else terms.withColumn("book_id", F.lit(""))
     done = run(sent, rewriter, Options(mode=mode, skip_mode=skip_mode, max_chars=max_chars, retries=retries), own)["segments"]

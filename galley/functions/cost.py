@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from galley.functions.scripts import foreign_count
+from galley.functions.scripts import FOREIGN, foreign_count
 from galley.functions.text import col
 
 
+_FOREIGN = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), FOREIGN) + "]")
+
+
 def estimated_tokens(text: Column | str) -> Column:
     """Tokens a chat model's vocabulary would take: about one a foreign sign, one per 2.6 others."""
     t = F.coalesce(col(text), F.lit(""))
@@ -16,6 +21,12 @@ def estimated_tokens(text: Column | str) -> Column:
     return F.when(F.length(t) == 0, 0).otherwise(F.greatest(F.lit(1), (foreign * F.lit(1.08).cast("double") + (F.length(t) - foreign) / F.lit(2.6).cast("double")).cast("int") + 1))
 
 
+def tokens_of(text: str) -> int:
+    """``estimated_tokens`` of a text at hand."""
+    foreign = len(_FOREIGN.findall(text))
+    return max(1, int(foreign * 1.08 + (len(text) - foreign) / 2.6) + 1) if text else 0
+
+
 def prompt_budget(num_ctx: int) -> int:
     return max(256, num_ctx // 2)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from galley.functions.cost import answer_tokens
 from galley.operators.answers import numbered_blocks, without_noise
 from galley.operators.gate import paragraph_fits
-from galley.operators.packs import pack_segments
+from galley.operators.packs import Budget, pack_segments
 from galley.operators.prompts import attempt, numbered, passage_user
 from galley.operators.rounds import Rewriter
 from galley.session import checkpointed
@@ -26,9 +26,10 @@ def carried(texts: Column) -> Column:
     return F.right(F.array_join(texts, "\n\n"), F.lit(CARRY))
 
 
-def passage_packs(segments: DataFrame, max_chars: int, order: list[str], group: str = "item_id", mode: str = "translate", num_ctx: int = 4096) -> DataFrame:
+def passage_packs(segments: DataFrame, max_chars: int, order: list[str], group: str = "item_id", mode: str = "translate", num_ctx: int = 4096, budget: Budget | None = None) -> DataFrame:
     """(group, pack_no, chunk_id, n_jobs, numbered, max_tokens, items) of whole segments under a budget of characters."""
-    rows = pack_segments(segments, max_chars, order, group)
+    b = budget or Budget(max_chars)
+    rows = pack_segments(segments, b.max_chars, order, group, b.max_prompt, b.prefix, b.count)
     items = F.array_sort(F.collect_list(F.struct(*order, "piece_no", "text")))
     packs = rows.groupBy(group, "pack_no").agg(items.alias("items"))  # a pack is bounded by its budget
     at = lambda k: F.element_at("items", k)["seg_index"]
@@ -39,11 +40,12 @@ def passage_packs(segments: DataFrame, max_chars: int, order: list[str], group:
     return packs.select(group, "pack_no", chunk.alias("chunk_id"), n.alias("n_jobs"), numbered(texts).alias("numbered"), answer_tokens(chars, mode, num_ctx).alias("max_tokens"), "items")
 
 
-def rewrite_passages(packs: DataFrame, rewriter: Rewriter, mode: str = "translate", retries: int = 2, group: str = "item_id", glossary: str = "", extra_style: str = "") -> DataFrame:
+def rewrite_passages(packs: DataFrame, rewriter: Rewriter, mode: str = "translate", retries: int = 2, group: str = "item_id", glossary: str = "", extra_style: str = "", known: DataFrame | None = None) -> DataFrame:
     """``packs`` with ``texts`` (a text an item) and ``accepted`` (items that passed).
 
     The first answer in which any item passes the length gate settles a pack, the other
-    items keep their text; a pack that no attempt settles keeps all.
+    items keep their text; a pack that no attempt settles keeps all. Packs that ``known``
+    (chunk_id, texts) has are not asked again, but tell the next what came before.
     """
     packs = checkpointed(packs)
     rounds = (packs.agg(F.max("pack_no")).first()[0] or 0) + 1
@@ -56,6 +58,10 @@ def rewrite_passages(packs: DataFrame, rewriter: Rewriter, mode: str = "translat
         prompt = passage_user(F.col("numbered"), F.coalesce("glossary", F.lit(glossary)) if "glossary" in packs.columns else F.lit(glossary), F.coalesce("previous", F.lit("")), F.lit(extra_style), mode)
         pending = checkpointed(now.withColumn("prompt", prompt))
         settled: list[DataFrame] = []
+        if known is not None:
+            old = pending.join(known.select("chunk_id", "texts"), "chunk_id")
+            settled.append(checkpointed(old.select(group, "pack_no", "chunk_id", "items", "texts", F.size("texts").alias("accepted"))))
+            pending = checkpointed(pending.join(known.select("chunk_id"), "chunk_id", "left_anti"))
         for a in range(retries + 1):
             asked = pending.select("chunk_id", "n_jobs", attempt(F.col("prompt"), a).alias("prompt"), "max_tokens", F.lit(a).alias("attempt"), "items")
             answers = rewriter(asked).select("chunk_id", "raw")

@@ -99,8 +99,8 @@ def plain_words(text: Column) -> Column:
 
 
 def rule_based(packs: DataFrame) -> DataFrame:
-    """A rewriter without a model: stock phrases in plainer words."""
-    blocks = F.transform("jobs", lambda j, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]\n"), plain_words(F.coalesce(j["text"], F.lit("")))))
+    """A rewriter without a model: stock phrases in plainer words, in spans and in passages."""
+    blocks = F.transform("items" if "items" in packs.columns else "jobs", lambda j, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]\n"), plain_words(F.coalesce(j["text"], F.lit("")))))
     return packs.select("chunk_id", "attempt", F.array_join(blocks, "\n\n").alias("raw"))
 
 

@@ -174,7 +174,7 @@ _PACK_ROWS = f"""SELECT item_id, pack_no, coalesce(item_id, '') || ':cd' || pack
 count(*) AS n_jobs, string_agg({_prompt('t', 'b', 'a', 'k')}, chr(10) || chr(10) ORDER BY rn) AS prompt FROM ({_LABELLED}) GROUP BY item_id, pack_no"""
 
 
-def _whole(limit: int) -> str:
+def _whole(limit: int, source: str = "segments") -> str:
     """(segment's keys, parts): texts over the limit at the separators, each stage folded again up to the limit."""
     parts = "[t]"
     for sign in ("chr(10) || chr(10)", "chr(10)", "'。'", "'！'", "'？'", "'. '", "'! '", "'? '"):
@@ -182,12 +182,12 @@ def _whole(limit: int) -> str:
         fold = f"list_reduce({glued}, lambda a, x: CASE WHEN a[-1] <> '' AND length(a[-1]) + length(x[1]) > {limit} THEN list_concat(a, x) ELSE list_concat(a[:-2], [a[-1] || x[1]]) END)"
         parts = f"flatten(list_transform({parts}, lambda p: CASE WHEN length(p) > {limit} THEN list_filter({fold}, lambda y: y <> '') ELSE [p] END))"
     cut = f"flatten(list_transform({parts}, lambda p: CASE WHEN length(p) > {limit} THEN list_transform(range(0, (length(p) - 1) // {limit} + 1), lambda k: substring(p, k * {limit} + 1, {limit})) ELSE [p] END))"
-    return f"SELECT seg_id, item_id, chapter_ord, seg_index, CASE WHEN length(t) > {limit} THEN list_filter(list_transform({cut}, lambda p: {_strip('p')}), lambda p: p <> '') ELSE [t] END AS parts FROM (SELECT *, coalesce(text, '') AS t FROM segments)"
+    return f"SELECT seg_id, item_id, chapter_ord, seg_index, CASE WHEN length(t) > {limit} THEN list_filter(list_transform({cut}, lambda p: {_strip('p')}), lambda p: p <> '') ELSE [t] END AS parts FROM (SELECT *, coalesce(text, '') AS t FROM {source})"
 
 
-def _segment_packs(limit: int, budget: int, cost: str) -> str:
-    items = f"SELECT seg_id, item_id, chapter_ord, seg_index, alone, piece_no, t, {cost} AS cost FROM (SELECT *, len(parts) > 1 AS alone, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS piece_no FROM ({_whole(limit)}))"
-    return _packs(items, budget, f"{_ORDER}, piece_no", "alone")
+def _segment_packs(limit: int, budget: int, cost: str, source: str = "segments", order: str = _ORDER) -> str:
+    items = f"SELECT seg_id, item_id, chapter_ord, seg_index, alone, piece_no, t, {cost} AS cost FROM (SELECT *, len(parts) > 1 AS alone, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS piece_no FROM ({_whole(limit, source)}))"
+    return _packs(items, budget, f"{order}, piece_no", "alone")
 
 
 _BY_CHARS = _segment_packs(MAX_CHARS, MAX_CHARS, "length(t) + 8")
@@ -437,6 +437,10 @@ FROM (SELECT *, s > cap + 0.1 AS big, s >= 12 AND gpu AND vram_mb < 16000 AS snu
 j AS MATERIALIZED (SELECT item_id, j.seg_id, seg_index, span_index, length(j.text) + length(before) + length(after) + 32 AS cost FROM ({_jobs_of(_EDIT)}) j JOIN segments s USING (seg_id)),
 p AS (SELECT item_id, count(*) AS n_jobs, max(pack_no) + 1 AS packs FROM ({_packs('SELECT * FROM j', MAX_CHARS, 'seg_index, span_index, seg_id')}) GROUP BY item_id),
 a AS (SELECT item_id, paragraphs, dirty, coalesce(n_jobs, 0) AS n_jobs, coalesce(packs, 0) AS packs FROM r LEFT JOIN p USING (item_id))
+SELECT item_id, grouping(item_id)::INT AS is_total, sum(paragraphs)::BIGINT AS paragraphs, sum(dirty)::BIGINT AS dirty, sum(paragraphs - dirty)::BIGINT AS skipped, sum(n_jobs)::BIGINT AS n_jobs, sum(packs)::BIGINT AS packs FROM a GROUP BY ROLLUP (item_id)""",
+    "plan_translation": f"""WITH z AS MATERIALIZED (SELECT *, text IS NOT NULL AND {_needs('text', 'tag', 'translate', 1)} AS dirty FROM segments), r AS (SELECT item_id, count(*) AS paragraphs, count(*) FILTER (dirty) AS dirty FROM z GROUP BY item_id),
+p AS (SELECT item_id, count(*) AS n_jobs, max(pack_no) + 1 AS packs FROM ({_segment_packs(MAX_CHARS, MAX_CHARS, "length(t) + 8", "(SELECT * FROM z WHERE dirty)", "seg_index, seg_id")}) GROUP BY item_id),
+a AS (SELECT item_id, paragraphs, dirty, coalesce(n_jobs, 0) AS n_jobs, coalesce(packs, 0) AS packs FROM r LEFT JOIN p USING (item_id))
 SELECT item_id, grouping(item_id)::INT AS is_total, sum(paragraphs)::BIGINT AS paragraphs, sum(dirty)::BIGINT AS dirty, sum(paragraphs - dirty)::BIGINT AS skipped, sum(n_jobs)::BIGINT AS n_jobs, sum(packs)::BIGINT AS packs FROM a GROUP BY ROLLUP (item_id)""",
     "txt_paragraphs": f"SELECT doc_id, 'p' || k AS item_id, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) - 1 AS seg_index, p AS text FROM (SELECT doc_id, k, i, array_to_string(list_filter(list_transform(string_split(c, chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), ' ') AS p FROM (SELECT doc_id, k, unnest(regexp_split_to_array({_strip('sec')}, '\\n[{WS}]*\\n')) AS c, generate_subscripts(regexp_split_to_array({_strip('sec')}, '\\n[{WS}]*\\n'), 1) AS i FROM (SELECT doc_id, unnest(string_split(x, chr(12))) AS sec, generate_subscripts(string_split(x, chr(12)), 1) - 1 AS k FROM (SELECT doc_id, {_TXT} AS x FROM documents WHERE text IS NOT NULL)))) WHERE p <> ''",
     "json_chapters": f"SELECT replace(substring(book_id, 4), '-', '')::BIGINT AS doc_id, dense_rank() OVER (PARTITION BY book_id ORDER BY f) - 1 AS chapter_ord, item_id AS title, row_number() OVER (PARTITION BY book_id, item_id ORDER BY o) - 1 AS seg_index, tag, text FROM (SELECT *, min(o) OVER (PARTITION BY book_id, item_id) AS f FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY loaded_at, seg_id) AS o FROM segments) WHERE text IS NOT NULL AND {_strip('text')} <> '')",

@@ -452,6 +452,12 @@ def plan_report(spark, d):
     return out.select("item_id", "is_total", *[F.col(c).cast("bigint").alias(c) for c in ("paragraphs", "dirty", "skipped", "n_jobs", "packs")])
 
 
+@query
+def plan_translation(spark, d):
+    out = report.plan(_segments(spark, d), MAX_CHARS, "translate")
+    return out.select("item_id", "is_total", *[F.col(c).cast("bigint").alias(c) for c in ("paragraphs", "dirty", "skipped", "n_jobs", "packs")])
+
+
 # --- sources and sinks ------------------------------------------------------------------
 def _documents(spark, d) -> DataFrame:
     return spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id")).alias("stem"), "text")

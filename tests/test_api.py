@@ -2,6 +2,7 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pytest
 from pyspark.sql import functions as F
 
 from galley.api import plan_folder, polish, rewrite_folder
@@ -49,3 +50,36 @@ def test_servers(spark):
     p = p.withColumn("kind", host_kind(F.col("tags"), F.col("props"), F.col("models")))
     assert sorted((r.run, r.host, r.kind) for r in choose_server(p, "cuda").collect()) == [("r", "c", "vllm"), ("s", "d", "openai")]
     assert [r.host for r in choose_server(p, "cpu").filter("run = 'r'").collect()] == ["b"]
+
+
+def test_modes_are_told_by_document(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("He could not help but smile at the old red lamp.")
+    (tmp_path / "b.txt").write_text("Он улыбнулся и ушёл домой по тёмной дороге.")
+
+    def upper(packs):
+        key = "items" if "items" in packs.columns else "jobs"
+        blocks = F.transform(key, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]\n"), F.replace(F.upper(x["text"]), F.lit("COULD NOT HELP BUT SMILE"), F.lit("SMILED"))))
+        return packs.select("chunk_id", "attempt", F.array_join(blocks, "\n").alias("raw"))
+
+    got = {r.new_text for r in rewrite_folder(spark, str(tmp_path), upper, retries=0, mode="auto").collect()}
+    assert got == {"HE SMILED AT THE OLD RED LAMP.", "ОН УЛЫБНУЛСЯ И УШЁЛ ДОМОЙ ПО ТЁМНОЙ ДОРОГЕ."}
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from galley import __main__ as cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# T\n\nHe could not help but smile at the old red lamp.\n")
+    (tmp_path / "g.json").write_text('{"terms": [{"source": "lamp", "target": "lantern"}]}')
+    cli.main(["plan", str(tmp_path / "in")])
+    cli.main(["apply", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--glossary", str(tmp_path / "g.json")])
+    assert (tmp_path / "out" / "a.polished.md").read_text() == "# T\n\nHe smiled at the old red lantern.\n"
+    cli.main(["devices", "12000"])
+    out = capsys.readouterr().out
+    assert "all\t2 paragraphs\t1 to rewrite" in out and "1 files" in out and "max_params_b 14.0" in out
+    monkeypatch.setattr(cli, "listed_models", lambda url: ["big-70b", "mid:14b", "qwq:14b"])
+    cli.main(["models", "--url", "http://x/v1/chat/completions"])
+    assert "* mid:14b" in capsys.readouterr().out
+    monkeypatch.setattr(cli, "listed_models", lambda url: [])
+    with pytest.raises(cli.EngineError):
+        cli.chosen_model(spark, "u", None, 14.0)
