@@ -171,7 +171,7 @@ class Judge:
         answer, prompt = bare(after), (before or "").strip()
         form = answer if answer.isascii() else default_form()(answer)
         said = "".join(_SIGN.findall(form.casefold()))
-        if not said or said in _NOTHING and len(answer) < 24:
+        if not said or said in _NOTHING:
             return "empty"
         asked = wording(prompt)
         if self._refuses(form, prompt, asked):

@@ -134,7 +134,27 @@ def p1_whole(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_whole": p1_whole}
+
+# Every place of a text with its strength, the best of each window by a frame, then from cut to cut.
+_S = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_AT = lambda what: f"regexp_matches(a, '{what}$')"
+_NEXT = lambda what: f"regexp_matches(z, '^{what}')"
+_CUTS = rf"""WITH RECURSIVE t AS (SELECT * FROM (SELECT 'segments' AS src, seg_id AS row_id, text, length(text) AS n FROM segments UNION ALL SELECT 'spans', span_id, text, length(text) FROM spans) WHERE n > 1000),
+p AS (SELECT src, row_id, n, p, CASE WHEN p < 64 THEN left(text, p) ELSE substr(text, p - 63, 64) END AS a, substr(text, p + 1, 64) AS z FROM (SELECT *, unnest(range(0, n + 1)) AS p FROM t)),
+k AS (SELECT src, row_id, n, p, CASE
+WHEN {_AT(r'((\r\n|\n|\r)[ \t]*){2,}')} AND NOT {_NEXT(r'[ \t\r\n]')} OR {_AT(r'\x{2029}')} THEN 6
+WHEN {_AT(r'(\r\n|[\n\r\f\x{2028}])[ \t]*')} AND NOT {_NEXT(r'[ \t]')} AND NOT ({_AT(r'\r')} AND {_NEXT(r'\n')}) THEN 5
+WHEN {_AT(r'[.!?…؟][”»’)\]」』"]*' + _S + '+')} AND NOT {_NEXT(_S)} OR {_AT('[。！？।]')} AND NOT {_NEXT('([。！？।”」』）"]|' + _S + ')')} OR {_AT('[。！？।][”」』）"]+')} AND NOT {_NEXT('([”」』）"]|' + _S + ')')} OR {_AT('[。！？।][”」』）"]*' + _S + '+')} AND NOT {_NEXT(_S)} THEN 4
+WHEN {_AT(r'[;:：；؛]["”»’)\]」]*' + _S + '+')} AND NOT {_NEXT(_S)} OR {_AT(_S + '[—–-]' + _S + '+')} AND NOT {_NEXT(_S)} OR {_AT('[；：]')} AND NOT {_NEXT(r'["”»’)\]」]*' + _S)} THEN 3
+WHEN {_AT('[,،、，]' + _S + '*')} AND NOT {_NEXT(_S)} THEN 2
+WHEN {_AT(_S)} AND NOT {_NEXT(_S)} THEN 1
+WHEN {_NEXT(r'[\pM\x{200d}\x{fe0f}]')} OR {_AT(r'\x{200d}')} THEN -1 ELSE 0 END AS strength FROM p),
+b AS (SELECT src, row_id, n, p, max(strength * 1000000000::BIGINT + p) OVER (PARTITION BY src, row_id ORDER BY p ROWS BETWEEN 101 FOLLOWING AND 1000 FOLLOWING) AS best FROM k),
+c AS (SELECT src, row_id, n, p, CASE WHEN n - p > 1000 THEN (best + 1000000000) % 1000000000 ELSE n END AS e FROM b),
+r AS (SELECT src, row_id, 0 AS piece_no, 0::BIGINT AS p FROM t UNION ALL SELECT r.src, r.row_id, r.piece_no + 1, c.e - 100 FROM r JOIN c ON r.src = c.src AND r.row_id = c.row_id AND r.p = c.p WHERE c.n - r.p > 1000)
+SELECT r.src, r.row_id, r.piece_no, count(*) OVER (PARTITION BY r.src, r.row_id)::INT AS n_pieces, r.p::INT AS start, substr(t.text, r.p + 1, c.e - r.p) AS text FROM r JOIN c ON r.src = c.src AND r.row_id = c.row_id AND r.p = c.p JOIN t ON r.src = t.src AND r.row_id = t.row_id"""
 SQL = {
+    "p1_pieces": _CUTS,
     "p1_whole": """SELECT 'segments' AS src, seg_id AS row_id, md5(text) AS digest, TRUE AS fits FROM segments WHERE length(text) > 1000
 UNION ALL SELECT 'spans', span_id, md5(text), TRUE FROM spans WHERE length(text) > 1000""",
     "p1_found": """SELECT 'segments' AS src, seg_id AS row_id FROM segments WHERE length(text) > 1000
