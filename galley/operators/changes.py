@@ -22,11 +22,6 @@ def href_number(href: Column) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(href, F.lit(r"(\p{Nd}+)"), F.lit(1)), F.lit(-1)).try_cast("bigint"), F.lit(0))
 
 
-def in_order(log: DataFrame) -> DataFrame:
-    """Edits as a reader meets them."""
-    return log.orderBy(href_number(F.col("href")), "href", "para", "kind", "edit_id")
-
-
 def summary(log: DataFrame, by: str | None = None) -> DataFrame:
     """Sent, unchanged, edited and chapters edited; in all, or for each ``by``."""
     same = unchanged(F.col("before"), F.col("after"))
@@ -98,10 +93,3 @@ def report_json(log: DataFrame, by: str, totals: DataFrame | None = None) -> Dat
         per = totals.groupBy(by).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "term", "n"))), lambda x: F.struct(x["term"], x["n"]))).alias("terms"))
         out, terms = out.join(per, by, "left"), ["terms"]
     return out.select(by, F.to_json(F.struct("sent", F.col("unchanged").alias("left"), F.col("edits").alias("rewritten"), "chapters_edited", *terms, F.col("edits_").alias("edits"), F.col("unchanged_").alias("unchanged"))).alias("content"))
-
-
-def top_terms(totals: DataFrame, k: int = 40) -> DataFrame:
-    """The ``k`` most used terms and, as their last row, how many more there are."""
-    top = totals.orderBy(F.desc("n"), "term").limit(k)
-    rest = totals.agg((F.count("*") - k).alias("n")).filter("n > 0").select(F.concat(F.lit("… "), F.col("n"), F.lit(" more")).alias("term"), F.lit(None).cast("bigint").alias("n"))
-    return top.unionByName(rest)

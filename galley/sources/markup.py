@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from itertools import groupby
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -165,12 +166,25 @@ def epub_documents(raw: bytes) -> list[tuple[str, str, bytes]]:
         out = []
         for e in ElementTree.fromstring(z.read(opf)).iter():
             if _local(e) == "item" and e.get("media-type") == "application/xhtml+xml":
-                member = posixpath.normpath(posixpath.join(base, e.get("href", "")))
-                if member in names:
+                if member := archive_member(names, base, e.get("href", "")):
                     out.append((e.get("id", ""), member, z.read(member)))
         return out
 
 
+def archive_member(names: set[str], base: str, href: str) -> str | None:
+    """The member that a manifest means: by its path, escapes read or not, else the only one with it as suffix, else the only one of its name."""
+    for wanted in (href, unquote(href)):
+        if (member := posixpath.normpath(posixpath.join(base, wanted))) in names:
+            return member
+    tail = unquote(href).replace("\\", "/").lstrip("./")
+    if not tail:
+        return None
+    for ends in ("/" + tail, "/" + posixpath.basename(tail)):
+        if found := [n for n in names if f"/{n}".endswith(ends)]:
+            return found[0] if len(found) == 1 else None
+    return None
+
+
 def epub_chapters(raw: bytes, stem: str) -> list[Chapter]:
     """A chapter a document; navigation with fewer than eight segments is marked to be skipped."""
     out = []

@@ -300,3 +300,22 @@ def test_journal_of_several_files(spark, tmp_path):
     done = checkpoints.read_journal(spark, str(tmp_path), "f")
     packs = spark.createDataFrame([("c",)], "chunk_id string")
     assert checkpoints.finished(packs, done, "f").first().texts == ["last"] and checkpoints.read_journal(spark, str(tmp_path), "g").count() == 0
+
+
+def test_members_of_archives():
+    names = {"OEBPS/text/a b.xhtml", "OEBPS/x/c.xhtml", "old/c.xhtml", "OEBPS/y/d.xhtml"}
+    member = lambda href: markup.archive_member(names, "OEBPS", href)
+    assert member("text/a%20b.xhtml") == member("text/a b.xhtml") == member("wrong/a b.xhtml") == "OEBPS/text/a b.xhtml"
+    assert member("x/c.xhtml") == "OEBPS/x/c.xhtml" and member("z/c.xhtml") is None and member("d.xhtml") == "OEBPS/y/d.xhtml"
+    assert member("") is None and member("e.xhtml") is None
+
+
+def test_chunks_added_to_a_journal(spark, tmp_path):
+    schema = "fingerprint string, chunk_id string, texts array<string>, line_no int"
+    for n, text in ((1, "old"), (2, "new")):
+        checkpoints.append(spark.createDataFrame([("f", "c", [text], n), ("g", "c", ["other"], 9)], schema), str(tmp_path / "j"))
+    done = spark.read.parquet(str(tmp_path / "j"))
+    packs = spark.createDataFrame([("c",), ("d",)], "chunk_id string")
+    assert checkpoints.finished(packs, done, "f").collect()[0].texts == ["new"] and checkpoints.pending(packs, done, "f").count() == 1
+    a, b = (spark.range(1).select(checkpoints.fingerprint(F.lit("x"), F.lit(y).cast("string"))).first()[0] for y in ("1", None))
+    assert len(a) == len(b) == 16 and a != b
