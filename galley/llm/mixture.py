@@ -27,7 +27,8 @@ def fit(counts: dict[int, int], budget: int, seed: int = SEED) -> dict[int, int]
 
     ``counts`` {length > 0: items}. Proportional to the counts first, so that no
     length is preferred; then the longest that still fit, down to a window that the
-    knapsack fills exactly where any combination can.
+    knapsack fills exactly where any combination can. The same counts and seed give the
+    same choice.
     """
     total = sum(s * n for s, n in counts.items())
     if budget >= total:
@@ -41,7 +42,7 @@ def fit(counts: dict[int, int], budget: int, seed: int = SEED) -> dict[int, int]
         more = min(counts[s] - take[s], (left - _WINDOW + s - 1) // s, left // s)
         take[s] += more
         left -= more * s
-    rest = [s for s in counts if s <= left and counts[s] > take[s]]
+    rest = sorted(s for s in counts if s <= left and counts[s] > take[s])  # in one order, whatever that of the counts
     random.Random(seed).shuffle(rest)
     mask, reach, steps = (1 << (left + 1)) - 1, 1, []
     for s in rest:

@@ -114,6 +114,17 @@ def test_fit_is_exact_where_it_can_be():
         assert sum(s * n for s, n in take.items()) == max(reach)
 
 
+def test_fit_does_not_depend_on_the_order_of_the_counts():
+    rnd = random.Random(2)
+    counts = {s: rnd.randint(1, 9) for s in rnd.sample(range(20, 3000), 400)}
+    budget = sum(s * n for s, n in counts.items()) // 3
+    items = list(counts.items())
+    want = mixture.fit(counts, budget)
+    for _ in range(3):
+        rnd.shuffle(items)
+        assert mixture.fit(dict(items), budget) == want
+
+
 def test_fit_large():
     rng = random.Random(4)
     counts = Counter(rng.randrange(1, 8000) for _ in range(50_000))
