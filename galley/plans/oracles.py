@@ -207,9 +207,9 @@ def _clean(block: str) -> str:
 _RAW = f"CASE edit_id % 4 WHEN 0 THEN '**[2]** ' || a || chr(10) || '**[1]**' || chr(10) || b WHEN 1 THEN '<think>no</think>[1] REPLACE:' || chr(10) || b || chr(10) || chr(10) || '[2]' || chr(10) || a WHEN 2 THEN b || chr(10) || chr(10) || a ELSE '[1] ' || b || chr(10) || '[1] again' || chr(10) || '[7] ' || a END"
 _QUIET = _strip(rf"regexp_replace(regexp_replace({_RAW}, '(?is)<think(ing)?>.*?</think(ing)?>', '', 'g'), '(?m)^```[^\n]*$\n?', '', 'g')")
 _AFTER_LABEL = rf"regexp_replace(part, '(?s)^.*?\[\p{{Nd}}+\][{WS}]*', '')"
-# Every label begins a part; of a part counts what follows its first label.
+# Every label on a new line begins a part, unless it follows a label at once; of a part counts what follows its first label.
 _PARSED = rf"""WITH q AS (SELECT edit_id, regexp_replace({_QUIET}, '\*+\[(\p{{Nd}}+)\]\*+', '[\1]', 'g') AS t FROM (SELECT edit_id, coalesce(before, '') AS b, coalesce(after, '') AS a FROM edits)),
-p AS (SELECT edit_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT edit_id, string_split(regexp_replace(t, '(\n[{WS}]*\[\p{{Nd}}+\])', chr(57344) || '\1', 'g'), chr(57344)) AS x FROM q)),
+p AS (SELECT edit_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT edit_id, string_split(regexp_replace(regexp_replace(t, '(\[\p{{Nd}}+\])[{WS}]*\n[{WS}]*(\[\p{{Nd}}+\])', '\1 \2', 'g'), '(\n[{WS}]*\[\p{{Nd}}+\])', chr(57344) || '\1', 'g'), chr(57344)) AS x FROM q)),
 n AS (SELECT edit_id, i, TRY_CAST(regexp_extract(part, '\[(\p{{Nd}}+)\]', 1) AS INT) AS n, {_clean(_AFTER_LABEL)} AS body FROM p WHERE regexp_matches(part, '\[\p{{Nd}}+\]')),
 f AS (SELECT edit_id, count(DISTINCT n) AS d, arg_min(body, i) FILTER (n = 1) AS one, arg_min(body, i) FILTER (n = 2) AS two FROM n WHERE body <> '' AND n BETWEEN 1 AND 2 GROUP BY edit_id),
 l AS (SELECT edit_id, list_filter(list_transform(regexp_split_to_array(t, '\n[{WS}]*\n'), lambda z: {_clean('z')}), lambda z: z <> '') AS parts FROM q)
