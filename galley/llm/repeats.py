@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galley.functions.text import WS
 from galley.llm.batches import map_columns
 from galley.session import checkpointed, table
 
@@ -75,7 +76,7 @@ def without_frequent_lines(df: DataFrame, key: str, host: str, text: str, limit:
     Documents of a null host have a host in common; ``key`` is unique. A hot host is
     spread by its lines, a hot line summed before it is shuffled.
     """
-    plain = F.lower(F.regexp_replace(F.regexp_replace("line", r"^[ \t]*(?:[-*•–—·>#]+[ \t]+|[0-9]{1,4}[.)][ \t]+)?", ""), r"\s+", " "))
+    plain = F.lower(F.regexp_replace(F.regexp_replace("line", rf"^[{WS}]*(?:[-*•–—·>#]+[ \t]+|[0-9]{{1,4}}[.)][ \t]+)?", ""), rf"[{WS}]+", " "))
     each = df.select(F.col(key).alias("id"), F.col(host).alias("host"), F.explode(F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n")).alias("line"))
     each = each.select("id", "host", F.trim(plain).alias("line")).filter("line <> ''").select("id", "host", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
     lines = checkpointed(each.groupBy("id", "host", "h").agg(F.count("*").alias("times"), F.sum("n").alias("signs")))
@@ -103,6 +104,7 @@ def p4_lines(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares, "p4_lines": p4_lines}
 
+_BLANKS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # Units as rows, the first place of each stretch, and a window over the stretches that reach a unit.
 _SHARES = r"""WITH t AS (SELECT edit_id, lower(regexp_replace(regexp_replace(coalesce(after, ''), '(?m)^[ \t]*(?:[-*•–—·>]+[ \t]+|#+[ \t]+|[(\[]?\pN{1,4}[.)\]:、．](?:[ \t]+|([^\pN \t]))|[(\[]?\pL[)\]][ \t]+)+', '\1', 'g'), '[\x{00AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}''\x{2019}]', '', 'g')) AS s FROM edits),
 k AS (SELECT edit_id, s, 2 * len(regexp_extract_all(s, '[\p{Han}\p{Hiragana}\p{Katakana}ー々]')) > len(regexp_extract_all(s, '\pL')) AS east FROM t),
@@ -114,7 +116,7 @@ shares AS (SELECT edits.edit_id, coalesce(s, 0.0) AS share FROM edits LEFT JOIN
 SQL: dict[str, str] = {
     "p4_shares": _SHARES + " SELECT edit_id, share FROM shares",
     "p4_found": _SHARES + " SELECT edit_id FROM shares WHERE share >= 0.35",
-    "p4_lines": r"""WITH l AS (SELECT edit_id, book_id, trim(lower(regexp_replace(regexp_replace(line, '^[ \t]*(?:[-*•–—·>#]+[ \t]+|[0-9]{1,4}[.)][ \t]+)?', ''), '\s+', ' ', 'g'))) AS line
+    "p4_lines": rf"""WITH l AS (SELECT edit_id, book_id, trim(lower(regexp_replace(regexp_replace(line, '^[{_BLANKS}]*(?:[-*•–—·>#]+[ \t]+|[0-9]{{1,4}}[.)][ \t]+)?', ''), '[{_BLANKS}]+', ' ', 'g'))) AS line
 FROM (SELECT edit_id, book_id, unnest(string_split(regexp_replace(after, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM edits)),
 d AS (SELECT * FROM l WHERE line <> ''),
 f AS (SELECT book_id, line FROM d GROUP BY book_id, line HAVING count(DISTINCT edit_id) > 3),
